@@ -2,19 +2,21 @@
 
 A vocabulary whose pre-tokenizer never matches white space encodes a text as the concatenation of its
 white-space-separated pieces, so pieces are encoded once and looked up afterwards. `piecewise` checks that the
-tokenizer is of that kind; others are run on whole texts. Null and empty texts have no ids.
+tokenizer is of that kind; others are run on whole texts. A piece of plain Latin letters goes straight to the
+tokenizer's model, which gives the same ids without the normalizer's cost. Null and empty texts have no ids.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
 
-#: Pieces kept per Python worker (about 60 MB); the table is emptied beyond it, which changes speed only.
-CACHE_PIECES = 300_000
+#: Pieces kept per Python worker (about 120 MB) in two tables, the older of which is dropped in turn; this changes speed only.
+CACHE_PIECES = 600_000
 
 
 def piecewise(spec: dict) -> bool:
@@ -37,6 +39,17 @@ def piecewise(spec: dict) -> bool:
     return drops_space and plain and added and not spec.get("post_processor")
 
 
+def byte_signs() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary, as a table for str.translate of Latin-1 text."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+#: A word of precomposed Latin letters with at most one sign after it: normalizing it is lower-casing, and its tokens are those of the word and of the sign.
+SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
+
+
 class Encoder:
     """ids(text bytes) -> bytes of little-endian uint32 ids."""
 
@@ -48,24 +61,41 @@ class Encoder:
         with open(file, encoding="utf-8") as f:
             self.by_piece = piecewise(json.load(f))
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}  # the table that `known` replaced
+        self.signs = byte_signs()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, pieces: list[bytes]) -> None:
+        known, tokenize, signs, hard = self.known, self.tokenizer.model.tokenize, self.signs, []
+        for p in pieces:
+            found = self.before.get(p)
+            if found is None:
+                m = SIMPLE.fullmatch(text := p.decode())
+                if m is None:
+                    hard.append((p, text))
+                    continue
+                tokens = tokenize(m[1].lower().encode().decode("latin-1").translate(signs))
+                if m[2]:
+                    tokens += tokenize(m[2])
+                found = np.array([t.id for t in tokens], "<u4").tobytes()
+            known[p] = found
+        if hard:
+            known.update(zip([p for p, _ in hard], self._encode([t for _, t in hard])))
+
     def ids(self, text: bytes) -> bytes:
         if not self.by_piece:
             return self._encode([text.decode()])[0]
         pieces = text.split()
-        known = self.known
         try:
-            return b"".join(map(known.__getitem__, pieces))
+            return b"".join(map(self.known.__getitem__, pieces))
         except KeyError:
             pass
-        new = [p for p in set(pieces) if p not in known]
-        if len(known) + len(new) > CACHE_PIECES:
-            known.clear()
-            new = list(set(pieces))
-        known.update(zip(new, self._encode([p.decode() for p in new])))
+        if len(self.known) > CACHE_PIECES // 2:
+            self.before, self.known = self.known, {}
+        known = self.known
+        self._learn([p for p in set(pieces) if p not in known])
         return b"".join(map(known.__getitem__, pieces))
 
 
