@@ -43,7 +43,7 @@ def word_set(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
-def _non_negative_fit(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 800, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def _non_negative_fit(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and offset by Adam on the non-negative risk; full batches."""
     w, m, v = np.zeros(pos.shape[1] + 1), 0.0, 0.0
     w[-1] = np.log(prior / (1 - prior))
@@ -141,6 +141,7 @@ class ToxicityModel:
             return out
 
         w, offset = _non_negative_fit(matrix(pos), matrix(unl), prior)
+        offset = min(offset, float(np.log(prior / (1 - prior))))  # a text without evidence scores the prior at most
         told = {f: name for name, f in names.items() if column[f] >= 0}
         return cls({told[f]: float(x) for f, x in zip(chosen, w)}, offset)
 
