@@ -28,17 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkyard.llm.common import byte_values, in_batches, semi_by_ids, sorted_groups, written
+from chunkyard.llm.common import BROADCAST_ROWS, byte_values, in_batches, semi_by_ids, sorted_groups, written
 from chunkyard.llm.components import components
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
 UNIVERSE = 1 << 20
-#: Sets that a comparing task takes from one block; two blocks meet at most.
-BLOCK = 1000
+#: Sets, and shingles, that a block should hold; two blocks meet in a comparing task.
+BLOCK, BLOCK_SHINGLES = 1000, 1_000_000
 #: Blocks of a candidate component beyond which it is split by band bucket.
 MOST_BLOCKS = 20
-#: Groups of tiny candidate components share tasks; sets in memory at once stay within two blocks.
 SETS = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>"
 
 
@@ -140,12 +139,12 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
 def near_groups(docs: DataFrame, block: int = BLOCK, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
     signed = written(docs.select("doc_id", "text").mapInArrow(_signed, SETS), "signatures")
-    reps = written(signed.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "sets")
-    banded = reps.select("rep", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("center")).filter("members > 1")
+    reps = written(signed.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")), "sets")
+    banded = reps.select("rep", "n", F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"), F.min("rep").alias("center")).filter("members > 1")
     stars = banded.join(shared, "bucket").filter("rep <> center").select(F.col("rep").alias("u"), F.col("center").alias("v"))
     candidates = written(components(stars), "candidates")
-    links = _links(docs, candidates, banded, shared, block, most_blocks)
+    links = _links(docs, candidates.join(reps.select(F.col("rep").alias("node"), "n"), "node"), banded, shared, block, most_blocks)
     found = components(links)
     of_set = reps.select("set_key", "rep").join(found, F.col("rep") == F.col("node"), "left").select(F.col("set_key").alias("_cy_key"), F.coalesce("component", "rep").alias("_cy_component"))
     component = F.coalesce("_cy_component", "doc_id")
@@ -166,14 +165,15 @@ def _links(docs: DataFrame, candidates: DataFrame, banded: DataFrame, shared: Da
 
     few = semi_by_ids(docs.select("doc_id", "text").filter("doc_id is not null"), "doc_id", candidates.select("node"), nodes)
     held = few.mapInArrow(sets, "node bigint, shingles binary").filter(F.octet_length("shingles") > 0)
-    sizes = candidates.groupBy("component").agg(F.count("*").alias("members"))
+    blocks_of = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    sizes = candidates.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).select("component", blocks_of)
     grouped = candidates.join(sizes, "component")
-    whole = grouped.filter(F.col("members") <= block * most_blocks).select("node", F.col("component").alias("group"), "members")
-    vast = grouped.filter(F.col("members") > block * most_blocks).select("node")
+    whole = grouped.filter(F.col("blocks") <= most_blocks).select("node", F.col("component").alias("group"), "blocks")
+    vast = grouped.filter(F.col("blocks") > most_blocks).select("node")
     if vast.limit(1).count():
-        by_bucket = banded.join(shared.select("bucket", "members"), "bucket").join(vast, F.col("rep") == F.col("node"), "left_semi")
-        whole = whole.unionByName(by_bucket.select(F.col("rep").alias("node"), F.col("bucket").alias("group"), "members"))
-    blocks = F.ceil(F.col("members") / block).cast("int")
+        by_bucket = banded.join(shared.select("bucket", blocks_of), "bucket").join(vast, F.col("rep") == F.col("node"), "left_semi")
+        whole = whole.unionByName(by_bucket.select(F.col("rep").alias("node"), F.col("bucket").alias("group"), "blocks"))
+    blocks = F.col("blocks")
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = whole.withColumn("_cy_own", mine).withColumn("_cy_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     met = dealt.select("node", "group", F.least("_cy_own", "_cy_other").alias("low"), F.greatest("_cy_own", "_cy_other").alias("high"))
@@ -188,6 +188,4 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     gone = written(out.distinct(), "near-copies")
     n = gone.count()
     own = gone.toDF("_cy_id")
-    from chunkyard.llm.common import BROADCAST_ROWS
-
     return docs.join(F.broadcast(own) if n <= BROADCAST_ROWS else own, F.col("doc_id") == F.col("_cy_id"), "left_anti")

@@ -96,7 +96,7 @@ class ToxicityModel:
 
     def score(self, text: str | None) -> float:
         known, found = self.known, set()
-        if len(known) > 500_000:
+        if len(known) > 150_000:
             known.clear()
         for word in set(WORD.findall((text or "").lower())):
             own = known.get(word)
