@@ -1,4 +1,409 @@
-"""Registered queries and their DuckDB equivalents."""
+"""Registered queries of the library's own operators and their DuckDB equivalents.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Tables play the parts of stored content: documents and pages are files, conversations are ordered parts, lineitem
+lines are the terms of a file (order) in stored objects (part), events are an access log.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from chunkyard.functions import codecs, hashes, paths
+from chunkyard.operators import catalog, chunking, lifecycle, reconstruction, store
+from chunkyard.sources import objects, shards
+
+#: Chunk lengths that give texts of a few KB several chunks.
+LOW, AVG, HIGH = 256, 1024, 4096
+FIXED = 512
+ZERO_HEX = "0" * 64
+NOW = "2024-01-15 00:00:00"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").cast("string").alias("file_key"), F.col("doc_id").alias("ingest_seq"), chunking.to_bytes(F.col("text")).alias("content"), "source")
+
+
+def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.hashed(chunking.chunk_files(document_files(spark, sf_dir), LOW, AVG, HIGH))
+
+
+def fixed_document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.fixed_chunks(document_files(spark, sf_dir), FIXED)
+
+
+def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("file"),
+        (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).alias("ord"),
+        F.col("l_partkey").alias("object"),
+        (F.col("l_quantity").cast("bigint") * 100).alias("unpacked"),
+        F.col("l_linenumber").cast("int").alias("chunk_start"),
+        (F.col("l_linenumber") + 1 + F.col("l_suppkey") % 3).cast("int").alias("chunk_end"),
+    )
+
+
+def unique_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One term for each (file, ord)."""
+    return terms(spark, sf_dir).groupBy("file", "ord", "object").agg(F.sum("unpacked").alias("unpacked"), F.min("chunk_start").alias("chunk_start"), F.max("chunk_end").alias("chunk_end"))
+
+
+def footers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounds = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: i.cast("bigint") * (F.col("p_size") + 50))
+    return table(spark, sf_dir, "part").filter("p_size <> 13").select(F.col("p_partkey").alias("object"), bounds.alias("boundaries"))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    header = (
+        F.when(F.col("o_orderkey") % 5 == 0, F.lit(""))
+        .when(F.col("o_orderkey") % 5 == 1, F.lit("bytes=500-2499"))
+        .when(F.col("o_orderkey") % 5 == 2, F.lit("bytes=0-"))
+        .when(F.col("o_orderkey") % 5 == 3, F.lit("bytes=100000-200000"))
+        .otherwise(F.concat(F.lit("bytes=1000-"), (F.lit(1000) + F.col("o_orderkey") % 7 * 1500).cast("string")))
+    )
+    file = F.when(F.col("o_orderkey") % 41 == 0, -F.col("o_orderkey")).otherwise(F.col("o_orderkey"))
+    return orders.select(F.col("o_orderkey").alias("request"), file.alias("file"), header.alias("header"))
+
+
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconstruction.request_windows(requests(spark, sf_dir), reconstruction.file_sizes(unique_terms(spark, sf_dir)))
+
+
+def stored_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk streams of four texts each, the texts being chunks."""
+    d = table(spark, sf_dir, "documents").filter("length(text) > 0")
+    chunks = d.select(F.floor(F.col("doc_id") / 4).cast("string").alias("object_key"), (F.col("doc_id") % 4).alias("seq"), chunking.to_bytes(F.col("text")).alias("data"))
+    return objects.build_objects(chunks, codecs.LZ4)
+
+
+# --- queries ---------------------------------------------------------------------------------------------------------
+
+
+def cdc_chunks(spark, sf_dir):
+    return document_chunks(spark, sf_dir).select("file_key", F.col("seq").cast("bigint").alias("seq"), "offset", F.col("length").cast("bigint").alias("length"), "hash")
+
+
+def upload_stats(spark, sf_dir):
+    chunks = chunking.hashed(fixed_document_chunks(spark, sf_dir))
+    return store.upload_stats(document_files(spark, sf_dir), chunks).select("file_key", "file_id", "size", "chunks_total", "chunks_new", "bytes_stored", F.round("dedup_percent", 6).alias("dedup_percent"))
+
+
+def cdc_upload_stats(spark, sf_dir):
+    return store.upload_stats(document_files(spark, sf_dir), document_chunks(spark, sf_dir)).agg(
+        F.count("*").alias("uploads"), F.sum("size").alias("size"), F.sum("chunks_total").alias("chunks_total"), F.sum("chunks_new").alias("chunks_new"), F.sum("bytes_stored").alias("bytes_stored")
+    )
+
+
+def store_stats(spark, sf_dir):
+    return store.store_stats(chunking.hashed(fixed_document_chunks(spark, sf_dir)), document_files(spark, sf_dir)).select("unique_chunks", F.col("unique_bytes").cast("bigint").alias("unique_bytes"), "files_stored")
+
+
+def file_ids(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("page/"), F.col("page_id").cast("string")).alias("file_key"), chunking.to_bytes(F.col("html")).alias("content"))
+    both = document_files(spark, sf_dir).select("file_key", "content").unionByName(pages)
+    return both.select("file_key", F.sha2("content", 256).alias("sha256"), hashes.file_id(F.sha2("content", 256)).alias("file_id"), F.octet_length("content").cast("bigint").alias("size"))
+
+
+def duplicate_files(spark, sf_dir):
+    f = document_files(spark, sf_dir).select(F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("bigint").alias("size"))
+    return f.groupBy("sha256").agg(F.count("*").alias("copies"), F.sum("size").alias("bytes")).filter("copies > 1")
+
+
+def fixed_chunk_dedup(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("file_key"), chunking.to_bytes(F.col("html")).alias("content"))
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("file_key"), chunking.to_bytes(F.col("text")).alias("content"))
+    chunks = chunking.hashed(chunking.fixed_chunks(pages.unionByName(turns), FIXED))
+    return chunks.groupBy("hash").agg(F.count("*").alias("uses"), F.max("length").cast("bigint").alias("length")).filter("uses > 1")
+
+
+def insert_if_absent(spark, sf_dir):
+    of = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_key"), F.coalesce("lang", F.lit("")).alias("lang"))
+    chunks = fixed_document_chunks(spark, sf_dir).join(of, "file_key").select(F.sha2("data", 256).alias("key"), F.octet_length("data").alias("size"), F.col("data").alias("content"), "lang")
+    new, _ = store.insert_if_absent(chunks.filter("lang <> 'en'").drop("lang"), chunks.filter("lang = 'en'").select("key"))
+    return new.select("key", F.col("size").cast("bigint").alias("size"))
+
+
+def verify_dedup(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), F.col("doc_id"), chunking.to_bytes(F.col("text")).alias("content"))
+    held = d.filter("doc_id % 3 <> 0").select("key", F.when(F.col("doc_id") % 3 == 1, F.concat(F.col("content"), F.lit(b"x"))).otherwise(F.col("content")).alias("content"))
+    return store.verify_insert(d.select("key", "content"), held, 1024).select("key", "status", F.col("mismatch_round_offset").cast("bigint").alias("mismatch_round_offset"))
+
+
+def blob_ranges(spark, sf_dir):
+    f = document_files(spark, sf_dir).select(F.col("file_key").alias("key"), "content")
+    return store.get_range(f, F.lit(100), F.lit(50)).select("key", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("bigint").alias("length"))
+
+
+def version_overlap(spark, sf_dir):
+    chunks = chunking.hashed(fixed_document_chunks(spark, sf_dir)).join(document_files(spark, sf_dir).select("file_key", "source"), "file_key")
+    return chunking.shared_chunks(chunks.filter("source = 'src0'"), chunks.filter("source <> 'src0'"))
+
+
+def restore_roundtrip(spark, sf_dir):
+    files = document_files(spark, sf_dir)
+    pieces = chunking.chunk_files(files, LOW, AVG, HIGH)
+    manifest = store.manifests(files, chunking.hashed(pieces))
+    blobs = pieces.select(F.sha2("data", 256).alias("key"), F.col("data").alias("content")).dropDuplicates(["key"])
+    restored = store.restore(manifest, blobs)
+    return restored.select("file_key", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("bigint").alias("size"))
+
+
+def manifest_offsets(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_key"), F.col("turn").alias("seq"), F.octet_length(chunking.to_bytes(F.col("text"))).cast("bigint").alias("length"))
+    return chunking.with_offsets(turns).select("file_key", "seq", "length", F.col("offset").cast("bigint").alias("offset"))
+
+
+def file_sizes(spark, sf_dir):
+    return reconstruction.file_sizes(terms(spark, sf_dir))
+
+
+def recon_range_status(spark, sf_dir):
+    return windows(spark, sf_dir).select("request", "status", "start", "stop")
+
+
+def recon_v1_terms(spark, sf_dir):
+    w = windows(spark, sf_dir)
+    v1 = reconstruction.build_v1(w, reconstruction.clipped_terms(w, unique_terms(spark, sf_dir), footers(spark, sf_dir)))
+    return v1.filter("status = 'ok'").select("request", "offset_into_first_range", F.inline("terms")).select("request", F.col("offset_into_first_range").cast("bigint").alias("offset_into_first_range"), "ord", "object", "unpacked")
+
+
+def recon_v1_fetch(spark, sf_dir):
+    w = windows(spark, sf_dir)
+    v1 = reconstruction.build_v1(w, reconstruction.clipped_terms(w, unique_terms(spark, sf_dir), footers(spark, sf_dir)))
+    rows = v1.filter("status = 'ok'").select("request", F.explode("fetch_info").alias("object", "fetch")).select("request", "object", F.inline("fetch"))
+    return rows.select("request", "object", "ord", F.col("url_range.start").alias("byte_start"), F.col("url_range.stop").alias("byte_stop"))
+
+
+def recon_v2_groups(spark, sf_dir):
+    w = windows(spark, sf_dir)
+    v2 = reconstruction.build_v2(w, reconstruction.clipped_terms(w, unique_terms(spark, sf_dir), footers(spark, sf_dir)))
+    rows = v2.filter("status = 'ok'").select("request", F.explode("objects").alias("object", "ranges"))
+    return rows.select("request", "object", F.size("ranges").cast("bigint").alias("n_ranges"), F.array_min(F.transform("ranges", lambda r: r["url_range"]["start"])).alias("first_byte"))
+
+
+def recon_status(spark, sf_dir):
+    w = windows(spark, sf_dir)
+    v2 = reconstruction.build_v2(w, reconstruction.clipped_terms(w, unique_terms(spark, sf_dir), footers(spark, sf_dir)))
+    return v2.groupBy("status").agg(F.count("*").alias("requests"))
+
+
+def cacheable_files(spark, sf_dir):
+    bodies = table(spark, sf_dir, "part").filter("p_size <> 17").select(F.col("p_partkey").alias("object"))
+    return reconstruction.cacheable_files(terms(spark, sf_dir), footers(spark, sf_dir), bodies)
+
+
+def sized_users(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.groupBy(F.col("user_id").alias("key")).agg(F.max("ts").alias("last_access"), F.sum(F.floor(F.abs("value")).cast("bigint") + 1).alias("size"))
+
+
+def eviction_plan(spark, sf_dir):
+    return lifecycle.eviction_plan(sized_users(spark, sf_dir), 20_000).select("key", "size", F.col("freed_before").cast("bigint").alias("freed_before"))
+
+
+def storage_stats(spark, sf_dir):
+    o = sized_users(spark, sf_dir)
+    return lifecycle.storage_stats(o, lifecycle.eviction_plan(o, 20_000))
+
+
+def eviction_candidates(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    log = e.select(F.col("user_id").alias("key"), "ts", F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1).alias("delta"))
+    summary = lifecycle.access_summary(log)
+    sizes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.lit(100).cast("bigint").alias("size"))
+    return lifecycle.candidates(sizes, summary.select("key", "last_access"), summary.select("key", "in_flight")).select("key", F.unix_timestamp("last_access").alias("last_access"), "size")
+
+
+def ttl_freshness(spark, sf_dir):
+    cache = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("key")).agg(F.max("ts").alias("stored_at"), F.max("event_id").cast("string").alias("value"))
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"))
+    live = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value"))
+    return lifecycle.served(keys, cache, live, F.lit(NOW).cast("timestamp"), 3 * 86400)
+
+
+def rate_limit_decisions(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "event_id", "ts")
+    return lifecycle.rate_limit(e, 3.0, 1 / 43_200).select("key", "event_id", "allowed")
+
+
+def chunk_index_first_writer(spark, sf_dir):
+    chunks = chunking.hashed(fixed_document_chunks(spark, sf_dir)).select("hash", F.col("file_key").cast("bigint").alias("file"), "seq")
+    order = F.struct("file", "seq")
+    return chunks.groupBy("hash").agg(F.min_by("file", order).alias("file"))
+
+
+def catalog_last_writer(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("repo_id"), F.col("event_type").alias("path"), "event_id", F.floor(F.abs("value")).cast("bigint").alias("size"))
+    return catalog.last_writer(e, ["repo_id", "path"], "event_id")
+
+
+def page_paths(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select(F.regexp_replace(F.split("url", "[?#]")[0], "^https?://", "").alias("path"), F.sha2("html", 256).alias("sha256_hex"), F.length("html").cast("bigint").alias("size"), "page_id")
+
+
+def page_files(spark, sf_dir):
+    p = page_paths(spark, sf_dir).groupBy("path").agg(F.max_by(F.struct("sha256_hex", "size"), "page_id").alias("f"))
+    own = F.when(F.substring("f.sha256_hex", 1, 1) < "8", F.col("f.sha256_hex")).otherwise(ZERO_HEX)
+    named = [F.lit("model").alias("repo_type"), F.lit("org/pages").alias("repo_id"), F.lit("main").alias("revision")]
+    return p.select(*named, "path", F.col("f.sha256_hex").alias("sha256_hex"), F.col("f.size").alias("size"), own.alias("content_hash"))
+
+
+def tree_listing(spark, sf_dir):
+    files = page_files(spark, sf_dir)
+    hosts = files.select(F.split("path", "/")[0].alias("prefix")).distinct()
+    asked = hosts.select(F.col("prefix").alias("request"), F.lit("model").alias("repo_type"), F.lit("org/pages").alias("repo_id"), F.lit("").alias("revision"), "prefix")
+    return catalog.tree(files, asked)
+
+
+def repo_info(spark, sf_dir):
+    info = catalog.repo_info(page_files(spark, sf_dir))
+    return info.select("repo_id", "sha", F.size("siblings").cast("bigint").alias("n_siblings"), F.sha2(F.array_join("siblings", "\n"), 256).alias("siblings_sha256"))
+
+
+def resolve(spark, sf_dir):
+    files = page_files(spark, sf_dir)
+    bridge = files.filter(F.col("content_hash") == ZERO_HEX).select("sha256_hex", F.reverse("sha256_hex").alias("file_hash")).dropDuplicates(["sha256_hex"])
+    own = files.filter(F.col("content_hash") != ZERO_HEX).select(F.col("content_hash").alias("file_hash"), "size")
+    other = files.filter(F.col("content_hash") == ZERO_HEX).select(F.reverse("sha256_hex").alias("file_hash"), "size")
+    sizes = own.unionByName(other).dropDuplicates(["file_hash"])
+    asked = files.select(F.col("path").alias("request"), "repo_type", "repo_id", "revision", "path")
+    commits = files.select("repo_type", "repo_id", "revision").distinct().withColumn("commit_oid", F.lit(None).cast("string"))
+    return catalog.resolve(asked, files, bridge, sizes, commits).select("request", "etag", "linked_size", "file_hash", "commit_oid", "refresh_route")
+
+
+def parse_resolve_path(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id")
+    k = F.col("page_id")
+    path = (
+        F.when(k % 6 == 0, F.concat(F.lit("/datasets/o/n"), k, F.lit("/resolve/main/data/x.parquet")))
+        .when(k % 6 == 1, F.concat(F.lit("alice/m"), k, F.lit("/resolve/refs/pr/1/file.bin")))
+        .when(k % 6 == 2, F.concat(F.lit("spaces/o/s"), k, F.lit("/resolve/v1/a")))
+        .when(k % 6 == 3, F.lit("//resolve//0"))
+        .when(k % 6 == 4, F.concat(F.lit("o/n"), k, F.lit("/resolve/main/")))
+        .otherwise(F.concat(F.lit("o/n"), k, F.lit("/tree/main/a")))
+    )
+    return p.select("page_id", paths.parse_resolve_path(path).alias("r")).select("page_id", "r.repo_type", "r.repo_id", "r.revision", "r.file")
+
+
+def parse_byte_range(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("total"))
+    headers = F.array(*map(F.lit, ("bytes=0-99", "", "bytes=", "bytes=-", "bytes=0-", "bytes=-100", "bytes=100-0", "BYTES=0-99", "bytes=0-99, 100-199", "bytes= 5-9", "bytes=0-99999999999999999999")))
+    header = F.element_at(headers, (F.col("doc_id") % 11 + 1).cast("int"))
+    r = paths.parse_byte_range(header, F.col("total"))
+    return d.select("doc_id", r.alias("r")).select("doc_id", "r.status", "r.start", "r.stop")
+
+
+def lfs_preupload(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.when(F.col("doc_id") % 10 == 0, 0).otherwise(F.length(F.coalesce("text", F.lit("")))).cast("bigint").alias("size"))
+    return catalog.preupload(d).groupBy("upload_mode").agg(F.count("*").alias("files"), F.sum("size").alias("size"))
+
+
+def lfs_batch(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.length(F.coalesce("text", F.lit(""))).alias("size"))
+    batches = d.groupBy("source").agg(F.collect_list(F.struct(F.col("doc_id").alias("oid"), "size")).alias("objects"), F.min("doc_id").alias("low"))
+    shaped = batches.select(
+        F.when(F.col("low") % 4 == 3, "download").otherwise("upload").alias("operation"), F.when(F.col("low") % 4 == 2, "").otherwise("org").alias("namespace"), F.col("source").alias("name"), "objects"
+    )
+    return catalog.batch_check(shaped).select("name", "status", F.coalesce(F.size("objects"), F.lit(0)).cast("bigint").alias("echoed"))
+
+
+def commit_files(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("size"))
+    value = F.to_json(
+        F.struct(
+            F.when(F.col("doc_id") % 5 == 0, "header").otherwise("lfsFile").alias("key"),
+            F.struct(F.concat("source", F.lit("/f"), (F.col("doc_id") % 50).cast("string")).alias("path"), F.lit("sha256").alias("algo"), F.sha2(F.col("doc_id").cast("string"), 256).alias("oid"), "size").alias("value"),
+        )
+    )
+    lines = d.select(F.col("doc_id").alias("line_no"), F.when(F.col("doc_id") % 7 == 0, "  ").otherwise(value).alias("line"))
+    return catalog.last_writer(catalog.commit_files(lines), ["path"], "line_no").select("path", "sha256_hex", "size")
+
+
+def dedup_lookup(spark, sf_dir):
+    of = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_key"), "lang", "source")
+    chunks = chunking.hashed(fixed_document_chunks(spark, sf_dir)).join(of, "file_key").select(F.col("hash").alias("chunk_hash"), F.col("file_key").cast("bigint").alias("file"), "lang", "source")
+    index = chunks.filter("lang = 'en'").groupBy("chunk_hash").agg(F.min("file").cast("string").alias("shard_hash"))
+    bodies = of.filter("source <> 'src0'").select(F.col("file_key").alias("shard_hash"), F.lit("body").alias("body"))
+    asked = chunks.select(F.col("chunk_hash"), F.lit("default-merkledb").alias("prefix")).distinct().withColumn("request", F.col("chunk_hash"))
+    return catalog.dedup_lookup(asked, index, bodies).groupBy("status").agg(F.count("*").alias("requests"))
+
+
+def hash_hex_transform(spark, sf_dir):
+    h = table(spark, sf_dir, "documents").select("doc_id", F.unhex(F.sha2(chunking.to_bytes(F.col("text")), 256)).alias("h"))
+    back = hashes.hash_from_hex(hashes.hash_hex(F.col("h"))) == F.col("h")
+    return h.select("doc_id", hashes.hash_hex(F.col("h")).alias("hex"), hashes.mod64(F.col("h"), 4).cast("bigint").alias("mod4"), back.alias("back"))
+
+
+def truncated_key_order(spark, sf_dir):
+    h = table(spark, sf_dir, "documents").select(F.unhex(F.sha2(chunking.to_bytes(F.col("text")), 256)).alias("h"), F.octet_length(chunking.to_bytes(F.col("text"))).alias("n")).distinct()
+    key = hashes.truncated_key(F.col("h"))
+    return h.select(F.lower(F.hex(key)).alias("key"), F.pmod("n", F.lit(16)).alias("part")).select("key", F.col("part").cast("bigint").alias("part"), F.rank().over(Window.partitionBy("part").orderBy("key")).cast("bigint").alias("rank"))
+
+
+def byte_grouping(spark, sf_dir):
+    f = document_files(spark, sf_dir).select("file_key", "content")
+    grouped = f.withColumn("grouped", codecs.grouped_bytes("content"))
+    return grouped.select("file_key", F.octet_length("grouped").cast("bigint").alias("length"), F.sha2("grouped", 256).alias("grouped_sha256"), (codecs.ungrouped_bytes("grouped") == F.col("content")).alias("back"))
+
+
+def chunk_stream_decode(spark, sf_dir):
+    """Chunk streams of LZ4 payloads, scanned, cut and decoded again."""
+    built = stored_objects(spark, sf_dir)
+    found = objects.scan_objects(built).join(built, "object_key")
+    payload = F.substring(F.col("body"), (F.col("data_offset") + 1).cast("int"), F.col("compressed_length"))
+    plain = found.withColumn("d", codecs.decoded(payload, F.col("scheme"), F.col("uncompressed_length")))
+    return plain.select("object_key", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.sha2("d.content", 256).alias("sha256"), F.col("uncompressed_length").cast("bigint").alias("length"))
+
+
+def object_footers(spark, sf_dir):
+    f = objects.object_footers(stored_objects(spark, sf_dir))
+    return f.select("object_key", hashes.hash_hex(F.col("object_hash")).alias("object_hash"), F.size("chunk_hashes").alias("chunks"), F.element_at("unpacked", -1).alias("unpacked"), "error")
+
+
+def merkle_file_hash(spark, sf_dir):
+    chunks = chunking.chunk_files(document_files(spark, sf_dir), LOW, AVG, HIGH).withColumn("leaf", hashes.leaf_hash("data"))
+    refs = chunks.groupBy("file_key").agg(F.sort_array(F.collect_list(F.struct("seq", F.col("leaf").alias("hash"), F.col("length").cast("bigint").alias("size")))).alias("refs"))
+    entries = F.transform("refs", lambda r: F.struct(r["hash"].alias("hash"), r["size"].alias("size")))
+    rooted = refs.select("file_key", hashes.file_hash_of(entries).alias("root"), F.size("refs").alias("chunks"))
+    return rooted.select("file_key", hashes.hash_hex(F.col("root")).alias("file_hash"), "chunks")
+
+
+def shard_roundtrip(spark, sf_dir):
+    t = unique_terms(spark, sf_dir)
+    to_hash = lambda c: F.unhex(F.sha2(c.cast("string"), 256))
+    none = F.lit(None).cast("bigint")
+    rows = t.select(
+        F.pmod("file", F.lit(16)).cast("string").alias("shard_key"),
+        F.lit("term").alias("section"),
+        F.col("ord").alias("ordinal"),
+        to_hash(F.col("file")).alias("owner_hash"),
+        to_hash(F.col("object")).alias("item_hash"),
+        F.lit(0).cast("bigint").alias("flags"),
+        F.col("unpacked").alias("unpacked_bytes"),
+        F.col("chunk_start").cast("bigint").alias("chunk_start"),
+        F.col("chunk_end").cast("bigint").alias("chunk_end"),
+        none.alias("byte_start"),
+    )
+    back = shards.shard_records(shards.write_shards(rows)).filter("section = 'term'")
+    return back.groupBy("shard_key").agg(F.count("*").alias("terms"), F.sum("unpacked_bytes").alias("unpacked"), F.sum("chunk_end").alias("chunk_ends"), F.countDistinct("owner_hash").alias("files"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        cdc_chunks, upload_stats, cdc_upload_stats, store_stats, file_ids, duplicate_files, fixed_chunk_dedup, insert_if_absent, verify_dedup, blob_ranges, version_overlap,
+        restore_roundtrip, manifest_offsets, file_sizes, recon_range_status, recon_v1_terms, recon_v1_fetch, recon_v2_groups, recon_status, cacheable_files, eviction_plan,
+        storage_stats, eviction_candidates, ttl_freshness, rate_limit_decisions, chunk_index_first_writer, catalog_last_writer, tree_listing, repo_info, resolve,
+        parse_resolve_path, parse_byte_range, lfs_preupload, lfs_batch, commit_files, dedup_lookup, hash_hex_transform, truncated_key_order, byte_grouping,
+        chunk_stream_decode, object_footers, merkle_file_hash, shard_roundtrip,
+    )
+}
+from chunkyard.plans.oracles import ORACLE_SQL  # noqa: E402
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
