@@ -64,15 +64,12 @@ def _minima(hashes: Column, mask: int) -> Column:
     return F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(mask))))
 
 
-def _bands(blocks: Column, single: Column) -> list[Column]:
-    """Band values of the windows that pairs of blocks make, and of single shingles."""
-    out = [single]
-    for mask in MASKS:
-        least = F.transform(blocks, lambda b, m=mask: _minima(b, m))
-        after = F.concat(F.slice(least, 2, F.greatest(F.size(least) - 1, F.lit(0))), F.array(F.lit(None).cast("bigint")))
-        pairs = F.zip_with(least, after, lambda a, b: F.least(a, b))
-        out.append(F.transform(pairs, lambda v, m=mask: F.xxhash64(v, F.lit(m))))
-    return out
+def _window_bands(blocks: Column, mask: int) -> Column:
+    """Band values of one coordinate: each pair of neighbouring blocks is a window."""
+    least = F.transform(blocks, lambda b: _minima(b, mask))
+    after = F.concat(F.slice(least, 2, F.greatest(F.size(least) - 1, F.lit(0))), F.array(F.lit(None).cast("bigint")))
+    pairs = F.zip_with(least, after, lambda a, b: F.least(a, b))
+    return F.transform(pairs, lambda v: F.xxhash64(v, F.lit(mask)))
 
 
 def _template_bands(spark, templates: dict[str, str]) -> dict[str, list[int]]:
@@ -107,7 +104,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, perc
     hashed = split.select("doc_id", "words", F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice("words", i, WORDS), " "))).alias("hashes"))
     starts = F.when(F.size("hashes") > 0, F.sequence(F.lit(1), F.size("hashes"), F.lit(STEP))).otherwise(F.array().cast("array<int>"))
     blocked = hashed.select("doc_id", "words", "hashes", F.transform(starts, lambda i: F.slice("hashes", i, STEP)).alias("blocks"))
-    banded = blocked.select("doc_id", "words", F.array_intersect(F.flatten(F.array(*_bands(F.col("blocks"), F.col("hashes")))), every).alias("hits"))
+    banded = blocked.select("doc_id", "words", F.array_intersect(F.flatten(F.array(F.col("hashes"), *(_window_bands(F.col("blocks"), m) for m in MASKS))), every).alias("hits"))
     shown = F.when(F.size("hits") > 0, F.transform(F.sequence(F.lit(1), F.size("words") - (WORDS - 1)), lambda i: F.array_join(F.slice("words", i, WORDS), " "))).otherwise(F.array().cast("array<string>"))
     held = banded.select("doc_id", "hits", shown.alias("shown"))
 
