@@ -3,8 +3,8 @@
 Texts go to partitions by byte length and content hash. Before that, each task collapses its own copies in small tries, so
 a text that a third of all rows share reaches its partition once a batch and task, not once a row. In a partition, the
 byte strings of each (length, hash prefix) cell enter a compressed radix trie; the node where a string ends holds its
-smallest and largest identifiers and its number of rows. A trie beyond its memory bound writes whole subtrees to a file of
-the task and merges them one subtree at a time. Every row then finds its owner by length and SHA-256; should
+smallest and largest identifiers and its number of rows. A trie beyond its memory bound writes whole subtrees to a file that
+lives as long as the task, as Spark's own spills do, and merges them one subtree at a time. Every row then finds its owner by length and SHA-256; should
 different texts ever share both, their tries show it and the job fails.
 
 Texts are equal when identical after lower-casing A-Z only; null counts as empty. Null identifiers count in group sizes and

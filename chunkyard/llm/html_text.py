@@ -57,6 +57,8 @@ HINTS = frozenset(
 ROLES_ON_TOP = frozenset(("header", "banner"))
 ARTICLE = frozenset(("article", "main"))
 
+#: Elements nested deeper become siblings, as in browsers; this bounds the work for a tag.
+MOST_DEPTH = 512
 TAG = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
 REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -64,10 +66,12 @@ TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "cut", "chars", "tags", "linked", "links", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "cut", "depth", "within", "chars", "tags", "linked", "links", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool):
         self.tag, self.parent, self.cut = tag, parent, cut
+        self.depth = parent.depth + 1 if parent else 0
+        self.within = tag in ARTICLE or (parent is not None and parent.within)
         self.parts: list[Node | str] = []
 
 
@@ -76,13 +80,7 @@ def is_cut(tag: str, attributes: str, parent: Node) -> bool:
         return True
     if tag in ("html", "body") or tag in ARTICLE:
         return False
-    on_top = True
-    up: Node | None = parent
-    while up is not None:
-        if up.tag in ARTICLE:
-            on_top = False
-            break
-        up = up.parent
+    on_top = not parent.within
     if tag == "header" and on_top:
         return True
     if not attributes:
@@ -160,6 +158,8 @@ def parse(page: str) -> Node:
                 up = up.parent
             if last is not None and last.parent is not None:
                 at = last.parent
+        while at.depth >= MOST_DEPTH and at.parent is not None:
+            at = at.parent
         node = Node(tag, at, at.cut or is_cut(tag, attributes[:-1], at))
         if not at.cut and (not node.cut or tag in BLOCK):
             at.parts.append(node)
@@ -226,7 +226,7 @@ def _chosen(body: Node) -> set[int]:
     for x in order:
         if x is not body and x.density >= threshold and x.chars or x is seed:
             pick = best[id(x)]
-            around: Node | None = pick
+            around: Node | None = pick if pick.within else None
             while around is not None and around.tag not in ARTICLE:
                 around = around.parent
             taken.add(id(around or pick))

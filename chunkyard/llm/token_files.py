@@ -117,6 +117,8 @@ def _write_shard(fs: pafs.FileSystem, path: str, rows: Iterator[tuple[int, bytes
         for size, bits in zip(sizes, index.levels):
             out.write(struct.pack("<QQ", size, len(bits)) + bits.tobytes())
         out.write(HEAD.pack(1, width, len(doc), int(n.sum()), len(sizes)))
+    if fs.get_file_info(path).type != pafs.FileType.NotFound:  # an earlier attempt's, with the same content
+        fs.delete_file(path)
     fs.move(temp, path)
     return int(doc[0]), int(doc[-1]), len(doc), int(n.sum())
 
