@@ -15,10 +15,11 @@ from chunkyard.operators.lifecycle import access_summary, eviction_plan, token_b
 from chunkyard.operators.store import insert_if_absent
 
 
-def rate_limit_stream(events: DataFrame, burst: float, refill: float) -> DataFrame:
+def rate_limit_stream(events: DataFrame, burst: float, refill: float, prune: bool = False) -> DataFrame:
     """Decisions for a stream of (key, event_id, ts); a key's bucket is its state.
 
-    An idle bucket is dropped once it must be full again, which changes no decision.
+    With `prune` an idle bucket is dropped once it must be full again, which changes no decision; timeouts keep a query
+    running, so a query that should end with its input goes without.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -33,11 +34,11 @@ def rate_limit_stream(events: DataFrame, burst: float, refill: float) -> DataFra
             yield pd.DataFrame({"key": key[0], "event_id": ordered["event_id"], "ts": ordered["ts"], "allowed": allowed})
         if level is not None:
             state.update((float(level), float(at)))
-            if refill > 0:
+            if prune and refill > 0:
                 state.setTimeoutDuration(int(1000 * (burst / refill + 1)))
 
     return events.groupBy("key").applyInPandasWithState(
-        step, "key bigint, event_id bigint, ts timestamp, allowed boolean", "tokens double, last_seen double", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, "key bigint, event_id bigint, ts timestamp, allowed boolean", "tokens double, last_seen double", "append", GroupStateTimeout.ProcessingTimeTimeout if prune else GroupStateTimeout.NoTimeout
     )
 
 
