@@ -8,6 +8,7 @@ sparse candidates is sequential.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ MIN, AVG, MAX = 4 << 10, 64 << 10, 256 << 10
 CHUNKS = "file_key string, seq int, offset bigint, length int, data binary"
 
 
+@lru_cache(maxsize=1)
 def gear_table() -> np.ndarray:
     """256 words of a splitmix64 generator whose state starts one step in."""
     step = 0x9E3779B97F4A7C15
@@ -40,12 +42,20 @@ def candidates(data: np.ndarray, bits: int, gear: np.ndarray) -> np.ndarray:
     n = len(data)
     if n < bits or not bits:
         return np.arange(n) if not bits else np.zeros(0, np.int64)
+    kind = np.uint16 if bits <= 16 else np.uint32 if bits <= 32 else np.uint64
+    # sums[w][i] is the hash of the w bytes from i on; a longer window is two shorter ones, the first shifted past the second.
+    width, part = 1, gear.astype(kind)[data]
+    window, done = None, 0
     with np.errstate(over="ignore"):
-        g = gear[data]
-        h = np.zeros(n - bits + 1, np.uint64)
-        for j in range(bits):
-            h += g[bits - 1 - j : n - j] << np.uint64(j)
-    return np.flatnonzero(h & np.uint64(2**bits - 1) == 0) + bits - 1
+        while True:
+            if bits & width:
+                window = part if window is None else (part[: n - done - width + 1] << kind(done)) + window[width:] if done else part
+                done += width
+            if width * 2 > bits:
+                break
+            part = (part[:-width] << kind(width)) + part[width:]
+            width *= 2
+    return np.flatnonzero(window & kind(2**bits - 1) == 0) + bits - 1
 
 
 def cut_points(content: bytes, low: int = MIN, avg: int = AVG, high: int = MAX) -> list[int]:
