@@ -15,6 +15,19 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 4_000_000
 
 
+#: Rows and bytes that go to Python at once; texts can be long, and several workers share an executor's memory.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps the session's Arrow batches within these bounds."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        n = int(now) if now and now.lstrip("-").isdigit() else 0
+        if n <= 0 or n > most:
+            spark.conf.set(key, str(most))
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir; where that is unset (local tests) a temporary folder takes its place."""
     root = spark.conf.get("spark.checkpoint.dir", None)

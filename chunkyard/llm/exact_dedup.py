@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkyard.llm.common import in_batches, lower_ascii, record_batch, runs, semi_by_ids, written
+from chunkyard.llm.common import bounded_batches, in_batches, lower_ascii, record_batch, runs, semi_by_ids, written
 
 #: Bytes of keys that one trie holds before it spills subtrees.
 TRIE_BYTES = 64 << 20
@@ -161,6 +161,7 @@ def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 def exact_groups(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """One row a document: doc_id, keep_id (smallest or largest of its group), group_size, kept, text_sha256."""
+    bounded_batches(docs.sparkSession)
     text = lower_ascii(F.col("text"))
     keyed = docs.select(F.octet_length(text).cast("bigint").alias("_cy_len"), F.sha2(text, 256).alias("_cy_sha"), text.alias("_cy_text"), F.col("doc_id"))
     cells = keyed.mapInArrow(_collapse, LOCAL).repartition("_cy_len", "_cy_cell").sortWithinPartitions("_cy_len", "_cy_cell")

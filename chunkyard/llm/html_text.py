@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chunkyard.llm.common import bounded_batches
+
 # Fixed values of the HTML language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -278,4 +280,5 @@ def extract(pages: DataFrame) -> DataFrame:
     def text(html: pd.Series) -> pd.Series:
         return pd.Series([main_text(x) for x in html], dtype=object)
 
+    bounded_batches(pages.sparkSession)
     return pages.select("page_id", "url", text("html").alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkyard.llm.common import BROADCAST_ROWS, byte_values, in_batches, semi_by_ids, sorted_groups, written
+from chunkyard.llm.common import BROADCAST_ROWS, bounded_batches, byte_values, in_batches, semi_by_ids, sorted_groups, written
 from chunkyard.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -138,6 +138,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
 
 def near_groups(docs: DataFrame, block: int = BLOCK, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
+    bounded_batches(docs.sparkSession)
     signed = written(docs.select("doc_id", "text").mapInArrow(_signed, SETS), "signatures")
     reps = written(signed.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")), "sets")
     banded = reps.select("rep", "n", F.explode("bands").alias("bucket"))

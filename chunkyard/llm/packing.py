@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkyard.llm.common import byte_values, written
+from chunkyard.llm.common import bounded_batches, byte_values, written
 from chunkyard.llm.tokens import encoder
 
 #: Nodes that the search for one filling may visit before it takes the best found.
@@ -197,4 +197,5 @@ class Packing:
 
 def pack(docs: DataFrame, file: str, end_id: int = 1, capacity: int = 4096, nodes: int = NODES) -> Packing:
     """Packs every text of docs (doc_id, text) into sequences of at most `capacity` ids."""
+    bounded_batches(docs.sparkSession)
     return Packing(docs.sparkSession, token_pieces(docs, file, end_id, capacity), capacity, nodes)

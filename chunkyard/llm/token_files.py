@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkyard.llm.common import byte_values, work_dir, written
+from chunkyard.llm.common import bounded_batches, byte_values, work_dir, written
 from chunkyard.llm.tokens import encoder
 
 MAGIC = b"CYTOKEN1"
@@ -181,6 +181,7 @@ class Shard:
 def write_token_files(docs: DataFrame, file: str, end_id: int = 2, vocab_size: int = 65_536, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes all texts (doc_id, text) as shards in ascending doc_id; returns the manifest, ordered by `low` when sorted by (low, first): file, low, high, docs, ids, start."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     folder = work_dir(spark, "token-files")
     width = 2 if vocab_size <= 65_536 else 4
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chunkyard.llm.common import bounded_batches
+
 MOST_POSITIVE, MOST_UNLABELLED, FEATURES = 2000, 6000, 400
 #: Share of the unlabelled texts with a feature that must be toxic by the prior and the positives' rate.
 PURITY = 0.85
@@ -171,6 +173,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, column: str = "toxicity_score") -> DataFrame:
     """docs with a score from 0 to 1 for each whole text."""
+    bounded_batches(docs.sparkSession)
     own = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES words
 
     @F.pandas_udf("double")
