@@ -1,6 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Documents are sets of lower-cased letter runs and of their stems. Positives are texts confirmed as toxic; the unlabelled texts are drawn
+Documents are sets of lower-cased letter runs and of stems with the number of different words that lengthen them, up to
+three: one such word may be chance where several inflections are not. Positives are texts confirmed as toxic; the unlabelled texts are drawn
 without regard to any label. Words that tell the two apart become features of a linear model, trained with numpy on the
 non-negative risk
 
@@ -20,6 +21,8 @@ null doc_id is scored and never learned from. Without any confirmed toxic row al
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,6 +37,8 @@ from chunkyard.llm.common import bounded_batches
 MOST_POSITIVE, MOST_UNLABELLED, FEATURES = 2000, 6000, 400
 #: Share of the unlabelled texts with a feature that must be toxic by the prior and the positives' rate.
 PURITY = 0.85
+#: Letters of a stem; different words that lengthen one, counted up to this many.
+STEMS, MOST_WORDS = (5, 6, 7, 8), 3
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -70,22 +75,27 @@ def _told_apart(a: int, n: int, b: int, m: int) -> float:
     return 2 * (part(a, n) + rest(a, n) + part(b, m) + rest(b, m))
 
 
-def different(sets: list[np.ndarray], places: int = 4096) -> list[np.ndarray]:
-    """The sets without those that share half of their members with an earlier one: copies of a text would count as evidence again and again."""
-    x = np.zeros((len(sets), places), np.float32)
-    for i, s in enumerate(sets):
-        x[i, s % places] = 1
+def different(texts: list[str], places: int = 4096) -> list[str]:
+    """The texts, given as their different words, without those that share half of them with an earlier one: copies of a text would count as evidence again and again."""
+    x = np.zeros((len(texts), places), np.float32)
+    for i, t in enumerate(texts):
+        x[i, [zlib.crc32(w.encode()) % places for w in t.split()]] = 1
     size, kept = x.sum(axis=1), []
-    for i in range(len(sets)):
+    for i in range(len(texts)):
         both = x[kept] @ x[i] if kept else np.zeros(0)
         if not len(both) or not (both >= 0.5 * (size[kept] + size[i] - both)).any():
             kept.append(i)
-    return [sets[i] for i in kept]
+    return [texts[i] for i in kept]
 
 
 def word_features(word: str) -> list[str]:
-    """A word, and its first four to six letters as stems."""
-    return ["=" + word, *("^" + word[:k] for k in (4, 5, 6) if len(word) >= k)]
+    """A word, and the stems that it lengthens."""
+    return ["=" + word, *("^" + word[:k] for k in STEMS if len(word) > k)]
+
+
+def leveled(found: Counter[str]) -> list[str]:
+    """Features of a text from how many of its different words have each of theirs: stems count once for each number up to MOST_WORDS."""
+    return [f"{level}{f}" for f, n in found.items() for level in range(1, min(n, MOST_WORDS) + 1)]
 
 
 @dataclass
@@ -97,16 +107,16 @@ class ToxicityModel:
     known: dict[str, tuple] = field(default_factory=dict, repr=False)  # features of words met before
 
     def score(self, text: str | None) -> float:
-        known, found = self.known, set()
+        known, found = self.known, Counter()
         if len(known) > 150_000:
             known.clear()
         for word in set(WORD.findall((text or "").lower())):
             own = known.get(word)
             if own is None:
-                own = known[word] = tuple(f for f in word_features(word) if f in self.weights)
+                own = known[word] = tuple(f for f in word_features(word) if any(f"{level}{f}" in self.weights for level in range(1, MOST_WORDS + 1)))
             if own:
                 found.update(own)
-        z = self.offset + sum(self.weights[f] for f in sorted(found))
+        z = self.offset + sum(self.weights.get(f, 0.0) for f in sorted(leveled(found)))
         return float(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
 
     @classmethod
@@ -116,17 +126,18 @@ class ToxicityModel:
         if not positive or not unlabelled:
             return cls(offset=float(np.log(prior / (1 - prior))))
         names: dict[str, int] = {}
-        of_word: dict[str, list[int]] = {}
+        of_word: dict[str, list[str]] = {}
 
         def numbers(words: str) -> np.ndarray:
-            out: set[int] = set()
+            found: Counter[str] = Counter()
             for w in words.split():
                 if w not in of_word:
-                    of_word[w] = [names.setdefault(f, len(names)) for f in word_features(w)]
-                out.update(of_word[w])
-            return np.fromiter(sorted(out), np.int64, len(out))
+                    of_word[w] = word_features(w)
+                found.update(of_word[w])
+            out = sorted(names.setdefault(f, len(names)) for f in leveled(found))
+            return np.fromiter(out, np.int64, len(out))
 
-        pos, unl = different([numbers(x) for x in positive]), [numbers(x) for x in unlabelled]
+        pos, unl = [numbers(x) for x in different(positive)], [numbers(x) for x in unlabelled]
         p, u, n = len(pos), len(unl), len(names)
         in_pos, in_unl = (np.bincount(np.concatenate(x), minlength=n) for x in (pos, unl))
         least = 2 * np.log(n) + 2
