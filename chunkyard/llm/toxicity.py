@@ -105,6 +105,10 @@ class ToxicityModel:
     weights: dict[str, float] = field(default_factory=dict)
     offset: float = -30.0
     known: dict[str, tuple] = field(default_factory=dict, repr=False)  # features of words met before
+    kinds: frozenset[str] = field(init=False, repr=False)  # features without their level
+
+    def __post_init__(self) -> None:
+        self.kinds = frozenset(f[1:] for f in self.weights)
 
     def score(self, text: str | None) -> float:
         known, found = self.known, Counter()
@@ -113,7 +117,7 @@ class ToxicityModel:
         for word in set(WORD.findall((text or "").lower())):
             own = known.get(word)
             if own is None:
-                own = known[word] = tuple(f for f in word_features(word) if any(f"{level}{f}" in self.weights for level in range(1, MOST_WORDS + 1)))
+                own = known[word] = tuple(f for f in word_features(word) if f in self.kinds)
             if own:
                 found.update(own)
         z = self.offset + sum(self.weights.get(f, 0.0) for f in sorted(leveled(found)))
