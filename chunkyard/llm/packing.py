@@ -1,11 +1,12 @@
 """Best-fit packing of token sequences by bin completion.
 
 Texts are tokenized once, cut only where longer than the capacity, and written as `pieces`. The plan is made from the
-histogram of piece lengths, which has at most `capacity` rows whatever the corpus: for the largest remaining length the
-undominated fillings of the rest of its bin are enumerated depth-first, a filling is cut off when even its best
-continuation wastes more than the incumbent, and the best filling is applied as often as the counts allow, which uses up
-at least one length each time. The best-fit-decreasing plan of the same histogram is the first incumbent of the whole
-search: a plan that passes its waste is dropped. Pieces then find their places by their rank among the pieces of the same
+histogram of piece lengths, which has at most `capacity` rows whatever the corpus: the undominated fillings around the
+longest remaining length are enumerated, the least waste first, and branched over with backtracking, each as often as the
+counts allow and then less often. The best-fit-decreasing plan of the same histogram is the first incumbent: a branch that
+cannot need fewer bins, by its waste or by the lower bound L2 of what is left, is cut off. The search ends when the incumbent
+meets the lower bound or nothing is left to try, and the plan then has the fewest bins; or after NODES fillings, with the
+best plan found, since the problem is NP-hard. Pieces then find their places by their rank among the pieces of the same
 length, from counts by (task, length), so no task ever holds the pieces of a length together.
 
 Nulls: a null text is empty (its end id only); null ids pass through. Repeated rows are packed each. An empty table gives
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from chunkyard.llm.common import bounded_batches, byte_values, written
 from chunkyard.llm.tokens import encoder
 
-#: Nodes that the search for one filling may visit before it takes the best found.
-NODES = 3000
+#: Fillings that the whole search may meet before it takes the best plan found.
+NODES = 20_000
 PIECES = "doc_id bigint, piece int, start bigint, length int, ids binary, task int, rank bigint"
 
 
@@ -57,64 +59,161 @@ def plan_best_fit(counts: np.ndarray, capacity: int) -> list[tuple[int, list[tup
     return [(c, list(p)) for bins in by_room.values() for c, p in bins]
 
 
-def best_filling(counts: np.ndarray, lengths: np.ndarray, first: int, capacity: int, nodes: int = NODES) -> list[tuple[int, int]]:
-    """The filling of one bin around `first` with the least waste; undominated: no item left could still join it, and longer items come first."""
-    waste, seen = [capacity - first], [0]
-    best: list[list[tuple[int, int]]] = [[]]
-    order = lengths[lengths <= capacity - first]  # ascending; at most 90 different lengths fit one bin of 4096
-    free = counts[order].copy()
-    if len(order) and order[-1] == first:
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """Bins that any plan needs, by Martello and Toth's L2: for every k, items over capacity - k share a bin with nothing of k or more."""
+    lengths = np.arange(len(counts))
+    number, size = np.append(0, np.cumsum(counts)), np.append(0, np.cumsum(counts * lengths))  # of what is shorter than the index
+    k = np.arange(capacity // 2 + 1)
+    half, high = capacity // 2 + 1, capacity - k + 1
+    over = number[-1] - number[half]
+    room = capacity * (number[high] - number[half]) - (size[high] - size[half])
+    return int((over + np.maximum(0, -(-(size[half] - size[k] - room) // capacity))).max())
+
+
+def _is_dominated(pattern: list[tuple[int, int]], spare: int, excluded: int) -> bool:
+    """Whether an item left out (a bit of `excluded` by length) fits in place of some of the pattern's (or of none), using more room or fewer items."""
+    one, two = 0, 0  # sums of one item, and of two or more
+    for x, k in pattern:
+        for _ in range(k):
+            two |= (two | one) << x
+            one |= 1 << x
+    if two & excluded:
+        return True
+    sums, width = 1 | one | two, 1
+    more = sums << 1  # by 1 to `spare` more than the sums
+    while width < spare:
+        step = min(width, spare - width)
+        more |= more << step
+        width += step
+    return bool(spare and more & excluded)
+
+
+def fillings(counts: np.ndarray, first: int, capacity: int, most_waste: int, tried: list[int], after: tuple | None = None) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(waste, pattern) of all undominated fillings of one bin around `first`: the least waste first, then the longest items first.
+
+    Fillings up to `after`, a pair like those yielded, are left out. Sums that the shorter items can reach steer the search,
+    so that it meets no dead ends. tried[0] counts the fillings met, dominated ones included; at tried[1] the search ends.
+    """
+    room = capacity - first
+    order = np.flatnonzero(counts[: min(first, room) + 1])
+    free = counts[order].tolist()
+    order = order.tolist()
+    if order and order[-1] == first:
         free[-1] -= 1
-    within = np.cumsum(order * free)  # all that items up to here could add
-
-    def visit(room: int, below: int, chosen: list[tuple[int, int]]) -> bool:
-        if room < waste[0]:
-            waste[0], best[0] = room, list(chosen)
-        if not waste[0]:
-            return True
-        i = min(below, int(np.searchsorted(order, room, side="right"))) - 1
-        while i >= 0 and room - within[i] < waste[0]:
-            x = int(order[i])
-            for k in range(min(room // x, int(free[i])), 0, -1):
-                if seen[0] >= nodes:
-                    return True
-                seen[0] += 1
-                chosen.append((x, k))
-                if visit(room - k * x, i, chosen):
-                    return True
-                chosen.pop()
-            i -= 1
-        return False
-
-    visit(capacity - first, len(order), [])
-    found = dict(best[0])
-    found[first] = found.get(first, 0) + 1
-    return sorted(found.items(), reverse=True)
+    mask = (1 << (room + 1)) - 1
+    reach = [1]  # by number of lengths taken in, a bit for each sum
+    for x, n in zip(order, free):
+        sums, n, part = reach[-1], min(n, room // x), 1
+        while n > 0:
+            part = min(part, n)
+            sums |= sums << (x * part)
+            n, part = n - part, part * 2
+        reach.append(sums & mask)
+    left = sum(1 << x for x, n in zip(order, free) if n)
+
+    def exact(target: int, below: int, chosen: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+        if not target:
+            yield chosen
+            return
+        for i in range(below - 1, -1, -1):
+            if not reach[i + 1] >> target & 1:
+                return
+            x = order[i]
+            for k in range(min(target // x, free[i]), 0, -1):
+                if reach[i] >> (target - k * x) & 1:
+                    yield from exact(target - k * x, i, [*chosen, (x, k)])
+
+    position = {x: i for i, x in enumerate(order)}
+    for waste in range(after[0] if after else 0, min(room, most_waste) + 1):
+        if not reach[-1] >> (room - waste) & 1:
+            continue
+        for rest in exact(room - waste, len(order), []):
+            tried[0] += 1
+            whole = rest[:]
+            if whole and whole[0][0] == first:
+                whole[0] = (first, whole[0][1] + 1)
+            else:
+                whole.insert(0, (first, 1))
+            excluded = left
+            for x, k in rest:
+                if free[position[x]] == k:
+                    excluded ^= 1 << x
+            passed = after and waste == after[0] and whole >= after[1]
+            if not passed and not _is_dominated(rest, waste, excluded):
+                yield waste, whole
+            if tried[0] >= tried[1]:
+                return
+
+
+class _Step:
+    """A choice of the search: the fillings around the longest item left, each as often as the counts allow and then less often."""
+
+    __slots__ = ("first", "after", "ready", "done", "ended", "applied")
+
+    def __init__(self, first: int, after: tuple | None):
+        self.first, self.after = first, after
+        self.ready: list[tuple[int, int, list[tuple[int, int]]]] = []
+        self.done, self.ended = 0, False
+        self.applied: tuple[int, int, list[tuple[int, int]]] | None = None
+
+    def next(self, left: np.ndarray, capacity: int, spare: int, tried: list[int]) -> tuple[int, int, list[tuple[int, int]]] | None:
+        """(copies, waste, pattern); fillings are made anew, twice as many each time, rather than kept half-way."""
+        if self.applied and self.applied[0] > 1:
+            copies, waste, pattern = self.applied
+            return copies - 1, waste, pattern
+        if not self.ready and not self.ended:
+            some = list(islice(fillings(left, self.first, capacity, spare, tried, self.after), self.done, 2 * self.done + 1))
+            self.ended = len(some) <= self.done
+            self.done += len(some)
+            self.ready = [(min(int(left[x]) // k for x, k in p), w, p) for w, p in reversed(some)]
+        return self.ready.pop() if self.ready else None
 
 
 def plan_completion(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Bin completion on the histogram, kept only if it needs fewer bins than best-fit decreasing."""
-    incumbent = plan_best_fit(counts, capacity)
-    most = sum(c for c, _ in incumbent)
+    """The fewest bins, by branch and bound over the undominated fillings; best-fit decreasing is the first incumbent.
+
+    A branch ends where its waste, or its bins with the lower bound of what is left, allow no better plan. Bins around the
+    same longest item come in the order of their fillings, so that no set of bins is met twice. After `nodes` fillings the
+    best plan so far is taken, which then may not be the best of all.
+    """
+    best = plan_best_fit(counts, capacity)
+    most = sum(c for c, _ in best)
     total = int((counts * np.arange(len(counts))).sum())
-    least = -(-total // capacity)
+    least = lower_bound(counts, capacity)
     if most <= least:
-        return incumbent
-    allowed = (most - 1) * capacity - total  # waste that a better plan may have
-    left, plan, bins, wasted = counts.copy(), [], 0, 0
-    lengths = np.flatnonzero(left)
-    while len(lengths):
-        pattern = best_filling(left, lengths, int(lengths[-1]), capacity, nodes)
-        copies = min(int(left[x]) // k for x, k in pattern)
-        spare = capacity - sum(x * k for x, k in pattern)
-        bins, wasted = bins + copies, wasted + copies * spare
-        if wasted > allowed:
-            return incumbent
-        plan.append((copies, pattern))
+        return best
+    left, bins, wasted = counts.copy(), 0, 0
+    tried = [0, nodes]
+    steps = [_Step(int(np.flatnonzero(left)[-1]), None)]
+    while steps and tried[0] < nodes:
+        step = steps[-1]
+        undone = step.applied
+        if undone:
+            copies, waste, pattern = undone
+            for x, k in pattern:
+                left[x] += k * copies
+            bins, wasted = bins - copies, wasted - copies * waste
+        spare = (most - 1) * capacity - total - wasted  # waste that a better plan may still have
+        step.applied = step.next(left, capacity, spare, tried)
+        if step.applied is None:
+            steps.pop()
+            continue
+        copies, waste, pattern = step.applied
+        tried[0] += 1
         for x, k in pattern:
             left[x] -= k * copies
-        lengths = np.flatnonzero(left)
-    return plan if bins < most else incumbent
+        bins, wasted = bins + copies, wasted + copies * waste
+        if copies * waste > spare or bins + lower_bound(left, capacity) >= most:
+            continue
+        rest = np.flatnonzero(left)
+        if len(rest):
+            same = int(rest[-1]) == step.first
+            steps.append(_Step(int(rest[-1]), (waste, pattern) if same else None))
+            continue
+        best, most = [(s.applied[0], s.applied[2]) for s in steps], bins
+        if most <= least:
+            break
+    return best
 
 
 def token_pieces(docs: DataFrame, file: str, end_id: int, capacity: int) -> DataFrame:

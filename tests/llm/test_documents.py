@@ -130,6 +130,23 @@ def test_bin_completion_near_brute_force(seed):
     assert optimum(lengths, 20) <= sum(c for c, _ in plan) <= min(optimum(lengths, 20) + 1, sum(c for c, _ in packing.plan_best_fit(counts, 20)))
 
 
+def test_bin_completion_branches():
+    # Best-fit decreasing takes 4 bins here, and so does a single filling per longest item.
+    counts = np.bincount([1843, 1843, 1638, 1638, 1433, 1228, 1228, 1024], minlength=4097)
+    assert sum(c for c, _ in packing.plan_best_fit(counts, 4096)) == 4
+    assert sum(c for c, _ in packing.plan_completion(counts, 4096)) == 3
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_bin_completion_is_optimal(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([10, 20, 50, 100])
+    lengths = [rng.randrange(capacity // 5, capacity // 2 + 2) for _ in range(10)]
+    counts = np.bincount(lengths, minlength=capacity + 1)
+    assert packing.lower_bound(counts, capacity) <= optimum(lengths, capacity)
+    assert sum(c for c, _ in packing.plan_completion(counts, capacity)) == optimum(lengths, capacity)
+
+
 def test_filling_of_many_tiny_items():
     counts = np.zeros(4097, int)
     counts[1], counts[4000] = 50_000, 3
