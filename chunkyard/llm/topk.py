@@ -60,12 +60,13 @@ class KDTree:
         self.floats = (self.x.astype(float), self.low.astype(float), self.high.astype(float))
 
     def search(self, query_ids: np.ndarray, q: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(query_id, vec_id, score) of each query's k best here that reach `least`."""
+        """(query_id, vec_id, score) of each query's k best ids here that reach `least`, each id once."""
         use = self.floats if self.exact(q) else (self.x, self.low, self.high)
         q = q.astype(use[0].dtype)
         bounds = np.maximum(q, 0) @ use[2].T + np.minimum(q, 0) @ use[1].T
         for i, own in enumerate(query_ids.tolist()):
             best: list[tuple[int, int]] = []  # (score, -id), the worst first
+            held: dict[int, int] = {}  # score of each id in best
             floor, bound = int(least[i]), bounds[i]
             heap = [(-bound[0], 0)]
             while heap:
@@ -83,11 +84,19 @@ class KDTree:
                 for j in np.flatnonzero(scores >= floor).tolist():
                     if self.ids[a + j] == own:
                         continue
-                    item = (int(scores[j]), -int(self.ids[a + j]))
-                    if len(best) < k:
+                    score, vec = int(scores[j]), int(self.ids[a + j])
+                    item = (score, -vec)
+                    if vec in held:  # another row of the same id: the better one stays
+                        if score > held[vec]:
+                            best[best.index((held[vec], -vec))] = item
+                            heapq.heapify(best)
+                            held[vec] = score
+                    elif len(best) < k:
                         heapq.heappush(best, item)
+                        held[vec] = score
                     elif item > best[0]:
-                        heapq.heapreplace(best, item)
+                        del held[-heapq.heapreplace(best, item)[1]]
+                        held[vec] = score
                 if len(best) == k:
                     floor = max(floor, best[0][0])
             yield from ((own, -v, s) for s, v in best)

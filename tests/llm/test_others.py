@@ -108,6 +108,28 @@ def test_topk_against_brute_force(spark, shard_rows):
     assert {k: sorted(v) for k, v in got.items()} == want
 
 
+@pytest.mark.parametrize("shard_rows", [10_000, 40])
+def test_topk_repeated_winners(spark, shard_rows):
+    rng = np.random.default_rng(2)
+    rows = [(int(i), [float(v) for v in rng.normal(size=4).astype(np.float32)]) for i in range(120)]
+    rows += [(7, [float(a), float(b), float(a), float(b)]) for a in (4, -4) for b in (4, -4) for _ in range(3)]  # wins for every query, more than k times
+    rows += [(8, [float(v) for v in rng.normal(size=4).astype(np.float32)]) for _ in range(9)]
+    got = {}
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), F.col("vec_id") % 50 == 0, 5, shard_rows=shard_rows).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    x = [(i, np.floor(np.asarray(v, np.float32).astype(float) * 256).astype(int)) for i, v in rows]
+    want = {}
+    for q, v in x:
+        if q % 50 == 0:
+            score = {}
+            for i, w in x:
+                if i != q:
+                    score[i] = max(score.get(i, -(2**63)), int(v @ w))
+            best = sorted((-s, i) for i, s in score.items())[:5]
+            want[q] = [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
 def test_topk_few_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id bigint, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 256 * 512)]
