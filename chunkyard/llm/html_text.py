@@ -63,7 +63,8 @@ ARTICLE = frozenset(("article", "main"))
 MOST_DEPTH = 512
 TAG = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
 REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: Every attribute: its name, then its value in double quotes, in single quotes or bare.
+ATTRIBUTE = re.compile(r"""(=?[^\s/=>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -87,13 +88,14 @@ def is_cut(tag: str, attributes: str, parent: Node) -> bool:
         return True
     if not attributes:
         return False
-    for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
+    for name, *values in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values)
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
         if name == "style":
             if re.search(r"display\s*:\s*none", value, re.I):
                 return True
+        if name not in ("class", "id", "role"):
             continue
         words = {x.lower() for x in TOKEN.findall(value)}
         if words & HINTS or (on_top and words & ROLES_ON_TOP):

@@ -80,6 +80,30 @@ PAGES = [
 ]
 
 
+@pytest.mark.parametrize(
+    "attributes, kept",
+    [
+        ('href="/hidden-gems"', True),
+        ('title="the hidden truth"', True),
+        ('data-hidden="false"', True),
+        ("data-class=ad", True),
+        ('href="https://x/y?id=ad"', True),
+        ("href=/x?class=ad", True),
+        ("title='a class=\"ad\" b'", True),
+        ("hidden", False),
+        ("lang=en HIDDEN=''", False),
+        ("title='x'class=\"ad\"", False),
+        ("id = ad", False),
+        ('aria-hidden="true"', False),
+        ('aria-hidden="false"', True),
+        ('style="color: red; display : none"', False),
+    ],
+)
+def test_page_attributes(attributes, kept):
+    page = f"<body><article><p>words before</p><p {attributes}>words here</p><p>words after</p></article></body>"
+    assert html_text.main_text(page) == ("words before\n\nwords here\n\nwords after" if kept else "words before\n\nwords after")
+
+
 def test_pages(spark):
     rows = [(i, f"http://x/{i}", h) for i, (h, _) in enumerate(PAGES)] + [(None, None, "<p>t")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(1))
