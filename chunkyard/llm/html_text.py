@@ -8,8 +8,10 @@ the characters in links and K link tags below it, the density is
 with the body's Lb and Cb in the base. A node's sum adds the densities of its children (its own text counts as one child). The
 node with the largest sum is the seed, and the smallest density on the path from it to the body is the threshold: every
 subtree that reaches it and has the largest sum of its branch is taken, widened to the article element around it.
-Elements whose name or class marks them as menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
-reader comments are cut from the tree beforehand and so have no part in any density.
+Navigation, page headers, footers, asides, controls, scripts, styles and hidden elements are cut from the tree beforehand and so
+have no part in any density. A form, or an element of which a class, the id or the role names boilerplate as a whole (sidebar,
+site-footer, post-comments, but not has-sidebar or content-sidebar-wrap), is cut as well, unless it holds an article or main
+element or 1 / MINOR or more of the page's text outside links; the densities decide on those and on all other names.
 
 Texts come out in page order, a block each, joined by two line feeds; white space inside a block becomes one space and
 character references are decoded. Null or empty html, and pages without text, give an empty string; null ids and urls pass
@@ -49,7 +51,7 @@ ENDS = {
     "option": ({"option"}, {"select"}),
 }
 # What is no part of an article, by element and by word of a class, id or role.
-CUT = frozenset("nav aside footer form script style noscript template iframe object embed svg canvas button select textarea input label dialog menu title head xmp noembed noframes".split())
+CUT = frozenset("nav aside footer script style noscript template iframe object embed svg canvas button select textarea input label dialog menu title head xmp noembed noframes".split())
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertisements adsense advertising sponsor sponsored sponsors promo promos promotion promoted banner banners "
     "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer foot masthead comment comments commentlist disqus reply replies respond "
@@ -57,6 +59,12 @@ HINTS = frozenset(
     "recommendations widget widgets login search pager pagination toolbar contentinfo complementary alert disclaimer paywall".split()
 )
 ROLES_ON_TOP = frozenset(("header", "banner"))
+#: In a name, what makes it a state of the page or a frame around more; what may follow the word for boilerplate; names of content.
+STATES = frozenset("has have having with without no not is are and or show hide open closed enabled disabled after before above below".split())
+PLACES = frozenset("left right top bottom primary secondary main inner outer list links link item items area box block bar section container small large mobile desktop".split())
+CONTENT = frozenset("article articles content post posts entry hentry story main page body text".split())
+#: What is cut by its name holds less than 1 / MINOR of the page's text outside links.
+MINOR = 3
 ARTICLE = frozenset(("article", "main"))
 
 #: Elements nested deeper become siblings, as in browsers; this bounds the work for a tag.
@@ -69,42 +77,75 @@ TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "cut", "depth", "within", "chars", "tags", "linked", "links", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "cut", "named", "depth", "within", "chars", "tags", "linked", "links", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool):
-        self.tag, self.parent, self.cut = tag, parent, cut
+    def __init__(self, tag: str, parent: Node | None, cut: bool, named: bool = False):
+        self.tag, self.parent, self.cut, self.named = tag, parent, cut, named
         self.depth = parent.depth + 1 if parent else 0
         self.within = tag in ARTICLE or (parent is not None and parent.within)
         self.parts: list[Node | str] = []
 
 
-def is_cut(tag: str, attributes: str, parent: Node) -> bool:
+def names_boilerplate(names: str, hints: frozenset[str]) -> bool:
+    """Whether one of the names, as a whole, is one for boilerplate and none is one for content."""
+    found = False
+    for name in names.split():
+        words = [x.lower() for x in TOKEN.findall(name)]
+        if len(words) == 1 and words[0] in CONTENT:
+            return False
+        while len(words) > 1 and (words[-1] in PLACES or words[-1].isdigit() or len(words[-1]) == 1):
+            words.pop()
+        found = found or bool(words and words[-1] in hints and STATES.isdisjoint(words))
+    return found
+
+
+def judge(tag: str, attributes: str, parent: Node) -> tuple[bool, bool]:
+    """Whether an element is cut whatever it holds, and whether its name is one for boilerplate."""
     if tag in CUT:
-        return True
-    if tag in ("html", "body") or tag in ARTICLE:
-        return False
+        return True, True
+    if tag in ("html", "body"):
+        return False, False
     on_top = not parent.within
     if tag == "header" and on_top:
-        return True
-    if not attributes:
-        return False
+        return True, True
+    hints = HINTS | ROLES_ON_TOP if on_top else HINTS
+    named = tag == "form"
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-        if name == "style":
-            if re.search(r"display\s*:\s*none", value, re.I):
-                return True
-        if name not in ("class", "id", "role"):
-            continue
-        words = {x.lower() for x in TOKEN.findall(value)}
-        if words & HINTS or (on_top and words & ROLES_ON_TOP):
-            return True
-    return False
+        if tag not in ARTICLE:
+            if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
+                return True, True
+            if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+                return True, True
+        if name in ("class", "id", "role"):
+            named = named or names_boilerplate(value, hints)
+    return False, named
+
+
+def cut_named(body: Node) -> None:
+    """Cuts what is named as boilerplate, if it holds no article and a minor share of the text outside links."""
+    order, stack = [], [(body, False)]
+    while stack:
+        x, in_link = stack.pop()
+        in_link = in_link or x.tag == "a"
+        order.append((x, in_link))
+        stack.extend((p, in_link) for p in x.parts if not isinstance(p, str) and not p.cut)
+    chars: dict[int, int] = {}
+    holds: dict[int, bool] = {}  # an article or main element that is not itself named as boilerplate, as readers' comments are
+    for x, in_link in reversed(order):
+        kids = [p for p in x.parts if not isinstance(p, str) and not p.cut]
+        own = 0 if in_link else sum(len(p) - p.count(" ") - p.count("\n") for p in x.parts if isinstance(p, str))
+        chars[id(x)] = own + sum(chars[id(p)] for p in kids)
+        holds[id(x)] = x.tag in ARTICLE and not x.named or any(holds[id(p)] for p in kids)
+    for x, _ in order:
+        if x.named and x.tag not in ARTICLE and x is not body and not holds[id(x)] and (not chars[id(x)] or chars[id(x)] * MINOR < chars[id(body)]):
+            x.cut = True
+            if x.tag not in BLOCK and x.parent is not None:
+                x.parent.parts = [p for p in x.parent.parts if p is not x]
 
 
 def parse(page: str) -> Node:
-    """The tree of a page; whatever is cut keeps its place but not its content."""
+    """The tree of a page; what is cut whatever it holds keeps its place but not its content."""
     root = Node("html", None, False)
     at, i, n = root, 0, len(page)
 
@@ -164,7 +205,8 @@ def parse(page: str) -> Node:
                 at = last.parent
         while at.depth >= MOST_DEPTH and at.parent is not None:
             at = at.parent
-        node = Node(tag, at, at.cut or is_cut(tag, attributes[:-1], at))
+        cut, named = judge(tag, attributes[:-1], at) if not at.cut else (True, True)
+        node = Node(tag, at, cut, named)
         if not at.cut and (not node.cut or tag in BLOCK):
             at.parts.append(node)
         if tag in VOID:
@@ -243,6 +285,7 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     body = next((p for p in root.parts if not isinstance(p, str) and p.tag == "body"), root)
+    cut_named(body)
     taken = _chosen(body)
     blocks: list[str] = []
     line: list[str] = []

@@ -104,6 +104,33 @@ def test_page_attributes(attributes, kept):
     assert html_text.main_text(page) == ("words before\n\nwords here\n\nwords after" if kept else "words before\n\nwords after")
 
 
+PARAGRAPHS = "<p>" + "long words here " * 30 + "</p><p>" + "other words there " * 30 + "</p>"
+ARTICLE_TEXT = ("long words here " * 30).strip() + "\n\n" + ("other words there " * 30).strip()
+
+
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ('<div class="content-sidebar-wrap"><div id="text">', '</div><div class="sidebar"><p>not me</p></div></div>'),
+        ('<div class="has-sidebar"><div>', "</div></div>"),
+        ('<div class="has-sidebar"><article>', "</article><div class='widget'>not me</div></div>"),
+        ('<div class="post has-comments">', '<div id="comments"><p>not me</p></div></div>'),
+        ('<form id="aspnetForm"><div>', "</div><input></form>"),
+        ('<div class="sidebar"><main>', "</main></div>"),
+        ('<div class="overlay"><div>', "</div></div>"),  # by name boilerplate, but most of the text
+        ("<article>", '<form><p>not me</p></form><div class="site-footer-left">not me</div><div id="comments"><article class="comment">not me</article></div></article>'),
+    ],
+)
+def test_page_wrappers(before, after):
+    assert html_text.main_text(f"<body>{before}{PARAGRAPHS}{after}</body>") == ARTICLE_TEXT
+
+
+def test_page_names():
+    yes = ["sidebar", "site-footer", "post-comments", "sidebar-left", "col-4 adBanner", "ad-728x90", "navMenu2", "widget clearfix"]
+    no = ["content-sidebar-wrap", "has-sidebar", "post has-comments", "comments-open", "post ad", "page-with-menu", "adapt", ""]
+    assert [x for x in yes + no if html_text.names_boilerplate(x, html_text.HINTS)] == yes
+
+
 def test_pages(spark):
     rows = [(i, f"http://x/{i}", h) for i, (h, _) in enumerate(PAGES)] + [(None, None, "<p>t")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(1))
