@@ -3,9 +3,11 @@
 Turns become `<s>[INST]role[/INST]text</s>`; control strings and backslashes inside roles and texts are escaped by a
 backslash and come back on reading. Prefix sums of turn tokens (runs of letters and digits, other signs, and the markup) choose the
 windows: a turn starts in window floor(tokens before it / stride), where the stride is half of what the budget leaves
-after history, so that turns of up to a stride never pass the budget and are never cut. A window after the first repeats
-the conversation's opening system turn and the last turns of the window before it, as far as they fit `history` tokens;
-repeated turns are masked, so each assistant text is a target exactly once.
+after history. A window after the first repeats the conversation's opening system turn and the last turns of the window
+before it, as far as they fit `history` tokens; repeated turns are masked, so each assistant text is a target exactly once.
+Turns are never cut. Where none is longer than a stride, a window keeps to the budget, except that the repeated system turn
+is not counted in choosing windows and may pass it by its own tokens; a longer turn, also one above the whole budget, stays
+in one piece in its window, which then may be as much longer.
 
 Prefix sums are taken within blocks of turn numbers first and then over blocks, so that a conversation with a large share
 of all rows is not summed by one task. Turns are ordered by (turn, role, text); null turn numbers come first; null roles
