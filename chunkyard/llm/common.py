@@ -1,4 +1,4 @@
-"""Shared helpers of the training-data operators: the shared work folder, written tables, group streaming."""
+"""Shared helpers of the training-data operators: the shared work folder, written tables, choices of rows, group streaming."""
 
 from __future__ import annotations
 
@@ -57,10 +57,35 @@ def byte_values(column: pa.Array) -> list[bytes]:
     return [x if x is not None else b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def semi_by_ids(df: DataFrame, column: str, ids: DataFrame, n_ids: int) -> DataFrame:
-    """Rows of df whose column is among ids (one column); broadcast only where the counted ids are few."""
-    own = ids.toDF("_cy_id")
-    return df.join(F.broadcast(own) if n_ids <= BROADCAST_ROWS else own, F.col(column) == F.col("_cy_id"), "left_semi")
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, made longer while df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame, key: Column) -> DataFrame:
+    """Rows of docs, with all their columns, as decided (doc_id, key, kept, n: rows) says; rows that it doesn't name all stay.
+
+    Rows are told apart by (doc_id, key), or by doc_id alone where none is named twice. Of kept rows that share both, the one whose
+    text, then its other columns in order, is smallest stays. Lists are broadcast only where counted and few.
+    """
+    rows = written(decided, "decided")
+    said, of, own = (free_name(docs, x) for x in ("_cy_id", "_cy_of", "_cy_key"))
+    same_id = F.col("doc_id").eqNullSafe(F.col(said))
+    if not rows.groupBy("doc_id").agg(F.sum("n").alias("n")).filter("n > 1").limit(1).count():
+        out = rows.filter("not kept").select(F.col("doc_id").alias(said))
+        return docs.join(F.broadcast(out) if out.count() <= BROADCAST_ROWS else out, same_id, "left_anti")
+    keyed = docs.withColumn(own, key)
+    same = same_id & (F.col(own) == F.col(of))
+    named = lambda x: x.select(F.col("doc_id").alias(said), F.col("key").alias(of))
+    out, several = named(rows.filter("not kept or n > 1")), named(rows.filter("kept and n > 1"))
+    few = F.broadcast if rows.count() <= BROADCAST_ROWS else lambda x: x
+    once = keyed.join(few(several), same, "left_semi")
+    order = F.struct("text", *(c for c, kind in docs.dtypes if c != "text" and "map<" not in kind and "variant" not in kind))
+    picked = once.groupBy("doc_id", own).agg(F.min_by(F.struct(*docs.columns), order).alias(of))
+    return keyed.join(few(out), same, "left_anti").select(*docs.columns).unionByName(picked.select(f"{of}.*"))
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:

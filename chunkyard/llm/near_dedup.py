@@ -2,18 +2,23 @@
 
 Two permutations of [0, 2**20) make all signature coordinates: a shingle is placed by the first, and coordinate k is the
 smallest value of the second, shifted circularly by k, over a document's places. Documents with equal shingle sets are one
-node from then on. Equal bands give candidate stars; their components bound what can be linked at all. Full shingle sets
-are compared within each candidate component, or, where that is large, between blocks of it, task by task: a task holds
-two blocks of sets and returns a spanning forest of the links that it confirmed, never pairs. Very large candidate
-components, chained by common passages, are split by band bucket first, which every linked pair that shares a band
-survives. The components of all forests are the result.
+node from then on. Every pair of nodes that shares a band is a candidate, at every size of bucket and table, and counts as a
+link only by the exact Jaccard similarity of the full sets:
+
+* Stars first. In every bucket the smallest node is compared with all others; members stream past its set, in groups of
+  at most STAR rows. What these links connect is one cluster from then on, so a group of near copies costs a
+  comparison or two for each of its members.
+* Then the pairs that are left: those in a bucket, without its star's centre, that lie in different clusters. Buckets are
+  compared by the connected groups that they form, or one by one where such a group is very large; this changes the plan
+  only, as a pair counts only if it shares a band. A task holds two blocks of sets and returns a spanning forest of the
+  links that it confirmed, never pairs; blocks of the same cluster never meet.
 
 A pair at the threshold 0.75 misses all 32 bands of 4 with probability (1 - 0.75**4)**32, below 6e-6.
 
 Words are what ASCII white space separates, after lower-casing A-Z. A set holds the distinct runs of five words, each as
 64 bits; texts with fewer words have their whole sequence as one element; empty and null texts have none and link with
-nothing. Rows with a null doc_id take the component of their set, or none. Rows that repeat a doc_id are one node. Extra
-columns are ignored; an empty table gives an empty result.
+nothing. Rows with a null doc_id take the component of their set, which is null if all its ids are, and count as `kept`. Rows that repeat a
+doc_id are told apart by their texts. Whole texts count, however long. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,10 +30,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from chunkyard.llm.common import BROADCAST_ROWS, bounded_batches, byte_values, in_batches, semi_by_ids, sorted_groups, written
+from chunkyard.llm.common import BROADCAST_ROWS, bounded_batches, byte_values, in_batches, keep_rows, runs, sorted_groups, written
 from chunkyard.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -36,9 +42,12 @@ BANDS, ROWS = 32, 4
 UNIVERSE = 1 << 20
 #: Sets, and shingles, that a block should hold; two blocks meet in a comparing task.
 BLOCK, BLOCK_SHINGLES = 1000, 1_000_000
-#: Blocks of a candidate component beyond which it is split by band bucket.
+#: Members that stream past a copy of their centre's set.
+STAR = 128
+#: Blocks of a group of buckets beyond which its buckets are compared one by one; the pairs are the same.
 MOST_BLOCKS = 20
-SETS = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>"
+SETS = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, text_key string"
+LINKS = "u binary, v binary"
 
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -86,19 +95,37 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key.view(np.int64)
 
 
+def set_key(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, keys, bands = [], [], []
+        n, keys, bands, texts = [], [], [], []
         for text in byte_values(batch.column(1)):
             s = shingles(text)
             n.append(len(s))
-            keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+            keys.append(set_key(s))
             bands.append(band_keys(signature(s)) if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands"])
+            texts.append(hashlib.md5(text).hexdigest())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(texts)], ["doc_id", "n_shingles", "set_key", "bands", "text_key"]
+        )
+
+
+def node_of(doc_id: Column, key: Column) -> Column:
+    """A node: nulls last, then the smallest doc_id of its rows as unsigned big-endian bytes, then its set. The smallest node of a component holds its smallest doc_id."""
+    number = F.unhex(F.lpad(F.hex(F.coalesce(doc_id, F.lit(0)).bitwiseXOR(F.lit(-(2**63)))), 16, "0"))
+    return F.concat(F.when(doc_id.isNull(), F.lit(b"\x01")).otherwise(F.lit(b"\x00")), number, key)
+
 
+def doc_id_of(node: Column) -> Column:
+    number = F.conv(F.hex(F.substring(node, 2, 8)), 16, -10).cast("bigint").bitwiseXOR(F.lit(-(2**63)))
+    return F.when(F.substring(node, 1, 1) == F.lit(b"\x00"), number)
 
-def forest(nodes: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links (u, v) that connect what links of percent/100 or more connect among these sets."""
+
+def forest(clusters: list, sets: list[np.ndarray], bands: np.ndarray | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links (i, j) that connect what links of percent/100 or more connect among these sets, beyond their clusters; only between rows of `bands` that meet, where given."""
     n = len(sets)
     sizes = np.asarray([len(s) for s in sets])
     owner = np.repeat(np.arange(n), sizes)
@@ -106,8 +133,9 @@ def forest(nodes: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) ->
     order = np.argsort(code, kind="stable")
     posting, begin = owner[order], np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(values)))])
     at = np.concatenate([[0], np.cumsum(sizes)])
-    root = np.arange(n)  # component of each set, relabelled on union
-    links, parts = [], n
+    names: dict = {}
+    root = np.asarray([names.setdefault(c, len(names)) for c in clusters])  # cluster of each set, relabelled on union
+    links, parts = [], len(names)
     for i in np.argsort(-sizes, kind="stable").tolist():
         if parts == 1:
             break
@@ -122,71 +150,147 @@ def forest(nodes: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) ->
         both = np.bincount(posting[flat], minlength=n)
         near = np.flatnonzero((both > 0) & (100 * both >= percent * (sizes[i] + sizes - both)) & (root != root[i]))
         for j in near.tolist():
-            if root[j] != root[i]:
-                links.append((int(nodes[i]), int(nodes[j])))
+            if root[j] != root[i] and (bands is None or (bands[i] == bands[j]).any()):
+                links.append((i, j))
                 root[root == root[j]] = root[i]
                 parts -= 1
     return links
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes]]:
+    """Rows (group, low, high, node, cluster, bands or null, shingles), sorted: the links of each pair of blocks."""
     for _, parts in sorted_groups(batches, 3):
-        nodes = np.concatenate([p.column(3).to_numpy() for p in parts])
-        sets = [np.frombuffer(x, np.uint64) for p in parts for x in p.column(4).to_pylist()]
-        yield from forest(nodes, sets)
+        nodes, clusters, bands, sets = ([x for p in parts for x in p.column(i).to_pylist()] for i in (3, 4, 5, 6))
+        once = list({x: i for i, x in enumerate(nodes)}.values())
+        shared = np.asarray([bands[i] for i in once]) if bands[once[0]] is not None else None
+        for i, j in forest([clusters[i] for i in once], [np.frombuffer(sets[i], np.uint64) for i in once], shared):
+            yield nodes[once[i]], nodes[once[j]]
+
+
+def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes]]:
+    """Rows (center, salt, is_member, node, shingles), sorted: links of members with their centre."""
+    of, center = None, np.zeros(0, np.uint64)
+    for key, part in runs(batches, 3):
+        if not key[2]:
+            of, center = key[:2], np.frombuffer(part.column(4)[0].as_py(), np.uint64)
+        elif key[:2] == of:
+            for node, raw in zip(part.column(3).to_pylist(), part.column(4).to_pylist()):
+                s = np.frombuffer(raw, np.uint64)
+                both = int((center[np.minimum(np.searchsorted(center, s), len(center) - 1)] == s).sum())
+                if 100 * both >= PERCENT * (len(s) + len(center) - both):
+                    yield node, key[0]
+
+
+def _signed_rows(docs: DataFrame) -> DataFrame:
+    bounded_batches(docs.sparkSession)
+    return written(docs.select("doc_id", "text").mapInArrow(_signed, SETS), "signatures")
+
+
+def _with_nodes(docs: DataFrame, signed: DataFrame, block: int, most_blocks: int) -> DataFrame:
+    """signed with `component`, the smallest node that links reach; null without words."""
+    grouped = signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("low"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
+    reps = written(grouped.select("set_key", node_of(F.col("low"), F.col("set_key")).alias("node"), "low", "bands", "n"), "sets")
+    found = components(_links(docs, reps, block, most_blocks))
+    of_set = reps.select("set_key", "node").join(found, "node", "left").select(F.col("set_key").alias("_cy_key"), F.coalesce("component", "node").alias("component"))
+    worded = signed.filter("set_key is not null").join(of_set, F.col("set_key") == F.col("_cy_key")).drop("_cy_key", "bands")
+    return worded.unionByName(signed.filter("set_key is null").drop("bands").withColumn("component", F.lit(None).cast("binary")))
 
 
 def near_groups(docs: DataFrame, block: int = BLOCK, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
-    bounded_batches(docs.sparkSession)
-    signed = written(docs.select("doc_id", "text").mapInArrow(_signed, SETS), "signatures")
-    reps = written(signed.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")), "sets")
-    banded = reps.select("rep", "n", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"), F.min("rep").alias("center")).filter("members > 1")
-    stars = banded.join(shared, "bucket").filter("rep <> center").select(F.col("rep").alias("u"), F.col("center").alias("v"))
-    candidates = written(components(stars), "candidates")
-    links = _links(docs, candidates.join(reps.select(F.col("rep").alias("node"), "n"), "node"), banded, shared, block, most_blocks)
-    found = components(links)
-    of_set = reps.select("set_key", "rep").join(found, F.col("rep") == F.col("node"), "left").select(F.col("set_key").alias("_cy_key"), F.coalesce("component", "rep").alias("_cy_component"))
-    component = F.coalesce("_cy_component", "doc_id")
-    return signed.join(of_set, F.col("set_key") == F.col("_cy_key"), "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
-    )
+    rows = _with_nodes(docs, _signed_rows(docs), block, most_blocks)
+    component = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(doc_id_of(F.col("component")))
+    out = rows.select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _links(docs: DataFrame, candidates: DataFrame, banded: DataFrame, shared: DataFrame, block: int, most_blocks: int) -> DataFrame:
-    """Confirmed links that span every component within the candidate components."""
-    nodes = candidates.count()
+def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """set_key, shingles of nodes (low, set_key): made again from the texts of the rows with those ids, a set once or a few times."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            ids, texts = batch.column(0), byte_values(batch.column(1))
+            texts = byte_values(batch.column(0))
             for a in range(0, len(texts), 256):
-                yield pa.RecordBatch.from_arrays([ids[a : a + 256], pa.array([shingles(t).tobytes() for t in texts[a : a + 256]], pa.binary())], ["node", "shingles"])
-
-    few = semi_by_ids(docs.select("doc_id", "text").filter("doc_id is not null"), "doc_id", candidates.select("node"), nodes)
-    held = few.mapInArrow(sets, "node bigint, shingles binary").filter(F.octet_length("shingles") > 0)
-    blocks_of = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    sizes = candidates.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).select("component", blocks_of)
-    grouped = candidates.join(sizes, "component")
-    whole = grouped.filter(F.col("blocks") <= most_blocks).select("node", F.col("component").alias("group"), "blocks")
-    vast = grouped.filter(F.col("blocks") > most_blocks).select("node")
+                some = {set_key(s): s.tobytes() for s in map(shingles, texts[a : a + 256]) if len(s)}
+                new = {k: s for k, s in some.items() if k not in seen}
+                seen.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), pa.array(list(new.values()), pa.binary())], ["set_key", "shingles"])
+
+    ids = nodes.select(F.col("low").alias("_cy_id")).distinct()
+    few = F.broadcast(ids) if nodes.count() <= BROADCAST_ROWS else ids
+    texts = docs.select("doc_id", "text").join(few, F.col("doc_id").eqNullSafe(F.col("_cy_id")), "left_semi").select("text")
+    return texts.mapInArrow(made, "set_key binary, shingles binary")
+
+
+def _links(docs: DataFrame, reps: DataFrame, block: int, most_blocks: int) -> DataFrame:
+    """Confirmed links that connect all that links of pairs with a common band connect."""
+    every = reps.select("node", "n", F.explode("bands").alias("bucket"))
+    shared = every.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("center")).filter("members > 1")
+    banded = written(every.join(shared, "bucket").select("bucket", "node", "n", "center"), "buckets")
+    nodes = written(banded.select("node").distinct().join(reps.select("node", "low", "set_key"), "node"), "candidates")
+    held = nodes.join(_sets(docs, nodes), "set_key").select("node", "shingles")
+
+    pairs = banded.filter("node <> center").select("node", "center").distinct()
+    salts = pairs.groupBy("center").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
+    salted = written(pairs.join(salts, "center").select("center", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), "node"), "stars")
+    centers = salted.select("center", "salt").distinct().join(held, F.col("center") == F.col("node")).select("center", "salt", F.lit(0).alias("is_member"), "node", "shingles")
+    members = salted.join(held, "node").select("center", "salt", F.lit(1).alias("is_member"), "node", "shingles")
+    dealt = centers.unionByName(members).repartition("center", "salt").sortWithinPartitions("center", "salt", "is_member")
+    stars = written(dealt.mapInArrow(lambda batches: in_batches(LINKS, _starred(batches)), LINKS), "star-links")
+
+    # Pairs with the centre are settled; what is left of a bucket matters where it lies in different clusters.
+    clusters = written(components(stars), "clusters")
+    rest = banded.filter("node <> center").join(clusters, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("cluster"))
+    left = rest.groupBy("bucket").agg(
+        F.min("cluster").alias("one"), F.max("cluster").alias("two"), F.min("node").alias("first"), F.struct(F.count("*"), *(F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")) for k in (1, 2))).alias("all")
+    )
+    once = left.filter("one <> two").groupBy("all").agg(F.min("bucket").alias("bucket"), F.min("first").alias("first"))  # buckets of the same nodes count once
+    open_ = written(rest.join(once.select("bucket", "first"), "bucket"), "open-buckets")
+    if not open_.limit(1).count():
+        return stars
+    return stars.unionByName(_between(open_, reps.select("node", "bands"), held, block, most_blocks))
+
+
+def _between(members: DataFrame, bands: DataFrame, held: DataFrame, block: int, most_blocks: int) -> DataFrame:
+    """Confirmed links between clusters among members (bucket, node, n, cluster, first: the bucket's smallest node)."""
+    groups = components(members.select(F.col("node").alias("u"), F.col("first").alias("v")))
+    grouped = members.select("node", "n", "cluster").distinct().join(groups, "node").withColumnRenamed("component", "group")
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = written(grouped.groupBy("group").agg(blocks.alias("blocks")), "groups")
+    whole = grouped.join(sizes.filter(F.col("blocks") <= most_blocks).select("group"), "group").select("group", "node", "n", "cluster", F.lit(False).alias("single"))
+    vast = sizes.filter(F.col("blocks") > most_blocks).select("group")
     if vast.limit(1).count():
-        by_bucket = banded.join(shared.select("bucket", blocks_of), "bucket").join(vast, F.col("rep") == F.col("node"), "left_semi")
-        whole = whole.unionByName(by_bucket.select(F.col("rep").alias("node"), F.col("bucket").alias("group"), "blocks"))
-    blocks = F.col("blocks")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = whole.withColumn("_cy_own", mine).withColumn("_cy_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    met = dealt.select("node", "group", F.least("_cy_own", "_cy_other").alias("low"), F.greatest("_cy_own", "_cy_other").alias("high"))
-    rows = met.join(held, "node").select("group", "low", "high", "node", "shingles")
+        own = groups.join(vast.withColumnRenamed("group", "component"), "component", "left_semi").select("node")
+        by_bucket = members.join(own, "node", "left_semi").select(F.unhex(F.lpad(F.hex("bucket"), 16, "0")).alias("group"), "node", "n", "cluster", F.lit(True).alias("single"))
+        whole = whole.unionByName(by_bucket)
+    whole = written(whole, "compared")
+    # Clusters of a block or more have blocks of their own, which don't meet each other; the others share blocks, a cluster in one of them.
+    of_cluster = whole.groupBy("group", "cluster").agg(blocks.alias("blocks"), F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    is_large = (F.col("members") >= block) | (F.col("shingles") >= BLOCK_SHINGLES)
+    small = F.greatest(F.ceil(F.sum(F.when(~is_large, F.col("members"))) / block), F.ceil(F.sum(F.when(~is_large, F.col("shingles"))) / BLOCK_SHINGLES))
+    totals = of_cluster.groupBy("group").agg(F.coalesce(small, F.lit(0)).cast("int").alias("mixed"), F.coalesce(F.sum(F.when(is_large, F.col("blocks"))), F.lit(0)).cast("int").alias("owned"))
+    before = Window.partitionBy("group").orderBy("cluster").rowsBetween(Window.unboundedPreceding, -1)
+    large = of_cluster.filter(is_large).withColumn("before", F.coalesce(F.sum("blocks").over(before), F.lit(0)).cast("int")).select("group", "cluster", "blocks", "before")
+    spread = whole.join(totals, "group").join(large, ["group", "cluster"], "left")
+    base = F.col("mixed") + F.col("before")
+    mine = F.when(F.col("before").isNotNull(), base + F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(F.pmod(F.xxhash64("cluster"), F.col("mixed"))).cast("int")
+    others = F.sequence(F.lit(0), F.col("mixed") + F.col("owned") - 1)
+    met = F.when(F.col("before").isNotNull(), F.filter(others, lambda b: (b < base) | (b >= base + F.col("blocks")))).otherwise(others)
+    dealt = spread.withColumn("_cy_own", mine).withColumn("_cy_other", F.explode(met))
+    pairs = dealt.select("node", "cluster", "group", "single", F.least("_cy_own", "_cy_other").alias("low"), F.greatest("_cy_own", "_cy_other").alias("high"))
+    rows = pairs.join(bands, "node").join(held, "node").select("group", "low", "high", "node", "cluster", F.when(~F.col("single"), F.col("bands")).alias("bands"), "shingles")
     ordered = rows.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high")
-    return ordered.mapInArrow(lambda batches: in_batches("u bigint, v bigint", _confirmed(batches)), "u bigint, v bigint")
+    return ordered.mapInArrow(lambda batches: in_batches(LINKS, _confirmed(batches)), LINKS)
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each group, with all its columns; documents without words all stay."""
-    out = near_groups(docs).filter("not kept").select("doc_id")
-    gone = written(out.distinct(), "near-copies")
-    n = gone.count()
-    own = gone.toDF("_cy_id")
-    return docs.join(F.broadcast(own) if n <= BROADCAST_ROWS else own, F.col("doc_id") == F.col("_cy_id"), "left_anti")
+def drop_near_copies(docs: DataFrame, block: int = BLOCK, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+    """One row of each group, with all its columns: that of the smallest doc_id, then of the smallest MD5 of its text, then the
+    smallest row. Rows decide, not ids: a row is dropped only for a near copy that stays. Rows without words all stay."""
+    rows = written(_with_nodes(docs, _signed_rows(docs), block, most_blocks).select("doc_id", "text_key", "component"), "near-rows")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    first = rows.filter("component is not null").groupBy("component").agg(F.min(place).alias("w"))
+    winners = first.select(F.col("w.doc_id").alias("_w_id"), F.col("w.text_key").alias("_w_key"), F.lit(True).alias("_w"))
+    worded = rows.filter("component is not null").groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
+    decided = worded.join(winners, F.col("doc_id").eqNullSafe(F.col("_w_id")) & (F.col("text_key") == F.col("_w_key")), "left").select("doc_id", F.col("text_key").alias("key"), F.coalesce("_w", F.lit(False)).alias("kept"), "n")
+    return keep_rows(docs, decided, F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))

@@ -243,16 +243,41 @@ def test_drop_copies_keeps_columns(docs):
     assert 6 not in {r["doc_id"] for r in kept.collect()} and {0, 3, 5} <= {r["doc_id"] for r in kept.collect()}
 
 
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+def test_drop_copies_decides_by_row(spark, keep):
+    data = [(1, "b"), (5, "B"), (5, "a"), (9, "c"), (9, "c"), (9, "c"), (9, "C"), (None, "d"), (None, "D"), (None, "b"), (7, None), (7, "")]
+    d = spark.createDataFrame([(i, t, "en", f"s{k}", None) for k, (i, t) in enumerate(data)], SCHEMA).repartition(3)
+    got = sorted((r["doc_id"] or -1, r["text"], r["source"]) for r in exact_dedup.drop_copies(d, keep).collect())
+    b = (1, "b", "s0") if keep == "smallest" else (5, "B", "s1")
+    assert got == sorted([b, (5, "a", "s2"), (9, "C", "s6"), (-1, "D", "s8"), (7, None, "s10")], key=lambda r: (r[0], r[1] or ""))
+
+
 @pytest.mark.parametrize("most", [1 << 30, 2000])
-def test_trie_against_dict(most):
+def test_trie_against_dict(most, tmp_path):
     rng = random.Random(1)
     keys = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(12))) for _ in range(3000)] + [b"", b"x" * 3000]
-    trie, want = exact_dedup.PatriciaTrie(most), {}
+    trie, want = exact_dedup.PatriciaTrie(most, f"file://{tmp_path}"), {}
     for i, k in enumerate(keys):
         trie.insert(k, (i, i, 1, k.hex()))
         low, high, n, h = want.get(k, (i, i, 0, k.hex()))
         want[k] = (min(low, i), max(high, i), n + 1, h)
     assert dict(trie.items()) == want
+    assert not list(tmp_path.rglob("*-*-*"))
+
+
+def test_trie_keeps_its_bound(tmp_path):
+    # Strings with a long common prefix, then others that leave it early.
+    keys = [b"shared prefix" + i.to_bytes(4, "big") + bytes(80) for i in range(6000)] + [i.to_bytes(4, "big") * 25 for i in range(500)]
+    trie = exact_dedup.PatriciaTrie(50_000, f"file://{tmp_path}")
+    for i, k in enumerate(keys):
+        trie.insert(k, (i, i, 1, ""))
+    assert dict(trie.items()) == {k: (i, i, 1, "") for i, k in enumerate(keys)}
+    assert trie.peak <= 51_000
+
+
+def test_exact_groups_with_spills(docs, rows):
+    whole = sorted(map(tuple, exact_dedup.exact_groups(docs).collect()))
+    assert sorted(map(tuple, exact_dedup.exact_groups(docs, trie_bytes=50).collect())) == whole
 
 
 # --- near dedup ----------------------------------------------------------------------------------------------------
@@ -288,6 +313,63 @@ def test_near_groups_edges(spark, empty):
     assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1, r["kept"]) for r in near_dedup.near_groups(d).collect()) == [(-1, 0, -1, True), (-1, 3, 7, True), (7, 3, 7, True), (8, 0, 8, True)]
 
 
+@pytest.mark.parametrize("block, most", [(1000, 20), (4, 20), (3, 1)])
+def test_near_groups_split_clusters(spark, block, most):
+    """Groups whose members are near each other but not all near one centre, chained by common passages, with outliers."""
+    rng = random.Random(9)
+    out = []
+    for g in range(4):
+        text = words(rng, 90, 3000).split()
+        for _ in range(24):
+            text = text[:]
+            for _ in range(rng.randrange(3)):
+                text[rng.randrange(len(text))] = f"y{rng.randrange(9999)}"
+            out.append(" ".join(text))
+        out += [" ".join(text[:55] + words(rng, 35, 3000).split()) for _ in range(12)]  # share a passage, but are no near copies
+    rows = [(7 * i + 3, t, None, None, None) for i, t in enumerate(out)]
+    rng.shuffle(rows)
+    want = brute_near(rows)
+    got = near_dedup.near_groups(spark.createDataFrame(rows, SCHEMA).repartition(3), block, most).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == want
+    assert 4 < len({c for _, c, _ in want.values()}) < len(rows)
+
+
+def test_drop_near_copies_decides_by_row(spark):
+    rng = random.Random(3)
+    b, a, c = (words(rng, 60, 4000) for _ in range(3))
+    near_a = a + " tail"
+    data = [(1, b), (5, b), (5, a), (9, c), (9, c), (9, c.upper()), (None, a), (None, "only null ids"), (None, "only null ids"), (5, near_a), (7, None), (7, ""), (7, ""), (-3, c + " x"), (-(2**63), "least id of all")]
+    d = spark.createDataFrame([(i, t, "en", f"s{k}", None) for k, (i, t) in enumerate(data)], SCHEMA).repartition(3)
+    kept = near_dedup.drop_near_copies(clashing(d))
+    assert kept.columns == clashing(d).columns
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in kept.collect())
+    first = min((a, near_a), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert got == sorted([(False, 1, b), (False, 5, first), (False, -3, c + " x"), (True, 0, "only null ids"), (False, 7, ""), (False, 7, ""), (False, 7, ""), (False, -(2**63), "least id of all")])
+
+
+def test_drop_near_copies_of_plain_ids(docs, rows, empty):
+    want = brute_near(rows)
+    unique = docs.dropDuplicates(["doc_id"])
+    assert sorted(r["doc_id"] for r in near_dedup.drop_near_copies(unique).collect()) == sorted(d for d, (n, c, k) in want.items() if k)
+    assert near_dedup.drop_near_copies(empty).count() == exact_dedup.drop_copies(empty).count() == 0
+
+
+def test_nodes_keep_the_order_of_ids(spark):
+    ids = [None, -(2**63), -5, 0, 7, 2**63 - 1]
+    d = spark.createDataFrame([(i,) for i in ids], "i bigint").select("i", near_dedup.node_of(F.col("i"), F.lit(b"k")).alias("node"))
+    assert [r["i"] for r in d.orderBy("node").collect()] == ids[1:] + [None]
+    assert all(r["i"] == r["back"] for r in d.select("i", near_dedup.doc_id_of(F.col("node")).alias("back")).collect())
+
+
+def test_components_of_hot_nodes(spark, monkeypatch):
+    from chunkyard.llm import components as module
+
+    monkeypatch.setattr(module, "HOT_LINKS", 3)
+    links = [(0, i) for i in range(1, 60)] + [(1000, i) for i in range(300, 360)] + [(59, 2000), (2000, 300)] + [(5000, 5001)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
+    assert got == {i: 0 for i in [*range(60), *range(300, 360), 1000, 2000]} | {5000: 5000, 5001: 5000}
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**63, 1200).astype(np.uint64)
