@@ -40,8 +40,9 @@ from chunkyard.llm.components import components
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
 UNIVERSE = 1 << 20
-#: Sets, and shingles, that a block should hold; two blocks meet in a comparing task.
+#: Sets, and shingles, that a block should hold at most; two blocks meet in a comparing task. Smaller groups are cut into up to PARTS blocks of PART sets.
 BLOCK, BLOCK_SHINGLES = 1000, 1_000_000
+PART, PARTS = 128, 16
 #: Members that stream past a copy of their centre's set.
 STAR = 128
 #: Blocks of a group of buckets beyond which its buckets are compared one by one; the pairs are the same.
@@ -114,7 +115,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def node_of(doc_id: Column, key: Column) -> Column:
-    """A node: nulls last, then the smallest doc_id of its rows as unsigned big-endian bytes, then its set. The smallest node of a component holds its smallest doc_id."""
+    """A node: nulls last, then the smallest doc_id of its rows as unsigned big-endian bytes, then its set where ids need it. The smallest node of a component holds its smallest doc_id."""
     number = F.unhex(F.lpad(F.hex(F.coalesce(doc_id, F.lit(0)).bitwiseXOR(F.lit(-(2**63)))), 16, "0"))
     return F.concat(F.when(doc_id.isNull(), F.lit(b"\x01")).otherwise(F.lit(b"\x00")), number, key)
 
@@ -189,7 +190,10 @@ def _signed_rows(docs: DataFrame) -> DataFrame:
 def _with_nodes(docs: DataFrame, signed: DataFrame, block: int, most_blocks: int) -> DataFrame:
     """signed with `component`, the smallest node that links reach; null without words."""
     grouped = signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("low"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
-    reps = written(grouped.select("set_key", node_of(F.col("low"), F.col("set_key")).alias("node"), "low", "bands", "n"), "sets")
+    sets = written(grouped, "sets")
+    twice = written(sets.groupBy("low").count().filter("count > 1").select(F.col("low").alias("_cy_low"), F.lit(True).alias("_cy_twice")), "repeated-ids")
+    told = sets.join(F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice, F.col("low").eqNullSafe(F.col("_cy_low")), "left")
+    reps = told.select("set_key", node_of(F.col("low"), F.when(F.col("_cy_twice"), F.col("set_key")).otherwise(F.lit(b""))).alias("node"), "low", "bands", "n")
     found = components(_links(docs, reps, block, most_blocks))
     of_set = reps.select("set_key", "node").join(found, "node", "left").select(F.col("set_key").alias("_cy_key"), F.coalesce("component", "node").alias("component"))
     worded = signed.filter("set_key is not null").join(of_set, F.col("set_key") == F.col("_cy_key")).drop("_cy_key", "bands")
@@ -218,7 +222,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), pa.array(list(new.values()), pa.binary())], ["set_key", "shingles"])
 
     ids = nodes.select(F.col("low").alias("_cy_id")).distinct()
-    few = F.broadcast(ids) if nodes.count() <= BROADCAST_ROWS else ids
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     texts = docs.select("doc_id", "text").join(few, F.col("doc_id").eqNullSafe(F.col("_cy_id")), "left_semi").select("text")
     return texts.mapInArrow(made, "set_key binary, shingles binary")
 
@@ -228,15 +232,15 @@ def _links(docs: DataFrame, reps: DataFrame, block: int, most_blocks: int) -> Da
     every = reps.select("node", "n", F.explode("bands").alias("bucket"))
     shared = every.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("center")).filter("members > 1")
     banded = written(every.join(shared, "bucket").select("bucket", "node", "n", "center"), "buckets")
-    nodes = written(banded.select("node").distinct().join(reps.select("node", "low", "set_key"), "node"), "candidates")
-    held = nodes.join(_sets(docs, nodes), "set_key").select("node", "shingles")
-
+    keys = reps.select("node", "low", "set_key")
     pairs = banded.filter("node <> center").select("node", "center").distinct()
     salts = pairs.groupBy("center").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
     salted = written(pairs.join(salts, "center").select("center", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), "node"), "stars")
-    centers = salted.select("center", "salt").distinct().join(held, F.col("center") == F.col("node")).select("center", "salt", F.lit(0).alias("is_member"), "node", "shingles")
-    members = salted.join(held, "node").select("center", "salt", F.lit(1).alias("is_member"), "node", "shingles")
-    dealt = centers.unionByName(members).repartition("center", "salt").sortWithinPartitions("center", "salt", "is_member")
+    centers = salted.select("center", "salt").distinct().select("center", "salt", F.lit(0).alias("is_member"), F.col("center").alias("node"))
+    asked = written(centers.unionByName(salted.withColumn("is_member", F.lit(1))).join(keys, "node"), "star-rows")
+    held = _sets(docs, asked.select("low", "set_key"))
+    rows = asked.drop("low").join(held, "set_key").select("center", "salt", "is_member", "node", "shingles")
+    dealt = rows.repartition("center", "salt").sortWithinPartitions("center", "salt", "is_member")
     stars = written(dealt.mapInArrow(lambda batches: in_batches(LINKS, _starred(batches)), LINKS), "star-links")
 
     # Pairs with the centre are settled; what is left of a bucket matters where it lies in different clusters.
@@ -249,14 +253,16 @@ def _links(docs: DataFrame, reps: DataFrame, block: int, most_blocks: int) -> Da
     open_ = written(rest.join(once.select("bucket", "first"), "bucket"), "open-buckets")
     if not open_.limit(1).count():
         return stars
-    return stars.unionByName(_between(open_, reps.select("node", "bands"), held, block, most_blocks))
+    return stars.unionByName(_between(docs, reps, open_, block, most_blocks))
 
 
-def _between(members: DataFrame, bands: DataFrame, held: DataFrame, block: int, most_blocks: int) -> DataFrame:
+def _between(docs: DataFrame, reps: DataFrame, members: DataFrame, block: int, most_blocks: int) -> DataFrame:
     """Confirmed links between clusters among members (bucket, node, n, cluster, first: the bucket's smallest node)."""
     groups = components(members.select(F.col("node").alias("u"), F.col("first").alias("v")))
     grouped = members.select("node", "n", "cluster").distinct().join(groups, "node").withColumnRenamed("component", "group")
-    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    members_, shingles_ = F.count("*"), F.sum("n")
+    parts = F.least(F.lit(PARTS), F.ceil(members_ / min(PART, block)))
+    blocks = F.greatest(F.ceil(members_ / block), parts, F.ceil(shingles_ / BLOCK_SHINGLES)).cast("int")
     sizes = written(grouped.groupBy("group").agg(blocks.alias("blocks")), "groups")
     whole = grouped.join(sizes.filter(F.col("blocks") <= most_blocks).select("group"), "group").select("group", "node", "n", "cluster", F.lit(False).alias("single"))
     vast = sizes.filter(F.col("blocks") > most_blocks).select("group")
@@ -265,21 +271,26 @@ def _between(members: DataFrame, bands: DataFrame, held: DataFrame, block: int,
         by_bucket = members.join(own, "node", "left_semi").select(F.unhex(F.lpad(F.hex("bucket"), 16, "0")).alias("group"), "node", "n", "cluster", F.lit(True).alias("single"))
         whole = whole.unionByName(by_bucket)
     whole = written(whole, "compared")
-    # Clusters of a block or more have blocks of their own, which don't meet each other; the others share blocks, a cluster in one of them.
-    of_cluster = whole.groupBy("group", "cluster").agg(blocks.alias("blocks"), F.count("*").alias("members"), F.sum("n").alias("shingles"))
-    is_large = (F.col("members") >= block) | (F.col("shingles") >= BLOCK_SHINGLES)
-    small = F.greatest(F.ceil(F.sum(F.when(~is_large, F.col("members"))) / block), F.ceil(F.sum(F.when(~is_large, F.col("shingles"))) / BLOCK_SHINGLES))
-    totals = of_cluster.groupBy("group").agg(F.coalesce(small, F.lit(0)).cast("int").alias("mixed"), F.coalesce(F.sum(F.when(is_large, F.col("blocks"))), F.lit(0)).cast("int").alias("owned"))
+    # Clusters of half a block or more have blocks of their own, which don't meet each other; the others share blocks, a cluster in one of them.
+    of_cluster = whole.groupBy("group", "cluster").agg(members_.alias("members"), shingles_.alias("shingles"))
+    units = whole.groupBy("group").agg((members_ / blocks).alias("unit"), (shingles_ / blocks).alias("unit_shingles"))
+    part = F.greatest(F.col("members") / F.col("unit"), F.col("shingles") / F.col("unit_shingles"))
+    weighed = written(of_cluster.join(units, "group").select("group", "cluster", part.alias("part")), "cluster-sizes")
+    is_large = F.col("part") > 0.5
+    totals = weighed.groupBy("group").agg(
+        F.ceil(F.coalesce(F.sum(F.when(~is_large, F.col("part"))), F.lit(0.0))).cast("int").alias("mixed"), F.coalesce(F.sum(F.when(is_large, F.ceil("part"))), F.lit(0)).cast("int").alias("owned")
+    )
     before = Window.partitionBy("group").orderBy("cluster").rowsBetween(Window.unboundedPreceding, -1)
-    large = of_cluster.filter(is_large).withColumn("before", F.coalesce(F.sum("blocks").over(before), F.lit(0)).cast("int")).select("group", "cluster", "blocks", "before")
-    spread = whole.join(totals, "group").join(large, ["group", "cluster"], "left")
+    large = weighed.filter(is_large).select("group", "cluster", F.ceil("part").cast("int").alias("blocks"), F.coalesce(F.sum(F.ceil("part")).over(before), F.lit(0)).cast("int").alias("before"))
     base = F.col("mixed") + F.col("before")
     mine = F.when(F.col("before").isNotNull(), base + F.pmod(F.xxhash64("node"), F.col("blocks"))).otherwise(F.pmod(F.xxhash64("cluster"), F.col("mixed"))).cast("int")
     others = F.sequence(F.lit(0), F.col("mixed") + F.col("owned") - 1)
     met = F.when(F.col("before").isNotNull(), F.filter(others, lambda b: (b < base) | (b >= base + F.col("blocks")))).otherwise(others)
-    dealt = spread.withColumn("_cy_own", mine).withColumn("_cy_other", F.explode(met))
-    pairs = dealt.select("node", "cluster", "group", "single", F.least("_cy_own", "_cy_other").alias("low"), F.greatest("_cy_own", "_cy_other").alias("high"))
-    rows = pairs.join(bands, "node").join(held, "node").select("group", "low", "high", "node", "cluster", F.when(~F.col("single"), F.col("bands")).alias("bands"), "shingles")
+    spread = whole.join(totals, "group").join(large, ["group", "cluster"], "left").select("group", "node", "cluster", "single", mine.alias("own"), met.alias("met"))
+    named = written(spread.join(reps.select("node", "low", "set_key", "bands"), "node"), "block-rows")
+    held = _sets(docs, named.select("low", "set_key"))
+    dealt = named.join(held, "set_key").withColumn("other", F.explode("met"))
+    rows = dealt.select("group", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "cluster", F.when(~F.col("single"), F.col("bands")).alias("bands"), "shingles")
     ordered = rows.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high")
     return ordered.mapInArrow(lambda batches: in_batches(LINKS, _confirmed(batches)), LINKS)
 
