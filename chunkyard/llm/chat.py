@@ -3,16 +3,17 @@
 Turns become `<s>[INST]role[/INST]text</s>`; control strings and backslashes inside roles and texts are escaped by a
 backslash and come back on reading. Prefix sums of turn tokens (runs of letters and digits, other signs, and the markup) choose the
 windows: a turn starts in window floor(tokens before it / stride), where the stride is half of what the budget leaves
-after history. A window after the first repeats the conversation's opening system turn and the last turns of the window
-before it, as far as they fit `history` tokens; repeated turns are masked, so each assistant text is a target exactly once.
-Turns are never cut. Where none is longer than a stride, a window keeps to the budget, except that the repeated system turn
-is not counted in choosing windows and may pass it by its own tokens; a longer turn, also one above the whole budget, stays
-in one piece in its window, which then may be as much longer.
+after history and the conversation's own opening system turn. A turn longer than the stride has a window to itself. A window after the
+first repeats the system turn and the last turns of the window before it, as far as they fit `history` tokens; repeated turns are
+masked, so each assistant text is a target exactly once. Turns are never cut: a window keeps to the budget as long as the system turn
+leaves an eighth of it for a stride (with 1024 and 192, up to 576 tokens) and no turn is longer than two strides. A longer system
+turn leaves strides of an eighth of the budget and passes it by what it is longer; a turn above two strides passes it alone in its window.
 
 Prefix sums are taken within blocks of turn numbers first and then over blocks, so that a conversation with a large share
 of all rows is not summed by one task. Turns are ordered by (turn, role, text); null turn numbers come first; null roles
-and texts are empty; rows with a null conv_id form one conversation; repeated rows are turns of their own. An empty table
-gives an empty result. Extra columns are ignored.
+and texts are empty; rows with a null conv_id form one conversation; repeated rows are turns of their own. A very long turn makes a
+very long window, never a cut one. An empty table gives an empty result. Extra columns are ignored. `digests` hashes whole
+conversations, so there one conversation must fit a row.
 """
 
 from __future__ import annotations
@@ -40,8 +41,7 @@ def unescape(text: Column) -> Column:
 
 
 def format_windows(turns: DataFrame, budget: int = 1024, history: int = 192) -> DataFrame:
-    """conv_id, window (from 0), n_repeated (leading turns that are not new), n_tokens, formatted, loss (array of start from 0 and length, in code points)."""
-    stride = max(1, (budget - history) // 2)
+    """conv_id, window (from 0, ascending), n_repeated (leading turns that are not new), n_tokens, formatted, loss (array of start from 0 and length, in code points)."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     head = F.concat(F.lit(BEGIN + OPEN), escape(role), F.lit(CLOSE))
     rows = turns.select(
@@ -52,26 +52,43 @@ def format_windows(turns: DataFrame, budget: int = 1024, history: int = 192) ->
         text.alias("text"),
         (F.regexp_count(text, F.lit(TOKEN)) + F.regexp_count(role, F.lit(TOKEN)) + MARKUP_TOKENS).alias("tokens"),
     )
-    over_blocks = Window.partitionBy("conv_id").orderBy("block")
-    blocks = rows.groupBy("conv_id", "block").agg(F.sum("tokens").alias("tokens"))
+    # The first turn of each conversation: of its block's smallest turns by (turn, role, text).
+    first = rows.groupBy("conv_id").agg(F.min(F.struct("turn", "role", "text", "tokens")).alias("f"))
+    is_system = F.col("f.role") == SYSTEM
+    lead_tokens = F.when(is_system, F.col("f.tokens")).otherwise(0)
+    stride = F.greatest(F.lit(max(1, budget // 8)), F.floor((F.lit(budget - history) - lead_tokens) / 2)).cast("bigint")
+    openings = first.select(
+        F.col("conv_id").alias("_o_conv"),
+        F.when(is_system, F.concat(F.lit(BEGIN + OPEN), escape(F.col("f.role")), F.lit(CLOSE), escape(F.col("f.text")), F.lit(END))).alias("lead"),
+        lead_tokens.alias("lead_tokens"),
+        stride.alias("stride"),
+        (F.col("f.tokens") > stride).cast("int").alias("long_opening"),
+    )
+    strides = openings.select("_o_conv", "stride", "long_opening")
+    sized = rows.join(strides, F.col("conv_id").eqNullSafe(F.col("_o_conv"))).drop("_o_conv").withColumn("is_long", (F.col("tokens") > F.col("stride")).cast("int"))
+    over_blocks = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sized.groupBy("conv_id", "block").agg(F.sum("tokens").alias("tokens"), F.sum("is_long").alias("is_long"))
     bases = blocks.select(
         F.col("conv_id").alias("_b_conv"),
         F.col("block").alias("_b_block"),
-        F.coalesce(F.sum("tokens").over(over_blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"),
-        F.sum("tokens").over(Window.partitionBy("conv_id")).alias("total"),
+        F.coalesce(F.sum("tokens").over(over_blocks), F.lit(0)).alias("base"),
+        F.coalesce(F.sum("is_long").over(over_blocks), F.lit(0)).alias("base_long"),
     )
     in_block = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
-    summed = rows.withColumn("inner", F.coalesce(F.sum("tokens").over(in_block), F.lit(0))).join(
-        bases, F.col("conv_id").eqNullSafe(F.col("_b_conv")) & (F.col("block") == F.col("_b_block"))
-    )
+    inner = {"inner": F.coalesce(F.sum("tokens").over(in_block), F.lit(0)), "inner_long": F.coalesce(F.sum("is_long").over(in_block), F.lit(0))}
+    summed = sized.withColumns(inner).join(bases, F.col("conv_id").eqNullSafe(F.col("_b_conv")) & (F.col("block") == F.col("_b_block")))
     before = F.col("base") + F.col("inner")
-    dealt = summed.select("conv_id", "role", "text", "tokens", "total", before.alias("before"), F.floor(before / stride).alias("window"))
-    whole = Window.partitionBy("conv_id", "window")
-    ended = dealt.withColumn("end", F.max(F.col("before") + F.col("tokens")).over(whole))
+    window = F.floor(before / F.col("stride")) + 2 * (F.col("base_long") + F.col("inner_long")) + F.col("is_long") - F.col("long_opening")
+    dealt = summed.select("conv_id", "role", "text", "tokens", before.alias("before"), window.alias("window"))
+    spans = dealt.groupBy("conv_id", "window").agg(F.min("before").alias("begin"), F.max(F.col("before") + F.col("tokens")).alias("end"))
+    after = spans.select(F.col("conv_id").alias("_n_conv"), F.col("begin").alias("_n_begin"), F.col("window").alias("next"))
+    followed = spans.join(after, F.col("conv_id").eqNullSafe(F.col("_n_conv")) & (F.col("end") == F.col("_n_begin")), "left")
+    named = followed.select(F.col("conv_id").alias("_w_conv"), F.col("window").alias("_w_window"), "end", "next")
+    ended = dealt.join(named, F.col("conv_id").eqNullSafe(F.col("_w_conv")) & (F.col("window") == F.col("_w_window")))
     opening = (F.col("before") == 0) & (F.col("role") == SYSTEM)
-    again = (F.col("end") < F.col("total")) & (F.col("end") - F.col("before") <= history) & ~opening
+    again = F.col("next").isNotNull() & (F.col("end") - F.col("before") <= history) & ~opening
     own = F.struct(F.col("window").alias("window"), F.lit(0).alias("repeated"))
-    next_one = F.struct(F.floor(F.col("end") / stride).alias("window"), F.lit(1).alias("repeated"))
+    next_one = F.struct(F.col("next").alias("window"), F.lit(1).alias("repeated"))
     placed = ended.select(
         "conv_id", "role", "before", "tokens", head.alias("head"), escape(F.col("text")).alias("body"), F.inline(F.when(again, F.array(own, next_one)).otherwise(F.array(own)))
     )
@@ -80,8 +97,8 @@ def format_windows(turns: DataFrame, budget: int = 1024, history: int = 192) ->
     spotted = placed.withColumn("at", F.coalesce(F.sum(size).over(in_window), F.lit(0)).cast("int"))
     part = F.struct("before", "at", F.col("repeated"), F.col("role"), F.length("head").alias("skip"), F.length("body").alias("size"), F.concat("head", "body", F.lit(END)).alias("shown"))
     windows = spotted.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.sum("tokens").alias("n_tokens"), F.sum("repeated").alias("n_repeated"))
-    system = dealt.filter(opening).select(F.col("conv_id").alias("_s_conv"), F.concat(head, escape(F.col("text")), F.lit(END)).alias("lead"), F.col("tokens").alias("lead_tokens"))
-    led = windows.join(system, F.col("conv_id").eqNullSafe(F.col("_s_conv")) & (F.col("window") > 0), "left")
+    system = openings.filter("lead is not null").select("_o_conv", "lead", "lead_tokens")
+    led = windows.join(system, F.col("conv_id").eqNullSafe(F.col("_o_conv")) & (F.col("window") > 0), "left")
     shift = F.coalesce(F.length("lead"), F.lit(0))
     target = F.filter("parts", lambda p: (p["repeated"] == 0) & (p["role"] == ASSISTANT))
     return led.select(

@@ -104,12 +104,16 @@ WITH turns AS (
   SELECT *, 4 + len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]')) + len(regexp_extract_all(role, '[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]')) AS tokens,
     26 - 6 + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}) AS shown
   FROM turns
+), leads AS (
+  SELECT conv_id, CASE WHEN arg_role = 'system' THEN arg_tokens ELSE 0 END AS lead_tokens, arg_tokens FROM (
+    SELECT conv_id, role AS arg_role, tokens AS arg_tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM sized) WHERE k = 1
+), strided AS (SELECT s.*, greatest(128, (832 - lead_tokens) // 2) AS stride, CAST(arg_tokens > greatest(128, (832 - lead_tokens) // 2) AS INT) AS long_opening FROM sized s JOIN leads l ON s.conv_id IS NOT DISTINCT FROM l.conv_id
+), marked AS (SELECT *, CAST(tokens > stride AS INT) AS is_long FROM strided
 ), summed AS (
-  SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
-    sum(tokens) OVER (PARTITION BY conv_id) AS total
-  FROM sized
-), dealt AS (SELECT *, before // 416 AS win FROM summed
-), ended AS (SELECT *, max(before + tokens) OVER (PARTITION BY conv_id, win) AS ends FROM dealt
+  SELECT *, coalesce(sum(tokens) OVER w, 0) AS before, coalesce(sum(is_long) OVER w, 0) AS longs FROM marked
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), dealt AS (SELECT *, before // stride + 2 * longs + is_long - long_opening AS win FROM summed
+), ended AS (SELECT *, max(before + tokens) OVER (PARTITION BY conv_id, win) AS ends, sum(tokens) OVER (PARTITION BY conv_id) AS total FROM dealt
 ), chars AS (
   SELECT conv_id, sum(shown * CASE WHEN ends < total AND ends - before <= 192 AND NOT (before = 0 AND role = 'system') THEN 2 ELSE 1 END) AS own,
     (count(DISTINCT win) - 1) * coalesce(max(CASE WHEN before = 0 AND role = 'system' THEN shown END), 0) AS lead,

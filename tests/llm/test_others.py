@@ -54,6 +54,29 @@ def test_chat_budget(spark):
     assert max(r["n_tokens"] for r in out) <= 300 and len(out) > 10
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_chat_budget_with_system_turn(spark, seed):
+    """The system turn counts: every window keeps to the budget where no turn is longer than two strides, and history is repeated."""
+    rng = random.Random(seed)
+    lead = rng.choice([0, 100, 400, 560])
+    rows = [(1, 0, "system", "rule " * lead)] + [(1, t, "assistant" if t % 2 else "user", "word " * rng.randrange(1, max(2, 820 - lead - 20) if t % 9 == 0 else 120)) for t in range(1, 600)]
+    out = chat.format_windows(spark.createDataFrame(rows, TURNS)).collect()
+    assert max(r["n_tokens"] for r in out) <= 1024
+    assert all(r["n_repeated"] >= 1 for r in out if r["window"] > 0) and max(r["n_repeated"] for r in out) > 1
+    assert sum(len(chat_turns(r["formatted"])) - r["n_repeated"] for r in out) == 600
+
+
+def chat_turns(formatted):
+    return formatted.split("</s>")[:-1]
+
+
+def test_chat_beyond_the_budget(spark):
+    rows = [(1, 0, "system", "rule " * 900), (1, 1, "user", "word"), (1, 2, "assistant", "word " * 5000), (1, 3, "user", "word " * 200), (2, 0, "user", "long " * 200_000), (2, 1, "assistant", "short")]
+    out = sorted((r["conv_id"], r["window"], r["n_tokens"], r["n_repeated"]) for r in chat.format_windows(spark.createDataFrame(rows, TURNS)).collect())
+    # System turn alone; it and a short turn; those and the long one, alone but for history; no history fits after that.
+    assert [(c, n, k) for c, _, n, k in out] == [(1, 905, 0), (1, 905 + 6, 1), (1, 905 + 6 + 5005, 2), (1, 905 + 205, 1), (2, 200_005, 0), (2, 6, 0)]
+
+
 def test_chat_empty(spark):
     assert chat.digests(chat.format_windows(spark.createDataFrame([], TURNS))).count() == 0
 
