@@ -5,16 +5,18 @@ histogram of piece lengths, which has at most `capacity` rows whatever the corpu
 longest remaining length are enumerated, the least waste first, and branched over with backtracking, each as often as the
 counts allow and then less often. The best-fit-decreasing plan of the same histogram is the first incumbent: a branch that
 cannot need fewer bins, by its waste or by the lower bound L2 of what is left, is cut off. The search ends when the incumbent
-meets the lower bound or nothing is left to try, and the plan then has the fewest bins; or after NODES fillings, with the
-best plan found, since the problem is NP-hard. Pieces then find their places by their rank among the pieces of the same
+meets the lower bound or nothing is left to try, and the plan then has the fewest bins; or after `nodes` fillings (NODES by
+default, a parameter, since the problem is NP-hard), with the best plan found and a warning that says how far it may be from the
+fewest; nodes=None searches to the end, whatever it takes. Pieces then find their places by their rank among the pieces of the same
 length, from counts by (task, length), so no task ever holds the pieces of a length together.
 
-Nulls: a null text is empty (its end id only); null ids pass through. Repeated rows are packed each. An empty table gives
-an empty result. Extra columns are ignored.
+Nulls: a null text is empty (its end id only); null ids pass through. Repeated rows are packed each. Very long texts are cut into
+pieces of the capacity, never shortened. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from chunkyard.llm.common import bounded_batches, byte_values, written
 from chunkyard.llm.tokens import encoder
 
-#: Fillings that the whole search may meet before it takes the best plan found.
+#: Fillings that the whole search may meet before it takes the best plan found; a default, None is no limit.
 NODES = 20_000
 PIECES = "doc_id bigint, piece int, start bigint, length int, ids binary, task int, rank bigint"
 
@@ -88,7 +90,7 @@ def _is_dominated(pattern: list[tuple[int, int]], spare: int, excluded: int) ->
     return bool(spare and more & excluded)
 
 
-def fillings(counts: np.ndarray, first: int, capacity: int, most_waste: int, tried: list[int], after: tuple | None = None) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+def fillings(counts: np.ndarray, first: int, capacity: int, most_waste: int, tried: list[float], after: tuple | None = None) -> Iterator[tuple[int, list[tuple[int, int]]]]:
     """(waste, pattern) of all undominated fillings of one bin around `first`: the least waste first, then the longest items first.
 
     Fillings up to `after`, a pair like those yielded, are left out. Sums that the shorter items can reach steer the search,
@@ -156,7 +158,7 @@ class _Step:
         self.done, self.ended = 0, False
         self.applied: tuple[int, int, list[tuple[int, int]]] | None = None
 
-    def next(self, left: np.ndarray, capacity: int, spare: int, tried: list[int]) -> tuple[int, int, list[tuple[int, int]]] | None:
+    def next(self, left: np.ndarray, capacity: int, spare: int, tried: list[float]) -> tuple[int, int, list[tuple[int, int]]] | None:
         """(copies, waste, pattern); fillings are made anew, twice as many each time, rather than kept half-way."""
         if self.applied and self.applied[0] > 1:
             copies, waste, pattern = self.applied
@@ -169,12 +171,12 @@ class _Step:
         return self.ready.pop() if self.ready else None
 
 
-def plan_completion(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[tuple[int, list[tuple[int, int]]]]:
+def plan_completion(counts: np.ndarray, capacity: int, nodes: int | None = NODES) -> list[tuple[int, list[tuple[int, int]]]]:
     """The fewest bins, by branch and bound over the undominated fillings; best-fit decreasing is the first incumbent.
 
     A branch ends where its waste, or its bins with the lower bound of what is left, allow no better plan. Bins around the
     same longest item come in the order of their fillings, so that no set of bins is met twice. After `nodes` fillings the
-    best plan so far is taken, which then may not be the best of all.
+    best plan so far is taken, which then may not be the best of all; a warning says so. Without a limit (None) it always is.
     """
     best = plan_best_fit(counts, capacity)
     most = sum(c for c, _ in best)
@@ -183,9 +185,9 @@ def plan_completion(counts: np.ndarray, capacity: int, nodes: int = NODES) -> li
     if most <= least:
         return best
     left, bins, wasted = counts.copy(), 0, 0
-    tried = [0, nodes]
+    tried = [0, float("inf") if nodes is None else nodes]
     steps = [_Step(int(np.flatnonzero(left)[-1]), None)]
-    while steps and tried[0] < nodes:
+    while steps and tried[0] < tried[1]:
         step = steps[-1]
         undone = step.applied
         if undone:
@@ -213,6 +215,8 @@ def plan_completion(counts: np.ndarray, capacity: int, nodes: int = NODES) -> li
         best, most = [(s.applied[0], s.applied[2]) for s in steps], bins
         if most <= least:
             break
+    if steps and most > least:
+        logging.getLogger(__name__).warning("the search for the fewest sequences ended after %s fillings with %s; the lower bound is %s", tried[0], most, least)
     return best
 
 
@@ -254,7 +258,7 @@ class Packing:
     spark: SparkSession
     pieces: DataFrame
     capacity: int
-    nodes: int = NODES
+    nodes: int | None = NODES
 
     def place(self, rows: DataFrame) -> DataFrame:
         by_task = self.pieces.groupBy("task", "length").agg(F.count("*").alias("_cy_n"))
@@ -294,7 +298,7 @@ class Packing:
         return placed.withColumns({"sequence_id": F.col("_cy_at.sequence_id"), "offset": F.col("_cy_at.offset")}).drop("_cy_at", "_cy_base")
 
 
-def pack(docs: DataFrame, file: str, end_id: int = 1, capacity: int = 4096, nodes: int = NODES) -> Packing:
+def pack(docs: DataFrame, file: str, end_id: int = 1, capacity: int = 4096, nodes: int | None = NODES) -> Packing:
     """Packs every text of docs (doc_id, text) into sequences of at most `capacity` ids."""
     bounded_batches(docs.sparkSession)
     return Packing(docs.sparkSession, token_pieces(docs, file, end_id, capacity), capacity, nodes)

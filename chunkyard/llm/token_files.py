@@ -1,16 +1,19 @@
 """Token-id shards with a minimal perfect hash index for keyed access.
 
-Shard file: 8-byte magic, little-endian header (version, bytes per id, documents, ids, number of hash levels), the raw ids of all
-documents in key order, the document keys in the same order, and the index. The index is a cascade of bit arrays: a key
+Shard file: 8-byte magic, the raw ids of all documents in key order, the document keys in the same order, the index, and a
+little-endian trailer (version, bytes per id, documents, those without a doc_id, ids, number of hash levels). The index is a cascade of bit arrays: a key
 belongs to the first level where its hash meets no other key, and the number of set bits before it, over all levels, is
 its slot; slots hold a 32-bit fingerprint, the first id's position and the count. A lookup reads one slot. Keys are
 (doc_id, occurrence), so repeated doc_ids keep all their rows.
 
 Shards are ranges of doc_id in ascending order, written by one task each under a name of the attempt and then renamed, so a
-repeated or speculative attempt replaces equal content. The manifest (one row a shard) gives each shard's first id.
+repeated or speculative attempt replaces equal content. The manifest has one row a shard with its number, and the shards' first
+ids are sums in the order of these numbers. Files go through pyarrow: the shared folder may be of the schemes file, hdfs, viewfs, s3, gs
+or abfs, as far as pyarrow was built with them; another scheme fails at once.
 
-Nulls: null text is empty (its end id only); a null doc_id sorts first under the reserved smallest key and reads back as
-null. An empty table makes no shards and reads back as no rows.
+Nulls: null text is empty (its end id only); null doc_ids come first, and read back as null; every doc_id is a key, the smallest too.
+Rows that repeat a doc_id follow each other by a hash of their texts. A very long text is one document of its shard, which is then as
+much longer. An empty table makes no shards and reads back as no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,11 +32,13 @@ from chunkyard.llm.common import bounded_batches, byte_values, work_dir, written
 from chunkyard.llm.tokens import encoder
 
 MAGIC = b"CYTOKEN1"
-HEAD = struct.Struct("<IIQQI")
-NULL_KEY = -(2**63)
+HEAD = struct.Struct("<IIQQQI")
+VERSION = 2
+#: Set in the occurrences of documents without a doc_id.
+NO_ID = np.uint64(1 << 63)
 #: Text bytes a shard should hold; decides their number.
 SHARD_BYTES = 64 << 20
-MANIFEST = "file string, low bigint, high bigint, docs bigint, ids bigint"
+MANIFEST = "shard int, file string, low bigint, high bigint, docs bigint, ids bigint"
 
 
 def mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -90,20 +95,22 @@ class PerfectHash:
 SLOT = np.dtype([("print", "<u4"), ("at", "<u8"), ("n", "<u4")])
 
 
-def _write_shard(fs: pafs.FileSystem, path: str, rows: Iterator[tuple[int, bytes]], width: int, attempt: int) -> tuple[int, int, int, int]:
-    """One shard from (key, little-endian uint32 ids) in key order; low, high, documents, ids."""
+def _write_shard(fs: pafs.FileSystem, path: str, rows: Iterator[tuple[int | None, bytes]], width: int, attempt: int) -> tuple[int | None, int | None, int, int]:
+    """One shard from (doc_id, little-endian uint32 ids) in order, nulls first; low, high, documents, ids."""
     keys: list[int] = []
     counts: list[int] = []
+    nulls = 0
     temp = f"{path}.{attempt}.tmp"
     with fs.open_output_stream(temp, buffer_size=1 << 20) as out:
         out.write(MAGIC)
         for key, ids in rows:
             out.write(ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes())
-            keys.append(key)
+            nulls += key is None
+            keys.append(key or 0)
             counts.append(len(ids) // 4)
         doc, n = np.asarray(keys, np.int64), np.asarray(counts, np.int64)
         start = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n
-        hashes = key_hash(doc, occurrences(doc))
+        hashes = key_hash(doc, occurrences(doc, nulls))
         index = PerfectHash.build(hashes)
         sizes, todo = [], len(hashes)
         for bits in index.levels:
@@ -116,19 +123,25 @@ def _write_shard(fs: pafs.FileSystem, path: str, rows: Iterator[tuple[int, bytes
         out.write(slots.tobytes())
         for size, bits in zip(sizes, index.levels):
             out.write(struct.pack("<QQ", size, len(bits)) + bits.tobytes())
-        out.write(HEAD.pack(1, width, len(doc), int(n.sum()), len(sizes)))
+        out.write(HEAD.pack(VERSION, width, len(doc), nulls, int(n.sum()), len(sizes)))
     if fs.get_file_info(path).type != pafs.FileType.NotFound:  # an earlier attempt's, with the same content
         fs.delete_file(path)
     fs.move(temp, path)
-    return int(doc[0]), int(doc[-1]), len(doc), int(n.sum())
+    ids = doc[nulls:].tolist() or [None]
+    return ids[0], ids[-1], len(doc), int(n.sum())
 
 
-def occurrences(sorted_keys: np.ndarray) -> np.ndarray:
-    """0, 1, ... within runs of equal keys."""
+def occurrences(sorted_keys: np.ndarray, nulls: int = 0) -> np.ndarray:
+    """0, 1, ... within runs of equal keys; the first `nulls` keys stand for no doc_id and count on their own."""
     n = len(sorted_keys)
-    first = np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]) if n else np.zeros(0, bool)
     at = np.arange(n)
-    return at - np.maximum.accumulate(np.where(first, at, 0)) if n else at
+    first = np.ones(n, bool)
+    first[1:] = sorted_keys[1:] != sorted_keys[:-1]
+    if 0 < nulls < n:
+        first[nulls] = True
+    out = (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64) if n else at.astype(np.uint64)
+    out[:nulls] |= NO_ID
+    return out
 
 
 class Shard:
@@ -138,8 +151,8 @@ class Shard:
         fs, path = pafs.FileSystem.from_uri(uri)
         self.file = fs.open_input_file(path)
         end = self.file.size()
-        version, self.width, self.docs, self.ids, levels = HEAD.unpack(self._at(end - HEAD.size, HEAD.size))
-        if self._at(0, 8) != MAGIC or version != 1:
+        version, self.width, self.docs, self.nulls, self.ids, levels = HEAD.unpack(self._at(end - HEAD.size, HEAD.size))
+        if self._at(0, 8) != MAGIC or version != VERSION:
             raise ValueError(f"{uri}: not a token shard")
         at = 8 + self.ids * self.width
         self.keys = np.frombuffer(self._at(at, 8 * self.docs), "<i8")
@@ -169,9 +182,10 @@ class Shard:
     def read(self, at: int, n: int) -> np.ndarray:
         return np.frombuffer(self._at(8 + int(at) * self.width, int(n) * self.width), "<u4" if self.width == 4 else "<u2").astype("<u4")
 
-    def get(self, doc_id: int, occurrence: int = 0) -> np.ndarray | None:
+    def get(self, doc_id: int | None, occurrence: int = 0) -> np.ndarray | None:
         """The ids of one document, or None."""
-        known, at, n = self.find(np.asarray([doc_id]), np.asarray([occurrence]))
+        no_id = NO_ID if doc_id is None else np.uint64(0)
+        known, at, n = self.find(np.asarray([doc_id or 0]), np.asarray([occurrence], np.uint64) | no_id)
         return self.read(at[0], n[0]) if known[0] else None
 
     def close(self) -> None:
@@ -179,7 +193,7 @@ class Shard:
 
 
 def write_token_files(docs: DataFrame, file: str, end_id: int = 2, vocab_size: int = 65_536, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Writes all texts (doc_id, text) as shards in ascending doc_id; returns the manifest, ordered by `low` when sorted by (low, first): file, low, high, docs, ids, start."""
+    """Writes all texts (doc_id, text) as shards in ascending doc_id; returns the manifest: shard, file, low, high (of its doc_ids), docs, ids."""
     spark = docs.sparkSession
     bounded_batches(spark)
     folder = work_dir(spark, "token-files")
@@ -189,7 +203,7 @@ def write_token_files(docs: DataFrame, file: str, end_id: int = 2, vocab_size: i
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ctx = TaskContext.get()
-        uri = f"{folder}/shard-{ctx.partitionId():06d}.cyt"
+        uri = f"{folder}/shard-{ctx.partitionId():09d}.cyt"
         rows = _encoded(batches, encoder(file), np.asarray([end_id], "<u4").tobytes())
         first = next(rows, None)
         if first is None:
@@ -197,9 +211,11 @@ def write_token_files(docs: DataFrame, file: str, end_id: int = 2, vocab_size: i
         fs, path = pafs.FileSystem.from_uri(uri)
         fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
         low, high, n, ids = _write_shard(fs, path, _chain(first, rows), width, ctx.taskAttemptId())
-        yield pa.RecordBatch.from_pydict({"file": [uri], "low": [low], "high": [high], "docs": [n], "ids": [ids]})
+        kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        row = [ctx.partitionId(), uri, low, high, n, ids]
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], ["shard", "file", "low", "high", "docs", "ids"])
 
-    keyed = docs.select(F.coalesce("doc_id", F.lit(NULL_KEY)).alias("_cy_key"), F.coalesce("text", F.lit("")).alias("_cy_text"))
+    keyed = docs.select(F.col("doc_id").alias("_cy_key"), F.coalesce("text", F.lit("")).alias("_cy_text"))  # nulls sort first
     dealt = keyed.repartitionByRange(shards, "_cy_key", F.xxhash64("_cy_text")).sortWithinPartitions("_cy_key", F.xxhash64("_cy_text"))
     return written(dealt.mapInArrow(write, MANIFEST), "token-manifest")
 
@@ -209,7 +225,7 @@ def _chain(first, rest):
     yield from rest
 
 
-def _encoded(batches, enc, end) -> Iterator[tuple[int, bytes]]:
+def _encoded(batches, enc, end) -> Iterator[tuple[int | None, bytes]]:
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), byte_values(batch.column(1))):
             yield key, enc.ids(text) + end
@@ -219,7 +235,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     """Every document of the files by keyed access, one task a shard: doc_id, start, n_tokens, ids (little-endian uint32)."""
     from pyspark.sql import Window
 
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     placed = manifest.withColumn("_cy_first", F.coalesce(F.sum("ids").over(before), F.lit(0))).select("file", "_cy_first")
     n = max(1, manifest.count())
 
@@ -227,7 +243,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for uri, first in zip(*(c.to_pylist() for c in batch.columns)):
                 shard = Shard(uri)
-                occ = occurrences(shard.keys)
+                occ = occurrences(shard.keys, shard.nulls)
                 for a in range(0, shard.docs, 2048):
                     keys = shard.keys[a : a + 2048]
                     known, at, count = shard.find(keys, occ[a : a + 2048])
@@ -235,7 +251,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         raise ValueError(f"{uri}: a key is missing from the index")
                     for b in _steps(count, 2 << 20):
                         ids = [shard.read(x, y).tobytes() for x, y in zip(at[b], count[b])]
-                        doc = pa.array(keys[b], mask=keys[b] == NULL_KEY)
+                        doc = pa.array(keys[b], mask=np.arange(a, a + len(keys))[b] < shard.nulls)
                         yield pa.RecordBatch.from_arrays([doc, pa.array(at[b] + first), pa.array(count[b]), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
                 shard.close()
 

@@ -116,7 +116,7 @@ def optimum(lengths, capacity):
 
 
 @pytest.mark.parametrize("seed", range(25))
-def test_bin_completion_near_brute_force(seed):
+def test_bin_completion_against_brute_force(seed):
     rng = random.Random(seed)
     lengths = [rng.randrange(1, 21) for _ in range(10)]
     counts = np.bincount(lengths, minlength=21)
@@ -127,7 +127,7 @@ def test_bin_completion_near_brute_force(seed):
         for x, k in pattern:
             used[x] += copies * k
     assert (used == counts).all()
-    assert optimum(lengths, 20) <= sum(c for c, _ in plan) <= min(optimum(lengths, 20) + 1, sum(c for c, _ in packing.plan_best_fit(counts, 20)))
+    assert sum(c for c, _ in plan) == optimum(lengths, 20)
 
 
 def test_bin_completion_branches():
@@ -135,6 +135,14 @@ def test_bin_completion_branches():
     counts = np.bincount([1843, 1843, 1638, 1638, 1433, 1228, 1228, 1024], minlength=4097)
     assert sum(c for c, _ in packing.plan_best_fit(counts, 4096)) == 4
     assert sum(c for c, _ in packing.plan_completion(counts, 4096)) == 3
+    assert sum(c for c, _ in packing.plan_completion(np.bincount([3, 4, 4, 6, 6, 8, 8, 8, 9, 10, 13], minlength=21), 20)) == 4
+
+
+def test_bin_completion_says_where_it_stopped(caplog):
+    counts = np.bincount([1843, 1843, 1638, 1638, 1433, 1228, 1228, 1024], minlength=4097)
+    assert sum(c for c, _ in packing.plan_completion(counts, 4096, nodes=1)) == 4 and "lower bound is 3" in caplog.text
+    caplog.clear()
+    assert sum(c for c, _ in packing.plan_completion(counts, 4096, nodes=None)) == 3 and not caplog.text
 
 
 @pytest.mark.parametrize("seed", range(60))
@@ -204,6 +212,20 @@ def test_token_files_nulls_and_empty(spark, empty):
     assert sorted((r["doc_id"] or -1, r["start"], r["n_tokens"]) for r in token_files.read_token_files(token_files.write_token_files(d, WORD_BPE)).collect()) == [(-1, 0, 3), (1, 3, 1)]
 
 
+def test_token_files_order_and_extreme_ids(spark):
+    rng = random.Random(8)
+    data = [(None, "a b"), (None, None), (None, "a b"), (-(2**63), "least"), (2**63 - 1, "most"), (0, "zero"), (0, "zero"), (0, "other")] + [(i, words(rng, 40)) for i in range(5, 60)]
+    d = spark.createDataFrame([(i, t, None, None, None) for i, t in data], SCHEMA).repartition(4)
+    manifest = token_files.write_token_files(d, WORD_BPE, shard_bytes=500).withColumn("shard", F.col("shard") + 999_996)  # as many digits as a very large corpus has
+    out = sorted(token_files.read_token_files(manifest).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in out] == [None] * 3 + sorted(i for i, _ in data if i is not None)
+    assert [r["start"] for r in out] == np.cumsum([0] + [r["n_tokens"] for r in out])[:-1].tolist()
+    first = min(manifest.collect(), key=lambda r: r["shard"])
+    shard = token_files.Shard(first["file"])
+    assert shard.get(None, 0) is not None and shard.get(None, 0).tolist()[-1] == 2
+    assert token_files.Shard(next(r["file"] for r in manifest.collect() if r["low"] == -(2**63))).get(-(2**63)).tolist() == [*Tokenizer.from_file(WORD_BPE).encode("least", add_special_tokens=False).ids, 2]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 100, 20_000])
 def test_perfect_hash(n):
     h = token_files.key_hash(np.arange(n) * 7 - 3, np.zeros(n, np.int64))
