@@ -136,9 +136,15 @@ tw AS (SELECT license, {words.format("body")} AS w FROM templates),
 ts AS (SELECT DISTINCT license, shingle FROM ({shingles.format("license", "tw")})),
 sizes AS (SELECT license, count(*) AS n FROM ts GROUP BY license),
 dw AS (SELECT row_number() OVER () AS r, doc_id, {words.format("text")} AS w FROM documents),
-ds AS (SELECT r, doc_id, shingle, min(i) AS i FROM (SELECT r, doc_id, i, array_to_string(w[i : i + 4], ' ') AS shingle FROM dw, unnest(range(1, len(w) - 3)) AS x(i)) GROUP BY r, doc_id, shingle)
-SELECT doc_id, license, CAST(count(*) AS BIGINT) AS n_matched, CAST(any_value(n) AS BIGINT) AS n_template, CAST(min(i) - 1 AS BIGINT) AS first_word
-FROM ds JOIN ts USING (shingle) JOIN sizes USING (license) GROUP BY r, doc_id, license HAVING count(*) * 100 >= any_value(n) * {licenses.PERCENT}
+ds AS (SELECT r, doc_id, shingle, min(i) AS i FROM (SELECT r, doc_id, i, array_to_string(w[i : i + 4], ' ') AS shingle FROM dw, unnest(range(1, len(w) - 3)) AS x(i)) GROUP BY r, doc_id, shingle),
+pairs(short, long) AS (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in licenses.KEPT_APART.items())}),
+own AS (SELECT short, long, shingle FROM pairs JOIN ts ON license = long WHERE NOT EXISTS (SELECT 1 FROM ts t WHERE t.license = short AND t.shingle = ts.shingle)),
+clause AS (SELECT r, short, long, count(*) * 2 >= any_value(n) AS has FROM ds JOIN own USING (shingle) JOIN (SELECT long, count(*) AS n FROM own GROUP BY long) USING (long) GROUP BY r, short, long),
+found AS (SELECT r, doc_id, license, CAST(count(*) AS BIGINT) AS n_matched, CAST(any_value(n) AS BIGINT) AS n_template, CAST(min(i) - 1 AS BIGINT) AS first_word
+  FROM ds JOIN ts USING (shingle) JOIN sizes USING (license) GROUP BY r, doc_id, license HAVING count(*) * 100 >= any_value(n) * {licenses.PERCENT})
+SELECT doc_id, license, n_matched, n_template, first_word FROM found f
+WHERE NOT EXISTS (SELECT 1 FROM clause c WHERE c.r = f.r AND c.short = f.license AND c.has)
+  AND (license NOT IN (SELECT long FROM pairs) OR EXISTS (SELECT 1 FROM clause c WHERE c.r = f.r AND c.long = f.license AND c.has))
 """
 
 

@@ -412,14 +412,14 @@ def test_components(spark):
 def test_licenses(spark, empty):
     full = licenses.TEMPLATES["MIT-text"]
     changed = full.replace("obtaining", "getting").replace("persons", "people")
-    texts = [None, "", "too short", "aaa " * 50 + "Released under the MIT License. bbb", "x\n" + changed + "\ny", full[: len(full) // 2], "Licensed under CC\tBY-NC 4.0!", full + " " + licenses.TEMPLATES["Apache-2.0-notice"]]
+    texts = [None, "", "too short", "aaa " * 50 + "Released under the MIT License. bbb", "x\n" + changed + "\ny", full[: len(full) // 2], "Licensed under CC\tBY-NC 4.0!", full + " " + licenses.TEMPLATES["Apache-2.0-notice"], licenses.TEMPLATES["BSD-2-Clause-text"], "z " * 40_000 + licenses.TEMPLATES["BSD-3-Clause-text"]]
     d = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
     want = set()
     for i, t in enumerate(texts):
         own = set(licenses.template_shingles(t or ""))
         for name, body in licenses.TEMPLATES.items():
             s = set(licenses.template_shingles(body))
-            if 100 * len(own & s) >= 75 * len(s):
+            if 100 * len(own & s) >= 75 * len(s) and name != ("BSD-2-Clause-text" if "endorse" in (t or "") else "BSD-3-Clause-text"):
                 want.add((i, name, len(own & s), len(s)))
     got = licenses.scan_licenses(clashing(d)).collect()
     assert {(r["doc_id"], r["license"], r["n_matched"], r["n_template"]) for r in got} == want and len(want) >= 5
@@ -427,6 +427,28 @@ def test_licenses(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_license_recall_under_edits(spark):
+    """Long notices with words changed, dropped and added at every rate up to a quarter: of those that still hold 75 % of the shingles, at least 0.9 are found."""
+    rng = random.Random(12)
+    rows, want = [], set()
+    for name, body in licenses.TEMPLATES.items():
+        s = set(licenses.template_shingles(body))
+        if len(s) < licenses.WINDOW or name == "BSD-3-Clause-text":
+            continue
+        for k in range(60):
+            rate, out = 0.25 * k / 60, words(rng, rng.randrange(60)).split()
+            for w in body.split():
+                kind = rng.random() / max(rate, 1e-9)
+                out += [w] if kind >= 1 else [f"q{rng.randrange(99)}"] if kind < 0.5 else [] if kind < 0.75 else [w, "extra"]
+            text = " ".join(out + words(rng, rng.randrange(60)).split())
+            rows.append((len(rows), text, None, None, None))
+            if 100 * len(set(licenses.template_shingles(text)) & s) >= 75 * len(s):
+                want.add((rows[-1][0], name))
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(want) >= 30 and len(got & want) >= 0.9 * len(want)
+    assert {x for x in got - want if len(licenses.template_shingles(licenses.TEMPLATES[x[1]])) >= licenses.WINDOW} == set()
+
+
 # --- mixing --------------------------------------------------------------------------------------------------------
 
 

@@ -164,15 +164,16 @@ def test_pages(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("shard_rows", [10_000, 40])
-def test_topk_against_brute_force(spark, shard_rows):
+@pytest.mark.parametrize("shard_bytes, box_bytes", [(1 << 20, 1 << 20), (2000, 1 << 20), (2000, 0)])
+def test_topk_against_brute_force(spark, monkeypatch, shard_bytes, box_bytes):
+    monkeypatch.setattr(topk, "MOST_BOX_BYTES", box_bytes)
     rng = np.random.default_rng(1)
     rows = [(int(i), [float(v) for v in rng.normal(size=6).astype(np.float32)], i % 3) for i in range(300)]
     rows += [(300 + i, [0.5] * 6, 0) for i in range(40)]  # ties
     bad = [(900, None, 0), (950, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (951, [float("nan")] * 6, 0), (952, [float("inf")] * 6, 0), (None, [1.0] * 6, 0), (1000, [1.0, 2.0], 0)]
     df = spark.createDataFrame([*rows, *bad, rows[0]], "vec_id bigint, embedding array<float>, label int").withColumn("score", F.lit("x"))
     got = {}
-    for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 5, shard_rows=shard_rows).collect():
+    for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 5, shard_bytes=shard_bytes).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     x = {i: np.floor(np.asarray(v, np.float32).astype(float) * 256).astype(int) for i, v, _ in rows}
     want = {}
@@ -182,14 +183,14 @@ def test_topk_against_brute_force(spark, shard_rows):
     assert {k: sorted(v) for k, v in got.items()} == want
 
 
-@pytest.mark.parametrize("shard_rows", [10_000, 40])
-def test_topk_repeated_winners(spark, shard_rows):
+@pytest.mark.parametrize("shard_bytes", [1 << 20, 1000])
+def test_topk_repeated_winners(spark, shard_bytes):
     rng = np.random.default_rng(2)
     rows = [(int(i), [float(v) for v in rng.normal(size=4).astype(np.float32)]) for i in range(120)]
     rows += [(7, [float(a), float(b), float(a), float(b)]) for a in (4, -4) for b in (4, -4) for _ in range(3)]  # wins for every query, more than k times
     rows += [(8, [float(v) for v in rng.normal(size=4).astype(np.float32)]) for _ in range(9)]
     got = {}
-    for r in topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), F.col("vec_id") % 50 == 0, 5, shard_rows=shard_rows).collect():
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), F.col("vec_id") % 50 == 0, 5, shard_bytes=shard_bytes).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     x = [(i, np.floor(np.asarray(v, np.float32).astype(float) * 256).astype(int)) for i, v in rows]
     want = {}
@@ -204,6 +205,27 @@ def test_topk_repeated_winners(spark, shard_rows):
     assert {k: sorted(v) for k, v in got.items()} == want
 
 
+def test_topk_skips_shards_by_their_boxes(spark):
+    """Clusters far apart: queries go to few of the shards, and the result is that of brute force."""
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(16, 8)) * 40
+    rows = [(i, [float(v) for v in centers[i % 16] + rng.normal(size=8)]) for i in range(800)]
+    rows += [(1000 + i, rows[3][1]) for i in range(300)]  # a third of all rows are one vector
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    x, shards = topk._sharded(df, F.col("vec_id") % 50 == 0, 256.0, 4000)
+    sizes = [r["count"] for r in x.groupBy(*topk.SHARD).count().collect()]
+    assert len(sizes) == shards > 16 and max(sizes) <= 120
+    v = np.floor(np.array([w for _, w in rows]) * 256).astype(np.int64)
+    ids = np.array([i for i, _ in rows])
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, shard_bytes=4000).collect())
+    want = []
+    for i in np.flatnonzero(ids % 50 == 0):
+        s = v @ v[i]
+        order = [j for j in np.lexsort((ids, -s)) if j != i][:5]
+        want += [(int(ids[i]), k + 1, int(ids[j]), int(s[j])) for k, j in enumerate(order)]
+    assert got == sorted(want)
+
+
 def test_topk_few_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id bigint, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 256 * 512)]
