@@ -3,19 +3,22 @@
 A page is read into a tree. For every node its characters per tag are adjusted for links: with C characters, T tags, L of
 the characters in links and K link tags below it, the density is
 
-    C / T * log(C / max(L, 1) * T / max(K, 1)) / log(log(C * L / max(C - L, 1) + Lb / Cb * C + e))
+    C / T * log(C / max(L, 1) * T / max(K, 1)) / log(log(C * L / max(C - L, 1) + Lb / Cb * C + e) + e - 1)
 
-with the body's Lb and Cb in the base. A node's sum adds the densities of its children (its own text counts as one child). The
+with the body's Lb and Cb, counts of at least 1 for T, and 0 where it would be negative; e - 1 keeps the last logarithm at 1 or more,
+where a page without links would make it 0. A node's sum adds the densities of its children, where its own text counts as
+one more child by the same formula: one tag, and all of it linked if it is in a link. The
 node with the largest sum is the seed, and the smallest density on the path from it to the body is the threshold: every
 subtree that reaches it and has the largest sum of its branch is taken, widened to the article element around it.
 Navigation, page headers, footers, asides, controls, scripts, styles and hidden elements are cut from the tree beforehand and so
 have no part in any density. A form, or an element of which a class, the id or the role names boilerplate as a whole (sidebar,
 site-footer, post-comments, but not has-sidebar or content-sidebar-wrap), is cut as well, unless it holds an article or main
-element or 1 / MINOR or more of the page's text outside links; the densities decide on those and on all other names.
+element, or 1 / MINOR or more of the page's text outside links with no article elsewhere; the densities decide on those and on all other names.
 
 Texts come out in page order, a block each, joined by two line feeds; white space inside a block becomes one space and
 character references are decoded. Null or empty html, and pages without text, give an empty string; null ids and urls pass
-through; repeated rows are extracted each; malformed markup never fails. Extra columns are ignored.
+through; repeated rows are extracted each; malformed markup never fails. Elements may nest without limit, and the work for a tag
+doesn't depend on how deep it lies; very long pages are read whole. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -67,25 +71,70 @@ CONTENT = frozenset("article articles content post posts entry hentry story main
 MINOR = 3
 ARTICLE = frozenset(("article", "main"))
 
-#: Elements nested deeper become siblings, as in browsers; this bounds the work for a tag.
-MOST_DEPTH = 512
+#: What an end tag of a paragraph doesn't reach beyond; what keeps a paragraph open around a new block.
+P_ENDS, P_KEEPS = ("article", "div", "section", "td"), ("td", "th", "article", "div", "section", "body", "button")
 TAG = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
 REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 #: Every attribute: its name, then its value in double quotes, in single quotes or bare.
 ATTRIBUTE = re.compile(r"""(=?[^\s/=>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+RAW_ENDS = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.I) for tag in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "cut", "named", "depth", "within", "chars", "tags", "linked", "links", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "cut", "named", "article", "chars", "tags", "linked", "links", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool, named: bool = False):
         self.tag, self.parent, self.cut, self.named = tag, parent, cut, named
-        self.depth = parent.depth + 1 if parent else 0
-        self.within = tag in ARTICLE or (parent is not None and parent.within)
+        self.article: Node | None = self if tag in ARTICLE else parent.article if parent else None
         self.parts: list[Node | str] = []
 
 
+class Open:
+    """The open elements, from the root inwards, and the depths of each kind of them."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.where: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, node: Node) -> None:
+        self.where.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, depth: int) -> None:
+        """The element at that depth, and all within it."""
+        while len(self.stack) > depth:
+            tag = self.stack.pop().tag
+            self.where[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def deepest(self, *tags: str) -> int:
+        """0 where none is open."""
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=0)
+
+    def end(self, tag: str) -> None:
+        depth = self.deepest(tag)
+        inline = tag not in BLOCK and tag not in CELL
+        stop = self.deepest(*P_ENDS) if tag == "p" else self.blocks[-1] if inline and self.blocks else 0
+        if depth > stop and tag != "body":
+            self.close(depth)
+
+    def before(self, tag: str) -> None:
+        """What a start tag of that kind ends."""
+        if tag in BLOCK and self.deepest("p") > self.deepest(*P_KEEPS):
+            self.close(self.deepest("p"))
+        if tag in ENDS:
+            ended, stops = ENDS[tag]
+            stop = self.deepest(*stops)
+            outer = [d[i] for d in map(self.where.get, ended) if d and (i := bisect_right(d, stop)) < len(d)]
+            if outer:
+                self.close(min(outer))
+
+
 def names_boilerplate(names: str, hints: frozenset[str]) -> bool:
     """Whether one of the names, as a whole, is one for boilerplate and none is one for content."""
     found = False
@@ -105,7 +154,7 @@ def judge(tag: str, attributes: str, parent: Node) -> tuple[bool, bool]:
         return True, True
     if tag in ("html", "body"):
         return False, False
-    on_top = not parent.within
+    on_top = parent.article is None
     if tag == "header" and on_top:
         return True, True
     hints = HINTS | ROLES_ON_TOP if on_top else HINTS
@@ -123,7 +172,7 @@ def judge(tag: str, attributes: str, parent: Node) -> tuple[bool, bool]:
 
 
 def cut_named(body: Node) -> None:
-    """Cuts what is named as boilerplate, if it holds no article and a minor share of the text outside links."""
+    """Cuts what is named as boilerplate, if it holds no article, and lies beside one or holds a minor share of the text outside links."""
     order, stack = [], [(body, False)]
     while stack:
         x, in_link = stack.pop()
@@ -137,121 +186,101 @@ def cut_named(body: Node) -> None:
         own = 0 if in_link else sum(len(p) - p.count(" ") - p.count("\n") for p in x.parts if isinstance(p, str))
         chars[id(x)] = own + sum(chars[id(p)] for p in kids)
         holds[id(x)] = x.tag in ARTICLE and not x.named or any(holds[id(p)] for p in kids)
+    has_article = any(x.tag in ARTICLE and not x.named and chars[id(x)] for x, _ in order)
     for x, _ in order:
-        if x.named and x.tag not in ARTICLE and x is not body and not holds[id(x)] and (not chars[id(x)] or chars[id(x)] * MINOR < chars[id(body)]):
-            x.cut = True
-            if x.tag not in BLOCK and x.parent is not None:
-                x.parent.parts = [p for p in x.parent.parts if p is not x]
+        if x.named and x.tag not in ARTICLE and x is not body and not holds[id(x)]:
+            x.cut = not chars[id(x)] or chars[id(x)] * MINOR < chars[id(body)] or has_article and x.article is None
 
 
 def parse(page: str) -> Node:
     """The tree of a page; what is cut whatever it holds keeps its place but not its content."""
     root = Node("html", None, False)
-    at, i, n = root, 0, len(page)
+    opened = Open(root)
+    i, n = 0, len(page)
 
-    def put(text: str) -> None:
+    def put(text: str, at: Node) -> None:
         if text and not at.cut:
             at.parts.append(entities.unescape(text) if "&" in text else text)
 
     while i < n:
         m = TAG.search(page, i)
+        put(page[i : m.start() if m else n], opened.stack[-1])
         if m is None:
-            put(page[i:])
             break
-        put(page[i : m.start()])
         if m[2] is None:  # a comment or declaration
-            if page.startswith("<!--", m.start()):
-                end = page.find("-->", m.end())
-                i = n if end < 0 else end + 3
-            else:
-                end = page.find(">", m.end())
-                i = n if end < 0 else end + 1
+            mark = "-->" if page.startswith("<!--", m.start()) else ">"
+            end = page.find(mark, m.end())
+            i = n if end < 0 else end + len(mark)
             continue
         rest = REST.match(page, m.end())
-        if rest is None:
-            end = page.find(">", m.end())
-            i = n if end < 0 else end + 1
-            attributes = page[m.end() : i]
-        else:
-            i, attributes = rest.end(), rest[0]
+        end = rest.end() - 1 if rest else page.find(">", m.end())
+        i = n if end < 0 else end + 1
+        attributes = page[m.end() : n if end < 0 else end]
         tag = m[2].lower()
         if m[1]:
-            up: Node | None = at
-            inline = tag not in BLOCK and tag not in CELL
-            while up is not None and up.tag != tag and not (inline and up.tag in BLOCK) and not (tag == "p" and up.tag in ("article", "div", "section", "td")):
-                up = up.parent
-            if up is not None and up.tag == tag and up.parent is not None:
-                at = up.parent
+            opened.end(tag)
             continue
         if tag in ("html", "body"):
-            if tag == "body" and at is root:
-                at = Node("body", root, False)
-                root.parts.append(at)
+            if tag == "body" and len(opened.stack) == 1:
+                body = Node("body", root, False)
+                root.parts.append(body)
+                opened.push(body)
             continue
-        if tag in BLOCK:
-            up = at
-            while up is not None and up.tag not in ("p", "td", "th", "article", "div", "section", "body", "button"):
-                up = up.parent
-            if up is not None and up.tag == "p":
-                at = up.parent
-        if tag in ENDS:
-            ended, stops = ENDS[tag]
-            up, last = at, None
-            while up is not None and up.tag not in stops:
-                if up.tag in ended:
-                    last = up
-                up = up.parent
-            if last is not None and last.parent is not None:
-                at = last.parent
-        while at.depth >= MOST_DEPTH and at.parent is not None:
-            at = at.parent
-        cut, named = judge(tag, attributes[:-1], at) if not at.cut else (True, True)
-        node = Node(tag, at, cut, named)
-        if not at.cut and (not node.cut or tag in BLOCK):
+        opened.before(tag)
+        at = opened.stack[-1]
+        node = Node(tag, at, *(judge(tag, attributes, at) if not at.cut else (True, True)))
+        if not at.cut:
             at.parts.append(node)
         if tag in VOID:
             continue
         if tag in RAW:
-            close = re.compile("</" + tag, re.I).search(page, i)
+            close = RAW_ENDS[tag].search(page, i)
             if close is None:
                 break
-            i = close.start()
-            put_at, at = at, node
             if not node.cut:
-                put(page[m.end() : i])
-            at = put_at
-            end = page.find(">", i)
+                put(page[i : close.start()], node)
+            end = page.find(">", close.start())
             i = n if end < 0 else end + 1
             continue
-        at = node
+        opened.push(node)
     return root
 
 
+def density(chars: int, tags: int, linked: int, links: int, share: float) -> float:
+    """Composite text density, with the share of the body's text that is linked."""
+    if not chars:
+        return 0.0
+    base = math.log(chars * linked / max(chars - linked, 1) + share * chars + math.e)
+    ratio = chars / max(linked, 1) * max(tags, 1) / max(links, 1)
+    return chars / max(tags, 1) * math.log(max(ratio, 1)) / math.log(base + math.e - 1)
+
+
+def _weight(text: str) -> int:
+    return len(text) - text.count(" ") - text.count("\n")
+
+
 def _measure(body: Node) -> list[Node]:
     """All nodes, parents first, with their counts, densities and sums."""
-    order, stack = [], [body]
+    order: list[tuple[Node, bool]] = []
+    stack = [(body, False)]
     while stack:
-        x = stack.pop()
-        order.append(x)
-        stack.extend(p for p in x.parts if not isinstance(p, str) and not p.cut)
-    for x in reversed(order):
-        own = sum(len(p) - p.count(" ") - p.count("\n") for p in x.parts if isinstance(p, str))
+        x, in_link = stack.pop()
+        in_link = in_link or x.tag == "a"
+        order.append((x, in_link))
+        stack.extend((p, in_link) for p in x.parts if not isinstance(p, str) and not p.cut)
+    own: dict[int, int] = {}
+    for x, _ in reversed(order):
+        own[id(x)] = sum(_weight(p) for p in x.parts if isinstance(p, str))
         kids = [p for p in x.parts if not isinstance(p, str) and not p.cut]
-        x.chars, x.tags = own + sum(k.chars for k in kids), len(kids) + sum(k.tags for k in kids)
-        link = x.tag == "a"
-        x.linked = x.chars if link else sum(k.linked for k in kids)
-        x.links = link + sum(k.links for k in kids)
+        x.chars, x.tags = own[id(x)] + sum(k.chars for k in kids), len(kids) + sum(k.tags for k in kids)
+        x.linked = x.chars if x.tag == "a" else sum(k.linked for k in kids)
+        x.links = (x.tag == "a") + sum(k.links for k in kids)
     share = body.linked / max(body.chars, 1)
-    for x in reversed(order):
-        c, t = x.chars, max(x.tags, 1)
-        if c:
-            base = math.log(c * x.linked / max(c - x.linked, 1) + share * c + math.e)
-            x.density = max(0.0, c / t * math.log(max(c / max(x.linked, 1) * t / max(x.links, 1), 1)) / max(math.log(base + math.e - 1), 1e-9))
-        else:
-            x.density = 0.0
-        own = sum(len(p) for p in x.parts if isinstance(p, str) and not p.isspace())
-        x.total = own + sum(p.density for p in x.parts if not isinstance(p, str) and not p.cut)
-    return order
+    for x, in_link in reversed(order):
+        x.density = density(x.chars, x.tags, x.linked, x.links, share)
+        text = own[id(x)]
+        x.total = density(text, 1, text if in_link else 0, 1, share) + sum(p.density for p in x.parts if not isinstance(p, str) and not p.cut)
+    return [x for x, _ in order]
 
 
 def _chosen(body: Node) -> set[int]:
@@ -272,10 +301,7 @@ def _chosen(body: Node) -> set[int]:
     for x in order:
         if x is not body and x.density >= threshold and x.chars or x is seed:
             pick = best[id(x)]
-            around: Node | None = pick if pick.within else None
-            while around is not None and around.tag not in ARTICLE:
-                around = around.parent
-            taken.add(id(around or pick))
+            taken.add(id(pick.article or pick))
     return taken
 
 
@@ -305,7 +331,8 @@ def main_text(page: str | None) -> str:
             if inside:
                 line.append(x)
         elif x.cut:
-            flush()
+            if x.tag in BLOCK:
+                flush()
         else:
             inside = inside or id(x) in taken
             if x.tag in BLOCK:

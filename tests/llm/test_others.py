@@ -1,7 +1,9 @@
 """Chat windows, page extraction, exact search, and the pipeline."""
 
 import hashlib
+import math
 import random
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -148,6 +150,136 @@ def test_page_wrappers(before, after):
     assert html_text.main_text(f"<body>{before}{PARAGRAPHS}{after}</body>") == ARTICLE_TEXT
 
 
+@pytest.mark.parametrize("name", ["story share-price", "search-engine-history", "has-comments-open", "about-the-menu-project"])
+def test_page_containers_with_telling_words(name):
+    assert html_text.main_text(f'<body><nav><a href="/">Home</a></nav><div class="{name}">{PARAGRAPHS}</div><div class="sidebar"><p>not me</p></div></body>') == ARTICLE_TEXT
+
+
+class SlowPage(HTMLParser):
+    """An independent reading of well-formed pages: a tree of (tag, attributes, children), with paragraphs and list items closed by the next."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.root = self.body = ["html", {}, []]
+        self.open = [self.root]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attributes):
+        if tag == "html":
+            return
+        for closed, by in (("p", html_text.BLOCK), ("li", {"li"})):
+            if tag in by and any(x[0] == closed for x in self.open) and not (closed == "li" and self.open[-1][0] in ("ul", "ol")):
+                while self.open.pop()[0] != closed:
+                    pass
+        node = [tag, dict(attributes), []]
+        self.open[-1][2].append(node)
+        if tag == "body":
+            self.body = node
+        if tag not in html_text.VOID:
+            self.open.append(node)
+
+    def handle_endtag(self, tag):
+        if tag not in ("html", "body") and any(x[0] == tag for x in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        self.open[-1][2].append(data)
+
+
+def slow_text(page):
+    """Composite text density by its definition: every figure counted anew for every node."""
+    body = SlowPage(page).body
+    cut = lambda x, top: x[0] in html_text.CUT or (x[0] == "header" and top) or x[0] == "form" or (x[0] not in ("article", "main", "body") and html_text.names_boilerplate(" ".join(x[1].get(k) or "" for k in ("class", "id", "role")), html_text.HINTS))
+
+    def pruned(x, top):
+        top = top and x[0] not in ("article", "main")
+        return [x[0], [c if isinstance(c, str) else pruned(c, top) for c in x[2] if isinstance(c, str) or not cut(c, top)]]
+
+    def texts(x, link=False):
+        link = link or x[0] == "a"
+        for c in x[1]:
+            yield from [(c, link)] if isinstance(c, str) else texts(c, link)
+
+    def nodes(x):
+        yield x
+        for c in x[1]:
+            if not isinstance(c, str):
+                yield from nodes(c)
+
+    size = lambda parts: sum(len(t.replace(" ", "").replace("\n", "")) for t in parts)
+    root = pruned(body, True)
+    share = size(t for t, link in texts(root) if link) / max(1, size(t for t, _ in texts(root)))
+
+    def formula(c, t, lc, lt):
+        if not c:
+            return 0.0
+        return c / t * math.log(max(1, c / max(lc, 1) * t / max(lt, 1))) / math.log(math.log(c * lc / max(c - lc, 1) + share * c + math.e) + math.e - 1)
+
+    def measured(x):
+        below = list(nodes(x))
+        c, lc = size(t for t, _ in texts(x)), size(t for t, link in texts(x) if link)
+        return formula(c, max(1, len(below) - 1), lc, sum(n[0] == "a" for n in below))
+
+    def total(x):
+        own = size(c for c in x[1] if isinstance(c, str))
+        return formula(own, 1, own if x[0] == "a" else 0, 1) + sum(measured(c) for c in x[1] if not isinstance(c, str))
+
+    def path(x, to):
+        if x is to:
+            return [x]
+        for c in x[1]:
+            if not isinstance(c, str) and (p := path(c, to)):
+                return [x, *p]
+        return []
+
+    every = list(nodes(root))
+    seed = max(every, key=total)
+    threshold = min(map(measured, path(root, seed)))
+    taken = []
+    for x in every:
+        if x is seed or (x is not root and measured(x) >= threshold and size(t for t, _ in texts(x))):
+            pick = max(nodes(x), key=total)
+            up = [y for y in path(root, pick) if y[0] in ("article", "main")]
+            taken.append(id(up[-1] if up else pick))
+    out = [""]
+
+    def show(x, inside):
+        inside = inside or id(x) in taken
+        block = x[0] in html_text.BLOCK
+        if block:
+            out.append("")
+        for c in x[1]:
+            if not isinstance(c, str):
+                show(c, inside)
+            elif inside:
+                out[-1] += c
+        if x[0] == "br":
+            out[-1] += " "
+        if block:
+            out.append("")
+
+    show(root, False)
+    return "\n\n".join(t for t in (" ".join(x.split()) for x in out) if t)
+
+
+def test_pages_against_a_slow_reading(spark):
+    rows = [r for sf in ("sf0.001", "sf0.01") for r in queries.table(spark, f"/root/testdata/{sf}", "pages").collect()]
+    assert len(rows) > 250
+    for r in rows:
+        assert html_text.main_text(r["html"]) == slow_text(r["html"])
+
+
+def test_very_long_and_deep_pages(spark):
+    long = "<body><nav>menu</nav><article>" + "".join(f"<p>paragraph {i} of very many words" + " word" * 200 for i in range(20_000)) + "</article></body>"
+    text = html_text.main_text(long)
+    assert len(long) > 20_000_000 and text.count("\n\n") == 19_999 and "menu" not in text
+    deep = "<article>" + "<div><b><i>" * 60_000 + "deep" + "</i></b></div>" * 60_000 + "<p>after</article>"
+    assert html_text.main_text(deep) == "deep\n\nafter"
+    assert html_text.main_text("<b>" * 200_000 + "<p>x</p>" * 20 + "</u>" * 200_000) == "\n\n".join("x" * 20)
+
+
 def test_page_names():
     yes = ["sidebar", "site-footer", "post-comments", "sidebar-left", "col-4 adBanner", "ad-728x90", "navMenu2", "widget clearfix"]
     no = ["content-sidebar-wrap", "has-sidebar", "post has-comments", "comments-open", "post ad", "page-with-menu", "adapt", ""]
