@@ -510,6 +510,75 @@ def test_toxicity_ignores_held_out_labels(spark):
     assert a.weights == b.weights and a.offset == b.offset
 
 
+def test_toxicity_fit_equals_one_process(spark):
+    """The fit over executors against the same by plain loops: equal weights, with repeated rows, nulls and a very long text."""
+    rows, labels = toxic_corpus(500)
+    rng = random.Random(4)
+    rows += [(600, words(rng, 60_000, 9000) + " vileness grubby", None, None, None), (601, None, None, None, None), rows[9], rows[9]]
+    labels += [(600, 1), (601, 0), labels[9], labels[9]]
+    model = toxicity.fit_toxicity(spark.createDataFrame(rows, SCHEMA).repartition(3), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    train = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    texts = defaultdict(list)
+    for i, t, *_ in rows:
+        texts[i].append(t)
+    positive = {t for i, y in train if y for t in texts[i]}
+    ordered = sorted(positive, key=lambda t: toxicity.sketch(toxicity.words_of(t)))
+    plain = toxicity.ToxicityModel.of_texts(ordered, [t for i in {i for i, _ in train} for t in texts[i]], toxicity.smoothed(sum(y for _, y in train), len(train)))
+    assert model.weights.keys() == plain.weights.keys() and len(plain.weights) > 3
+    assert all(abs(w - plain.weights[f]) < 1e-3 for f, w in model.weights.items()) and abs(model.offset - plain.offset) < 1e-3
+
+
+def test_risk_and_gradient_against_brute_force():
+    rng = np.random.default_rng(5)
+    pos, unl = rng.integers(0, 2, (7, 3)).astype(float), rng.integers(0, 2, (11, 3)).astype(float)
+    pos_n, unl_n, prior = rng.integers(1, 4, 7), rng.integers(1, 4, 11), 0.3
+    rows = lambda x, n: [r for r, k in zip(x.tolist(), n.tolist()) for _ in range(k)]
+
+    def slow(w):
+        f = lambda r: sum(a * b for a, b in zip(r, w)) + w[-1]
+        loss = lambda z: float(np.log(1 + np.exp(-z)))
+        p, u = rows(pos, pos_n), rows(unl, unl_n)
+        mean = lambda xs: sum(xs) / len(xs)
+        return prior * mean([loss(f(r)) for r in p]), mean([loss(-f(r)) for r in u]) - prior * mean([loss(-f(r)) for r in p])
+
+    for _ in range(5):
+        w = rng.normal(size=4)
+        positive, bracket, g_pos, g_bracket = toxicity.risk(w, pos, unl, pos_n, unl_n, prior)
+        assert np.allclose((positive, bracket), slow(w))
+        for j in range(4):
+            step = np.eye(4)[j] * 1e-5
+            up, down = slow(w + step), slow(w - step)
+            assert np.allclose((g_pos[j], g_bracket[j]), ((up[0] - down[0]) / 2e-5, (up[1] - down[1]) / 2e-5), atol=1e-6)
+
+
+def test_non_negative_fit_takes_equal_rows_together():
+    rng = np.random.default_rng(6)
+    pos, unl = rng.integers(0, 2, (40, 3)).astype(float), (rng.random((200, 3)) < 0.2).astype(float)
+    w = np.zeros(4)
+    w[-1], m, v = np.log(0.2 / 0.8), 0.0, 0.0
+    for t in range(1, 301):  # row by row
+        _, bracket, g_pos, g_bracket = toxicity.risk(w, pos, unl, np.ones(40), np.ones(200), 0.2)
+        g = (g_pos + g_bracket if bracket >= 0 else -g_bracket) + toxicity.DECAY * np.append(w[:-1], 0)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    got, offset = toxicity.non_negative_fit(pos, unl, 0.2, steps=300)
+    assert np.allclose([*got, offset], w, atol=1e-6)
+
+
+def test_toxicity_edges(spark, empty):
+    rows, labels = toxic_corpus(300)
+    lab = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    d = spark.createDataFrame([*rows, (9, "vileness " * 3, None, None, None), (700, words(random.Random(1), 40_000, 900), None, None, None)], SCHEMA)
+    model = toxicity.fit_toxicity(clashing(d), lab)
+    assert toxicity.score_toxicity(clashing(empty), model, "tox").count() == 0 and toxicity.drop_toxic(empty, lab).count() == 0
+    out = toxicity.score_toxicity(clashing(d), model, "tox")
+    assert out.columns == [*clashing(d).columns, "tox"] and out.filter("doc_id = 9").count() == 2 and out.filter("tox is null").count() == 0
+    kept = toxicity.drop_toxic(clashing(d), lab)
+    assert kept.columns == clashing(d).columns
+    all_toxic = toxicity.fit_toxicity(d, spark.createDataFrame([(i, 1) for i, _ in labels], "doc_id bigint, toxic int"))
+    assert 0 <= all_toxic.score("x") <= 1
+
+
 def test_toxicity_without_labels(spark, empty):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     model = toxicity.fit_toxicity(empty, none)
