@@ -390,3 +390,36 @@ def test_pipeline_against_stages(spark):
     want = sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in queries.packed(mixing.mixed_documents(kept)).collect())
     assert sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, sf).collect()) == want
     assert exact_dedup.drop_copies(kept).count() == kept.count()
+
+
+def test_pipeline_stages_on_awkward_tables(spark, tmp_path):
+    """Repeated ids, nulls, very long texts, repeated rows, clashing extra columns, no rows at all: every stage keeps what it should."""
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    say = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    a, b, long = say(70), say(70), say(30_000)
+    data = [(1, b, "s0"), (5, b, "s0"), (5, a, "s1"), (9, long, "s1"), (9, long, "s1"), (None, say(50), None), (3, None, "s0"), (4, "", None), (6, a + " tail", "s1")]
+    sf = str(tmp_path)
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in data], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    names = ["kept", "component", "node", "copy", "key", "_cy_id", "sketch", "features"]
+    docs.select("*", *(F.lit("x").alias(n) for n in names)).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(1, 0), (5, None), (None, 1)], "doc_id bigint, toxic int").write.parquet(f"{sf}/labels.parquet")
+    now = queries.table(spark, sf, "documents")
+    held = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, sf)
+        assert out.columns == now.columns
+        out.write.parquet(f"{sf}/{name}")
+        now = spark.read.parquet(f"{sf}/{name}")
+        held[name] = sorted((r["doc_id"] or -1, (r["text"] or "")[:20]) for r in now.collect())
+    every = sorted((i or -1, (t or "")[:20]) for i, t, _ in data)
+    assert held["toxicity"] == every
+    assert held["exact_dedup"] == sorted([(1, b[:20]), (5, a[:20]), (9, long[:20]), (3, ""), (6, a[:20]), next(x for x in every if x[0] == -1)])
+    assert held["near_dedup"] == sorted(x for x in held["exact_dedup"] if x[0] != 6)
+    assert set(held["mixing"]) <= set(held["near_dedup"])
+    packed = corpus_pipeline.STAGES[-1][1](spark, now, sf).collect()
+    assert len({(r["doc_id"], r["piece"], r["sequence_id"], r["offset"]) for r in packed}) == len(packed) >= len(held["mixing"])
+    none = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, sf).count() == 0
