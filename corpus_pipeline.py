@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet in the shared folder
 and hands the table read back to the next. All but the last keep the columns of documents. Decisions take effect at once: a
 later stage never sees what an earlier one dropped. Packing returns one row a piece, as op1 does.
+
+Every stage decides by rows: where doc_ids repeat, a row goes only for its own text. Null texts count as empty: they are never
+toxic by their words, equal each other in exact dedup, and have nothing near; null doc_ids and null labels pass through
+unless their text is toxic or a copy. Very long texts are read whole by every stage. Of repeated rows one stays after exact dedup. An empty
+table gives an empty result. The columns of documents, and extra ones whatever their names, are kept up to packing, which ignores the extra ones.
 """
 
 from __future__ import annotations
@@ -19,12 +24,12 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of equal texts."""
+    """Keeps one row of equal texts: that of the smallest doc_id."""
     return exact_dedup.drop_copies(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each near-duplicate group."""
+    """Keeps one row of each near-duplicate group: that of the smallest doc_id."""
     return near_dedup.drop_near_copies(docs)
 
 
