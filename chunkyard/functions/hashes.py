@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -91,32 +92,26 @@ def leaf_hash(content: pd.Series) -> pd.Series:
     return out
 
 
-def _cut(level: list[tuple[bytes, int]], at: int) -> int:
-    """Where the group that starts at `at` ends: after the first entry from the third on whose last word is divisible by the fan-out."""
-    left = len(level) - at
-    if left <= 2:
-        return len(level)
-    most = min(2 * FAN_OUT + 1, left)
-    for i in range(2, most):
-        if int.from_bytes(level[at + i][0][24:32], "little") % FAN_OUT == 0:
-            return at + i + 1
-    return at + most
+def group_ends(last_words: np.ndarray) -> list[int]:
+    """Where the groups of a level end: past an entry whose last word the fan-out divides, at the earliest with the third, at the latest with the ninth entry of a group."""
+    n = len(last_words)
+    natural = np.flatnonzero(last_words % np.uint64(FAN_OUT) == 0) + 1
+    ends = [0]
+    while ends[-1] < n:
+        k = int(np.searchsorted(natural, ends[-1] + 3))
+        ends.append(min(int(natural[k]) if k < len(natural) else n, ends[-1] + 2 * FAN_OUT + 1, n))
+    return ends[1:]
 
 
 def merkle_root(entries: list[tuple[bytes, int]]) -> bytes:
     """The root over ordered (hash, size) entries: none is all zeros, one is itself."""
-    if not entries:
-        return ZERO
     level = list(entries)
     while len(level) > 1:
-        groups, at = [], 0
-        while at < len(level):
-            end = _cut(level, at)
-            groups.append(level[at:end])
-            at = end
+        ends = group_ends(np.frombuffer(b"".join(h[24:32] for h, _ in level), "<u8"))
+        groups = [level[a:b] for a, b in zip([0, *ends], ends)]
         texts = ["".join(f"{to_hex(h)} : {n}\n" for h, n in g).encode() for g in groups]
         level = list(zip(keyed_many(texts, NODE_KEY), (sum(n for _, n in g) for g in groups)))
-    return level[0][0]
+    return level[0][0] if level else ZERO
 
 
 def file_hash(entries: list[tuple[bytes, int]], salt: bytes = ZERO) -> bytes:
