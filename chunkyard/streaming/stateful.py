@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from chunkyard.operators.lifecycle import access_summary, eviction_plan, token_bucket
+from chunkyard.operators.catalog import first_writer, last_writer
+from chunkyard.operators.lifecycle import access_summary, eviction_plan, save_snapshot, token_bucket
 from chunkyard.operators.store import insert_if_absent
 
 
@@ -75,3 +76,26 @@ def sweep(objects: DataFrame, budget: int, remove: Callable[[DataFrame], None])
     plan = eviction_plan(objects, budget)
     remove(plan)
     return plan
+
+
+def snapshot_stream(changes: DataFrame, tables: Callable[[], dict[str, DataFrame]], root: str, version: int, checkpoint: str, every: str | None = "1 minute") -> StreamingQuery:
+    """Saves the tables each time that changes arrive within a trigger's interval; without an interval, once for all that is there, as at a shutdown."""
+    return each_batch(changes, lambda batch, _: None if batch.isEmpty() else save_snapshot(tables(), root, version), checkpoint, every)
+
+
+def ingest_rows_stream(incoming: DataFrame, path: str, keys: list[str], order: str, checkpoint: str, last: bool = True, every: str | None = None) -> StreamingQuery:
+    """Keeps one row a key of a stream of index rows (shard records, file references, commits): the last by `order`, or the first.
+
+    Every batch writes its own winners below its number, so a batch that runs again writes the same once; current_rows picks among batches.
+    """
+    pick = last_writer if last else first_writer
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        pick(batch, keys, order).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return each_batch(incoming, apply, checkpoint, every)
+
+
+def current_rows(spark: SparkSession, path: str, keys: list[str], order: str, last: bool = True) -> DataFrame:
+    """What ingest_rows_stream has kept so far."""
+    return (last_writer if last else first_writer)(spark.read.parquet(path).drop("batch_id"), keys, order)
