@@ -11,6 +11,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chunkyard.operators.work import written
+
 EPOCH = datetime(1970, 1, 1)
 
 
@@ -28,20 +30,19 @@ def access_summary(log: DataFrame) -> DataFrame:
 def eviction_plan(objects: DataFrame, budget: int, total: int | None = None) -> DataFrame:
     """The objects to evict, oldest first (ties by key): while what is left after the earlier ones passes the budget.
 
-    The running sum goes over ranges of last_access that the sort has made, not over one partition: sums of whole days are
-    windowed first, then each day's objects within the day.
+    Objects are dealt into ranges of (last_access, key) and written, so that however many share an access time they are spread. Sums of whole
+    ranges are windowed first, then each range's objects within it.
     """
     if budget <= 0:
         return objects.withColumn("freed_before", F.lit(0).cast("bigint")).limit(0)
-    day = F.floor(F.unix_timestamp("last_access") / 86400)
-    dated = objects.withColumn("_day", day)
-    days = dated.groupBy("_day").agg(F.sum("size").alias("_bytes"))
-    before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)  # one row a day
-    bases = days.select("_day", F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_base"), F.sum("_bytes").over(Window.partitionBy()).alias("_all"))
-    within = Window.partitionBy("_day").orderBy("last_access", "key").rowsBetween(Window.unboundedPreceding, -1)
-    summed = dated.join(bases, "_day").withColumn("freed_before", F.col("_base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    ranged = written(objects.repartitionByRange("last_access", "key").withColumn("_range", F.spark_partition_id()), "by-access")
+    ranges = ranged.groupBy("_range").agg(F.sum("size").alias("_bytes"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    bases = ranges.select("_range", F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_base"), F.sum("_bytes").over(Window.partitionBy()).alias("_all"))
+    within = Window.partitionBy("_range").orderBy("last_access", "key").rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.join(bases, "_range").withColumn("freed_before", F.col("_base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     stored = F.lit(total) if total is not None else F.col("_all")
-    return summed.filter(stored - F.col("freed_before") > budget).drop("_day", "_base", "_all")
+    return summed.filter(stored - F.col("freed_before") > budget).drop("_range", "_base", "_all")
 
 
 def storage_stats(objects: DataFrame, evicted: DataFrame) -> DataFrame:

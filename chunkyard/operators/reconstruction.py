@@ -44,11 +44,16 @@ def request_windows(requests: DataFrame, sizes: DataFrame) -> DataFrame:
     return ranged.select("request", "file", "size", status.alias("status"), F.col("_r.start").alias("start"), F.col("_r.stop").alias("stop"))
 
 
+def _asked_terms(windows: DataFrame, terms: DataFrame) -> DataFrame:
+    """The terms in each request's window; running offsets are summed for asked files only."""
+    asked = windows.filter(F.col("status") == OK).select("request", "file", "start", "stop")
+    spans = term_spans(terms.join(asked.select("file").distinct(), "file", "left_semi"))
+    return asked.join(spans, "file").filter(overlaps(F.col("start"), F.col("stop")))
+
+
 def clipped_terms(windows: DataFrame, terms: DataFrame, footers: DataFrame) -> DataFrame:
     """The terms of each request with their physical ranges; the window is applied before footers are joined."""
-    spans = term_spans(terms)
-    kept = windows.filter(F.col("status") == OK).join(spans, "file").filter(overlaps(F.col("start"), F.col("stop")))
-    joined = kept.join(footers.select("object", "boundaries"), "object", "left")
+    joined = _asked_terms(windows, terms).join(footers.select("object", "boundaries"), "object", "left")
     fault = F.when(F.col("boundaries").isNull(), MISSING_FOOTER).when(bad_chunk_range(F.col("chunk_start"), F.col("chunk_end"), F.size("boundaries")), BAD_CHUNKS)
     physical = F.when(fault.isNull(), physical_range(F.col("boundaries"), F.col("chunk_start"), F.col("chunk_end")))
     return joined.select(
@@ -56,27 +61,54 @@ def clipped_terms(windows: DataFrame, terms: DataFrame, footers: DataFrame) -> D
     )
 
 
+def request_status(windows: DataFrame, terms: DataFrame, footers: DataFrame) -> DataFrame:
+    """request, status, without building any response."""
+    sizes = footers.select("object", F.size("boundaries").alias("n"))
+    joined = _asked_terms(windows, terms).select("request", "object", "chunk_start", "chunk_end").join(sizes, "object", "left")
+    fault = F.when(F.col("n").isNull(), MISSING_FOOTER).when(bad_chunk_range(F.col("chunk_start"), F.col("chunk_end"), F.col("n")), BAD_CHUNKS)
+    faults = joined.groupBy("request").agg(F.min(fault).alias("fault"))
+    return windows.join(faults, "request", "left").select("request", F.coalesce("fault", "status").alias("status"))
+
+
+def _by_object(clipped: DataFrame, *more: Column) -> DataFrame:
+    """Lists by (request, object). Rows are dealt by request once, which also serves the steps after it."""
+    fetch = F.struct("ord", F.struct("chunk_start", "chunk_end").alias("range"), "url_range")
+    return clipped.repartition("request").groupBy("request", "object").agg(F.sort_array(F.collect_list(fetch)).alias("fetch"), F.min("fault").alias("fault"), *more)
+
+
 def build_v1(windows: DataFrame, clipped: DataFrame) -> DataFrame:
     """request, status, offset_into_first_range, terms in order, fetch_info by object."""
-    term = F.struct("ord", "object", "unpacked", "chunk_start", "chunk_end")
-    fetch = F.struct("ord", F.struct("chunk_start", "chunk_end").alias("range"), "url_range")
-    by_object = clipped.groupBy("request", "object").agg(F.sort_array(F.collect_list(fetch)).alias("fetch"))
-    infos = by_object.groupBy("request").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("object", "fetch")))).alias("fetch_info"))
-    heads = clipped.groupBy("request").agg(
-        F.sort_array(F.collect_list(term)).alias("terms"), F.min_by(F.col("start") - F.col("term_start"), "ord").alias("into"), F.min("fault").alias("fault")
+    term = F.collect_list(F.struct("ord", "object", "unpacked", "chunk_start", "chunk_end")).alias("terms")
+    into = F.min(F.struct("ord", (F.col("start") - F.col("term_start")).alias("into"))).alias("first")
+    heads = _by_object(clipped, term, into).groupBy("request").agg(
+        F.sort_array(F.flatten(F.collect_list("terms"))).alias("terms"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("object", "fetch")))).alias("fetch_info"),
+        F.min("first").alias("first"),
+        F.min("fault").alias("fault"),
     )
-    joined = windows.join(heads, "request", "left").join(infos, "request", "left")
-    return joined.select("request", F.coalesce("fault", "status").alias("status"), F.coalesce("into", F.lit(0)).alias("offset_into_first_range"), "terms", "fetch_info")
+    joined = windows.join(heads, "request", "left")
+    return joined.select("request", F.coalesce("fault", "status").alias("status"), F.coalesce("first.into", F.lit(0)).alias("offset_into_first_range"), "terms", "fetch_info")
 
 
 def build_v2(windows: DataFrame, clipped: DataFrame) -> DataFrame:
     """One fetch an object with all its ranges in term order."""
-    part = F.struct("ord", F.struct("chunk_start", "chunk_end").alias("chunks"), "url_range")
-    by_object = clipped.groupBy("request", "object").agg(F.sort_array(F.collect_list(part)).alias("ranges"), F.min("fault").alias("fault"))
+    ranges = F.transform("fetch", lambda f: F.struct(f["ord"].alias("ord"), f["range"].alias("chunks"), f["url_range"].alias("url_range"))).alias("ranges")
+    by_object = _by_object(clipped).select("request", "object", ranges, "fault")
     grouped = by_object.groupBy("request").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("object", "ranges")))).alias("objects"), F.min("fault").alias("fault"))
     return windows.join(grouped, "request", "left").select("request", F.coalesce("fault", "status").alias("status"), "objects")
 
 
+def ranges_by_start(ranges: Column) -> Column:
+    """Fetch ranges in the order of their first bytes, as a presigned request lists them."""
+    return F.transform(F.array_sort(F.transform(ranges, lambda r: F.struct(r["url_range"]["start"].alias("start"), r.alias("r")))), lambda x: x["r"])
+
+
+def term_fetches(responses: DataFrame) -> DataFrame:
+    """Each term of responses (request, terms, fetch_info) with the fetches of its object; null where the response has none."""
+    terms = responses.select("request", "fetch_info", F.inline("terms"))
+    return terms.select("request", "ord", "object", "chunk_start", "chunk_end", F.try_element_at("fetch_info", F.col("object")).alias("fetches"))
+
+
 def cited_from_start(fetch: Column) -> Column:
     """Whether any fetch range starts at byte 0."""
     return F.exists(fetch, lambda f: f["url_range"]["start"] == 0)

@@ -116,12 +116,15 @@ def manifests(files: DataFrame, chunks: DataFrame) -> DataFrame:
     return base.join(refs, "file_key", "left").select("file_key", "file_id", "size", "sha256", F.coalesce(plain, empty).alias("chunks"))
 
 
+def restore_parts(manifest: DataFrame, blobs: DataFrame) -> DataFrame:
+    """file_key, seq, offset, content of every chunk of the manifests, for files of any size; the content of a missing chunk is null."""
+    refs = manifest.select("file_key", F.posexplode("chunks").alias("seq", "ref")).select("file_key", "seq", F.col("ref.offset").alias("offset"), F.col("ref.hash").alias("hash"))
+    return refs.join(blobs.select(F.col("key").alias("hash"), "content"), "hash", "left").select("file_key", "seq", "offset", "content")
+
+
 def restore(manifest: DataFrame, blobs: DataFrame) -> DataFrame:
-    """file_key, content, complete: chunks joined by hash and put together in order; a missing chunk leaves null content."""
-    refs = manifest.select("file_key", F.posexplode_outer("chunks").alias("seq", "ref"))
-    parts = refs.select("file_key", "seq", F.col("ref.hash").alias("hash")).join(blobs.select(F.col("key").alias("hash"), "content"), "hash", "left")
-    ordered = F.sort_array(F.collect_list(F.struct("seq", F.hex("content").alias("data"))))
-    gone = F.coalesce(F.sum(F.when(F.col("hash").isNotNull() & F.col("content").isNull(), 1)), F.lit(0))
-    whole = parts.groupBy("file_key").agg(ordered.alias("parts"), gone.alias("gone"))
-    content = F.unhex(F.array_join(F.col("parts.data"), ""))
-    return whole.select("file_key", F.when(F.col("gone") == 0, content).alias("content"), (F.col("gone") == 0).alias("complete"))
+    """file_key, content, complete, for files that fit a row: chunks put together in order; a missing chunk leaves null content."""
+    whole = restore_parts(manifest, blobs).groupBy("file_key").agg(F.expr("listagg(content) within group (order by seq)").alias("content"), F.count_if(F.col("content").isNull()).alias("gone"))
+    every = manifest.select("file_key").join(whole, "file_key", "left")
+    complete = F.coalesce("gone", F.lit(0)) == 0
+    return every.select("file_key", F.when(complete, F.coalesce("content", F.lit(b""))).alias("content"), complete.alias("complete"))

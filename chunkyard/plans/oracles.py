@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from chunkyard.operators.chunking import gear_table
-
 BODY = "encode(coalesce(text, ''))"
 FIXED = f"""fixed AS (
   SELECT doc_id, s AS seq, sha256(unhex(substr(hex({BODY}), s * 1024 + 1, 1024))) AS hash, least(512, octet_length({BODY}) - s * 512) AS length
@@ -43,7 +41,20 @@ files AS (SELECT path, arg_max(sha, page_id) AS sha, arg_max(size, page_id) AS s
 _SWAP = "concat_ws('', " + ", ".join(f"substr(h, {2 * (8 * (i // 8) + 7 - i % 8) + 1}, 2)" for i in range(32)) + ")"
 HEXED = f"hexed AS (SELECT doc_id, h, {_SWAP} AS t, n FROM (SELECT doc_id, sha256({BODY}) AS h, octet_length({BODY}) AS n FROM documents))"
 
-_GEAR = ", ".join(str(int(g) % 1024) for g in gear_table())
+
+
+def _gear() -> str:
+    """The low ten bits of 256 splitmix64 outputs; the k-th state is (k + 2) golden-ratio steps."""
+    mask, out = 2**64 - 1, []
+    for k in range(256):
+        z = (k + 2) * 0x9E3779B97F4A7C15 & mask
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z = (z ^ z >> shift) * factor & mask
+        out.append((z ^ z >> 31) % 1024)
+    return ", ".join(map(str, out))
+
+
+_GEAR = _gear()
 CDC = f"""RECURSIVE gear AS (SELECT [{_GEAR}] AS g),
 bytes AS (SELECT doc_id, hex({BODY}) AS x, octet_length({BODY}) AS n FROM documents),
 pos AS (SELECT doc_id, i, CAST(('0x' || substr(x, 2 * i + 1, 2)) AS INT) AS b FROM bytes, unnest(range(0, n)) AS t(i)),
@@ -60,6 +71,9 @@ chunks AS (SELECT k.doc_id, seq, a, e - a AS length, sha256(unhex(substr(x, 2 *
 
 ORACLE_SQL = {
     "cdc_chunks": f"WITH {CDC} SELECT CAST(doc_id AS VARCHAR) AS file_key, CAST(seq AS BIGINT) AS seq, a AS \"offset\", CAST(length AS BIGINT) AS length, hash FROM chunks",
+    "cdc_upload_stats": f"""WITH {CDC}, marked AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY doc_id, seq) = 1 AS fresh FROM chunks)
+SELECT (SELECT count(*) FROM documents) AS uploads, (SELECT CAST(sum(octet_length({BODY})) AS BIGINT) FROM documents) AS size, count(*) AS chunks_total, count(*) FILTER (WHERE fresh) AS chunks_new,
+  CAST(sum(length) FILTER (WHERE fresh) AS BIGINT) AS bytes_stored FROM marked""",
     "upload_stats": f"""WITH {FIXED}, marked AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY doc_id, seq) = 1 AS fresh FROM fixed),
 per AS (SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE fresh) AS new, coalesce(sum(length) FILTER (WHERE fresh), 0) AS stored FROM marked GROUP BY doc_id)
 SELECT CAST(d.doc_id AS VARCHAR) AS file_key, substr(sha256(sha256({BODY})), 1, 32) AS file_id, CAST(octet_length({BODY}) AS BIGINT) AS size, coalesce(total, 0) AS chunks_total, coalesce(new, 0) AS chunks_new,
@@ -125,4 +139,37 @@ SELECT CAST(doc_id AS VARCHAR) AS file_key, CAST(n AS BIGINT) AS length, sha256(
     "chunk_stream_decode": """SELECT CAST(doc_id // 4 AS VARCHAR) AS object_key, row_number() OVER (PARTITION BY doc_id // 4 ORDER BY doc_id) - 1 AS chunk_index, sha256(text) AS sha256, CAST(octet_length(encode(text)) AS BIGINT) AS length
 FROM documents WHERE length(text) > 0""",
     "shard_roundtrip": f"""WITH {TERMS} SELECT CAST(file % 16 AS VARCHAR) AS shard_key, count(*) AS terms, CAST(sum(unpacked) AS BIGINT) AS unpacked, CAST(sum(ce) AS BIGINT) AS chunk_ends, count(DISTINCT file) AS files FROM terms GROUP BY 1""",
+    "rate_limit_decisions": """WITH RECURSIVE e AS (SELECT user_id AS key, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+run AS (
+  SELECT key, event_id, k, t, CAST(2.0 AS DOUBLE) AS level, true AS allowed FROM e WHERE k = 1
+  UNION ALL
+  SELECT n.key, n.event_id, n.k, n.t, CASE WHEN least(3.0, r.level + (n.t - r.t) * (1 / 43200.0)) >= 1 THEN least(3.0, r.level + (n.t - r.t) * (1 / 43200.0)) - 1 ELSE least(3.0, r.level + (n.t - r.t) * (1 / 43200.0)) END,
+    least(3.0, r.level + (n.t - r.t) * (1 / 43200.0)) >= 1
+  FROM run r JOIN e n ON n.key = r.key AND n.k = r.k + 1
+)
+SELECT key, event_id, allowed FROM run""",
+    "ingest_objects": """SELECT o AS upload, CASE o % 5 WHEN 0 THEN 'inserted' WHEN 1 THEN 'hash_mismatch' WHEN 2 THEN 'malformed' WHEN 3 THEN 'bad_prefix' ELSE 'present' END AS status
+FROM (SELECT CAST(doc_id // 4 AS BIGINT) AS o, string_agg(text, chr(0) ORDER BY doc_id) AS body FROM documents WHERE length(text) > 0 GROUP BY 1)""",
+    "ingest_shards": f"WITH {TERMS} SELECT CAST(file % 16 AS BIGINT) AS upload, CASE WHEN file % 8 = 7 THEN 'malformed' ELSE 'ok' END AS status FROM terms GROUP BY 1, 2",
+    "ingested_terms": f"""WITH {TERMS} SELECT sha256(CAST(file AS VARCHAR)) AS file, CAST(sum(unpacked) AS BIGINT) AS size, count(*) AS terms, CAST(max(ce) AS BIGINT) AS last_chunk, sha256(CAST(-file AS VARCHAR)) AS sha256
+FROM terms WHERE file % 8 <> 7 GROUP BY file""",
+    "ingested_chunk_index": f"WITH {TERMS} SELECT sha256(CAST(object % 100 AS VARCHAR)) AS chunk, CAST(min(file % 16) AS BIGINT) AS upload FROM terms WHERE file % 8 <> 7 GROUP BY 1",
+    "decode_requests": """SELECT doc_id AS request, CASE WHEN doc_id % 7 IN (0, 4, 6) THEN 'ok' ELSE 'malformed' END AS status, CASE WHEN doc_id % 7 IN (0, 4, 6) THEN 'upload' END AS operation,
+  CASE WHEN doc_id % 7 IN (0, 4, 6) THEN CAST(doc_id AS VARCHAR) END AS oid, CASE WHEN doc_id % 7 IN (0, 4, 6) THEN CAST(length(coalesce(text, '')) AS BIGINT) END AS size FROM documents""",
+    "route_requests": """SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'revision' WHEN 1 THEN 'tree' WHEN 2 THEN 'write-token' WHEN 3 THEN 'create' WHEN 4 THEN 'commit' END AS handler,
+  CASE WHEN page_id % 8 IN (0, 1) THEN 'read' WHEN page_id % 8 IN (2, 3, 4) THEN 'write' END AS scope,
+  CASE page_id % 8 WHEN 0 THEN 'model' WHEN 1 THEN 'dataset' WHEN 2 THEN 'space' WHEN 4 THEN 'model' END AS repo_type,
+  CASE WHEN page_id % 8 IN (0, 1, 2, 4) THEN 'o/n' || CAST(page_id AS VARCHAR) END AS repo_id, CASE WHEN page_id % 8 IN (0, 1, 4) THEN 'main' WHEN page_id % 8 = 2 THEN 'v1' END AS revision,
+  CASE WHEN page_id % 8 = 1 THEN 'a/b' WHEN page_id % 8 IN (0, 2, 4) THEN '' END AS path FROM pages""",
+    "tree_pages": "SELECT CAST(doc_id // 50 AS BIGINT) AS page, 'f/' || CAST(doc_id AS VARCHAR) AS path, sha256(CAST(doc_id AS VARCHAR)) AS oid, doc_id AS size FROM documents WHERE doc_id % 10 <> 0",
+    "token_records": """WITH issued AS (SELECT c_custkey AS minted, c_mktsegment AS repo_id, CAST(epoch(TIMESTAMP '2024-01-15') AS BIGINT) + 3600 - c_custkey * 60 AS expires FROM customer ORDER BY expires DESC LIMIT 100)
+SELECT o_orderkey AS call, minted, repo_id, expires > CAST(epoch(TIMESTAMP '2024-01-15') AS BIGINT) + 60 AS usable FROM orders LEFT JOIN issued ON minted = o_custkey""",
+    "recon_term_fetches": f"""WITH {TERMS} SELECT request, ord, count(*) OVER o AS fetches, CAST(min(cs * step) OVER o AS BIGINT) AS first_byte, min(cs * step) OVER o = 0 AS cited_from_start
+FROM clipped WHERE request IN (SELECT request FROM good) WINDOW o AS (PARTITION BY request, object)""",
+    "manifest_json": f"""SELECT substr(sha256(sha256({BODY})), 1, 32) AS file_id, CAST(octet_length({BODY}) AS BIGINT) AS size, sha256({BODY}) AS sha256, CAST(ceil(octet_length({BODY}) / 512.0) AS BIGINT) AS chunks,
+  CASE WHEN octet_length({BODY}) = 0 THEN -1 ELSE CAST((octet_length({BODY}) - 1) // 512 * 512 AS BIGINT) END AS last_offset FROM documents""",
+    "truncated_lookup": f"SELECT a.doc_id AS asked, b.doc_id AS found FROM documents a JOIN (SELECT sha256({BODY}) AS h, min(doc_id) AS doc_id FROM documents GROUP BY 1) b ON sha256(encode(coalesce(a.text, ''))) = b.h WHERE a.doc_id % 3 = 0",
+    "forget_keys": f"WITH {USERS} SELECT DISTINCT CAST(key % 64 AS BIGINT) AS shard_hash FROM users WHERE key NOT IN (SELECT key FROM plan)",
+    "chunk_boundaries": """SELECT CAST(doc_id // 4 AS VARCHAR) AS object_key, row_number() OVER w - 1 AS chunk_index, CAST(sum(octet_length(encode(text))) OVER w AS BIGINT) AS unpacked, true AS ends_where_scanned
+FROM documents WHERE length(text) > 0 WINDOW w AS (PARTITION BY doc_id // 4 ORDER BY doc_id)""",
 }

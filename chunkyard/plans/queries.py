@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chunkyard.functions import codecs, hashes, paths
-from chunkyard.operators import catalog, chunking, lifecycle, reconstruction, store
+from chunkyard.operators import catalog, chunking, ingest, lifecycle, reconstruction, requests as hub, store
+from chunkyard.operators.work import shared_path, written
 from chunkyard.sources import objects, shards
 
 #: Chunk lengths that give texts of a few KB several chunks.
@@ -147,9 +148,9 @@ def version_overlap(spark, sf_dir):
 
 def restore_roundtrip(spark, sf_dir):
     files = document_files(spark, sf_dir)
-    pieces = chunking.chunk_files(files, LOW, AVG, HIGH)
-    manifest = store.manifests(files, chunking.hashed(pieces))
-    blobs = pieces.select(F.sha2("data", 256).alias("key"), F.col("data").alias("content")).dropDuplicates(["key"])
+    pieces = written(chunking.chunk_files(files, LOW, AVG, HIGH).withColumn("hash", F.sha2("data", 256)), "pieces")
+    manifest = store.manifests(files, pieces.drop("data"))
+    blobs = pieces.select(F.col("hash").alias("key"), F.col("data").alias("content")).dropDuplicates(["key"])
     restored = store.restore(manifest, blobs)
     return restored.select("file_key", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("bigint").alias("size"))
 
@@ -188,9 +189,7 @@ def recon_v2_groups(spark, sf_dir):
 
 
 def recon_status(spark, sf_dir):
-    w = windows(spark, sf_dir)
-    v2 = reconstruction.build_v2(w, reconstruction.clipped_terms(w, unique_terms(spark, sf_dir), footers(spark, sf_dir)))
-    return v2.groupBy("status").agg(F.count("*").alias("requests"))
+    return reconstruction.request_status(windows(spark, sf_dir), unique_terms(spark, sf_dir), footers(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("requests"))
 
 
 def cacheable_files(spark, sf_dir):
@@ -394,6 +393,148 @@ def shard_roundtrip(spark, sf_dir):
     return back.groupBy("shard_key").agg(F.count("*").alias("terms"), F.sum("unpacked_bytes").alias("unpacked"), F.sum("chunk_end").alias("chunk_ends"), F.countDistinct("owner_hash").alias("files"))
 
 
+def ingest_objects(spark, sf_dir):
+    """Uploads of chunk streams, a fifth each as they should be, under a wrong hash, cut short, under another prefix, and known already."""
+    built = written(stored_objects(spark, sf_dir), "uploads")
+    own = objects.object_footers(built).select("object_key", hashes.hash_hex(F.col("object_hash")).alias("hash"))
+    kind = F.col("object_key").cast("bigint") % 5
+    sent = built.join(written(own, "own-hashes"), "object_key").select(
+        F.col("object_key").cast("bigint").alias("upload"),
+        F.when(kind == 3, "other").otherwise(ingest.OBJECT_PREFIX).alias("prefix"),
+        F.when(kind == 1, F.lit("f" * 64)).otherwise(F.col("hash")).alias("claimed"),
+        F.when(kind == 2, F.substring(F.col("body"), F.lit(1), F.octet_length("body") - 1)).otherwise(F.col("body")).alias("body"),
+        "hash",
+    )
+    status, _ = ingest.ingest_objects(sent.drop("hash"), sent.filter(F.col("upload") % 5 == 4).select(F.col("hash").alias("object_key")))
+    return status
+
+
+def term_shards(spark, sf_dir):
+    """Shards of lineitem terms by file, with a chunk section of the objects that they cite and the files' SHA-256; every eighth is damaged."""
+    to_hash = lambda c: F.unhex(F.sha2(c.cast("string"), 256))
+    none = F.lit(None).cast("bigint")
+    t = unique_terms(spark, sf_dir)
+    key = F.pmod("file", F.lit(16))
+    terms = t.select(key.alias("shard"), F.lit("term").alias("section"), F.col("ord").alias("ordinal"), to_hash(F.col("file")).alias("owner_hash"), to_hash(F.col("object")).alias("item_hash"), F.lit(0).cast("bigint").alias("flags"), F.col("unpacked").alias("unpacked_bytes"), F.col("chunk_start").cast("bigint").alias("chunk_start"), F.col("chunk_end").cast("bigint").alias("chunk_end"), none.alias("byte_start"))
+    shas = t.select("file").distinct().select(key.alias("shard"), F.lit("sha256"), F.lit(0).cast("bigint"), to_hash(F.col("file")), to_hash(-F.col("file")), none, none, none, none, none)
+    cited = t.select(key.alias("shard"), "object").distinct()
+    chunks = cited.select("shard", F.lit("chunk"), F.lit(0).cast("bigint"), to_hash(F.col("object")), to_hash(F.col("object") % 100), F.lit(0).cast("bigint"), F.lit(10).cast("bigint"), none, none, F.lit(0).cast("bigint"))
+    heads = cited.select("shard", F.lit("object"), F.lit(1).cast("bigint"), to_hash(F.col("object")), F.lit(None).cast("binary"), F.lit(0).cast("bigint"), F.lit(10).cast("bigint"), none, none, F.lit(18).cast("bigint"))
+    rows = terms.union(shas).union(chunks).union(heads).withColumn("shard_key", F.col("shard").cast("string")).drop("shard")
+    built = shards.write_shards(rows)
+    upload = F.col("shard_key").cast("bigint")
+    return built.select(upload.alias("upload"), F.when(upload % 8 == 7, F.substring(F.col("body"), F.lit(1), F.octet_length("body") - 300)).otherwise(F.col("body")).alias("body"))
+
+
+def ingest_shards(spark, sf_dir):
+    got = ingest.ingest_shards(term_shards(spark, sf_dir))
+    return got.status
+
+
+def ingested_terms(spark, sf_dir):
+    got = ingest.ingest_shards(term_shards(spark, sf_dir))
+    files = got.terms.groupBy("file").agg(F.sum("unpacked").alias("size"), F.count("*").alias("terms"), F.max("chunk_end").alias("last_chunk"))
+    named = files.join(got.bridge, F.col("file") == F.col("file_hash"))
+    return named.select(F.lower(F.hex("file")).alias("file"), F.col("size").cast("bigint").alias("size"), "terms", "last_chunk", F.lower(F.hex(hashes.hash_from_hex(F.col("sha256_hex")))).alias("sha256"))
+
+
+def ingested_chunk_index(spark, sf_dir):
+    """Chunks by the shard that named them first."""
+    got = ingest.ingest_shards(term_shards(spark, sf_dir))
+    numbered = term_shards(spark, sf_dir).select("upload", hashes.leaf_hash("body").alias("shard_hash"))
+    return got.chunk_index.join(numbered, "shard_hash").select(F.lower(F.hex("chunk_hash")).alias("chunk"), "upload")
+
+
+def batch_bodies(spark, sf_dir):
+    """Batch requests: sound, with trailing data, cut off, of another shape, too large."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("size"))
+    sound = F.format_string('{"operation":"upload","objects":[{"oid":"%s","size":%d}]}', F.col("doc_id").cast("string"), "size")
+    k = F.col("doc_id") % 7
+    body = F.when(k == 1, F.concat(sound, F.lit(" {}"))).when(k == 2, F.substring(sound, 1, 20)).when(k == 3, F.lit("[1]")).when(k == 4, F.concat(F.lit("  "), sound, F.lit("\n"))).when(k == 5, F.lit("")).otherwise(sound)
+    return d.select(F.col("doc_id").alias("request"), body.alias("body"))
+
+
+def decode_requests(spark, sf_dir):
+    got = hub.decode_requests(batch_bodies(spark, sf_dir), hub.BATCH)
+    return got.select("request", "status", "value.operation", F.get("value.objects", F.lit(0))["oid"].alias("oid"), F.get("value.objects", F.lit(0))["size"].alias("size"))
+
+
+def route_requests(spark, sf_dir):
+    k = F.col("page_id")
+    path = (
+        F.when(k % 8 == 0, F.concat(F.lit("/api/models/o/n"), k, F.lit("/revision/main")))
+        .when(k % 8 == 1, F.concat(F.lit("/api/datasets/o/n"), k, F.lit("/tree/main/a/b")))
+        .when(k % 8 == 2, F.concat(F.lit("/api/spaces/o/n"), k, F.lit("/write-token/v1")))
+        .when(k % 8 == 3, F.lit("/api/repos/create"))
+        .when(k % 8 == 4, F.concat(F.lit("/api/models/o/n"), k, F.lit("/commit/main")))
+        .when(k % 8 == 5, F.concat(F.lit("/api/models/o/n"), k, F.lit("/commit")))
+        .when(k % 8 == 6, F.concat(F.lit("/api/models/o/n"), k, F.lit("/unknown/main")))
+        .otherwise(F.lit("/api/models/o"))
+    )
+    method = F.when(k % 8 < 3, "GET").otherwise("POST")
+    r = table(spark, sf_dir, "pages").select("page_id", hub.route(method, path).alias("r"))
+    return r.select("page_id", "r.handler", "r.scope", "r.repo_type", "r.repo_id", "r.revision", "r.path")
+
+
+def tree_pages(spark, sf_dir):
+    """The files of a listing over pages of fifty entries, folders left out."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 50).alias("page"))
+    entry = F.to_json(F.struct(F.when(F.col("doc_id") % 10 == 0, "directory").otherwise("file").alias("type"), F.concat(F.lit("f/"), F.col("doc_id").cast("string")).alias("path"), F.sha2(F.col("doc_id").cast("string"), 256).alias("oid"), F.col("doc_id").alias("size")))
+    pages = d.groupBy("page").agg(F.concat(F.lit("["), F.array_join(F.collect_list(entry), ","), F.lit("]")).alias("body")).withColumn("listing", F.lit("l"))
+    return catalog.only_files(hub.tree_pages(pages)).select("page", "path", "oid", "size")
+
+
+def token_records(spark, sf_dir):
+    """Calls with the record under which their token was issued; only the newest tokens are remembered, and stale ones may serve while they last."""
+    now = F.lit(NOW).cast("timestamp")
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request"), F.col("c_mktsegment").alias("repo_id"))
+    issued = hub.issued_tokens(asked, now, "https://cas.example", salt="t").withColumn("expires", F.col("expires") - F.col("request") * 60).withColumnRenamed("request", "minted")
+    calls = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call"), F.substring(F.sha2(F.concat(F.lit("t"), F.col("o_custkey").cast("string")), 256), 1, 32).alias("access_token"))
+    found = hub.minting_records(calls, issued, most=100)
+    return found.select("call", "minted", "repo_id", lifecycle.usable_stale_token(F.col("expires"), now).alias("usable"))
+
+
+def recon_term_fetches(spark, sf_dir):
+    """Terms with the fetches of their object by first byte, and whether any starts at the beginning of its object."""
+    w = windows(spark, sf_dir)
+    v1 = reconstruction.build_v1(w, reconstruction.clipped_terms(w, unique_terms(spark, sf_dir), footers(spark, sf_dir)))
+    rows = reconstruction.term_fetches(v1.filter("status = 'ok'"))
+    by_start = reconstruction.ranges_by_start(F.col("fetches"))
+    return rows.select("request", "ord", F.size("fetches").cast("bigint").alias("fetches"), F.get(by_start, F.lit(0))["url_range"]["start"].alias("first_byte"), reconstruction.cited_from_start(F.col("fetches")).alias("cited_from_start"))
+
+
+def manifest_json(spark, sf_dir):
+    """Manifests saved as JSON and loaded again, with the ids that are file names."""
+    files = document_files(spark, sf_dir)
+    path = shared_path(spark, "manifests")
+    ingest.save_manifests(store.manifests(files, chunking.hashed(fixed_document_chunks(spark, sf_dir))), path)
+    back = ingest.load_manifests(spark, path).filter(ingest.valid_manifest_id(F.col("file_id")))
+    return back.select("file_id", "size", "sha256", F.size("chunks").cast("bigint").alias("chunks"), F.coalesce(F.element_at("chunks", -1)["offset"], F.lit(-1)).alias("last_offset"))
+
+
+def truncated_lookup(spark, sf_dir):
+    """Lookups by the first word of a hash, all entries of that word, told apart by the whole hash; the first record of each hash."""
+    h = table(spark, sf_dir, "documents").select("doc_id", F.unhex(F.sha2(chunking.to_bytes(F.col("text")), 256)).alias("full_hash"))
+    entries = reconstruction.first_record(h, "full_hash", "doc_id").withColumn("key", hashes.truncated_key(F.col("full_hash")))
+    asked = h.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("asked"), F.col("full_hash").alias("hash"), hashes.truncated_key(F.col("full_hash")).alias("key"))
+    return reconstruction.by_truncated_key(asked, entries).select("asked", F.col("doc_id").alias("found"))
+
+
+def forget_keys(spark, sf_dir):
+    """Access summaries left after objects are forgotten, and the distinct bodies that remain of their shards."""
+    users = sized_users(spark, sf_dir)
+    gone = lifecycle.eviction_plan(users, 20_000).select("key")
+    (left,) = lifecycle.forget(gone, users)
+    bodies = left.select(F.pmod("key", F.lit(64)).alias("shard_hash"))
+    return catalog.distinct_bodies(bodies).select(F.col("shard_hash").cast("bigint").alias("shard_hash"))
+
+
+def chunk_boundaries(spark, sf_dir):
+    """Running physical ends and content lengths of the chunks of every object."""
+    scanned = objects.scan_objects(stored_objects(spark, sf_dir))
+    return objects.cumulative_offsets(scanned).select("object_key", F.col("chunk_index").cast("bigint").alias("chunk_index"), "unpacked", (F.col("boundary") == F.col("data_offset") + F.col("compressed_length")).alias("ends_where_scanned"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -401,7 +542,8 @@ QUERIES = {
         restore_roundtrip, manifest_offsets, file_sizes, recon_range_status, recon_v1_terms, recon_v1_fetch, recon_v2_groups, recon_status, cacheable_files, eviction_plan,
         storage_stats, eviction_candidates, ttl_freshness, rate_limit_decisions, chunk_index_first_writer, catalog_last_writer, tree_listing, repo_info, resolve,
         parse_resolve_path, parse_byte_range, lfs_preupload, lfs_batch, commit_files, dedup_lookup, hash_hex_transform, truncated_key_order, byte_grouping,
-        chunk_stream_decode, object_footers, merkle_file_hash, shard_roundtrip,
+        chunk_stream_decode, object_footers, merkle_file_hash, shard_roundtrip, ingest_objects, ingest_shards, ingested_terms, ingested_chunk_index, decode_requests,
+        route_requests, tree_pages, token_records, recon_term_fetches, manifest_json, truncated_lookup, forget_keys, chunk_boundaries,
     )
 }
 from chunkyard.plans.oracles import ORACLE_SQL  # noqa: E402

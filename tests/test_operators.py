@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chunkyard.functions import paths
+from chunkyard.functions import hashes, paths
 from chunkyard.operators import catalog, chunking, lifecycle, reconstruction, store
 from chunkyard.streaming import stateful
 
@@ -186,3 +186,110 @@ def test_incremental_ingest(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(src)
         stateful.ingest_stream(stream, blobs, f"{tmp_path}/ck").awaitTermination(120)
     assert sorted(r["key"] for r in spark.read.parquet(blobs).collect()) == ["a", "b", "c"]
+
+
+def test_store_ingest_and_restore(spark, tmp_path):
+    from chunkyard.operators import ingest
+
+    rng = np.random.default_rng(3)
+    a, b = rng.bytes(40_000), rng.bytes(9_000)
+    first = spark.createDataFrame([("a", 1, a), ("b", 2, b), ("empty", 3, b""), ("again", 4, a)], "file_key string, ingest_seq bigint, content binary")
+    box = ingest.Store(spark, str(tmp_path / "store"), 256, 1024, 4096)
+    one = {r["file_key"]: r for r in box.ingest(first).collect()}
+    assert one["again"]["chunks_new"] == 0 and one["a"]["chunks_new"] == one["a"]["chunks_total"] > 20
+    edited = a[:20_000] + b"inserted" + a[20_000:]
+    two = box.ingest(spark.createDataFrame([("a2", 5, edited), ("b", 6, b)], first.schema)).collect()
+    assert {r["file_key"]: r["chunks_new"] for r in two}["b"] == 0 and 0 < max(r["chunks_new"] for r in two) <= 4
+    assert box.blobs.count() == box.blobs.select("key").distinct().count() and box.manifests.count() == 4
+    assert box.stats().first()["files_stored"] == 6
+    ids = {r["file_key"]: r["file_id"] for r in [*one.values(), *two]}
+    parts = box.restore(spark.createDataFrame([(ids["a2"],), (ids["b"],), ("../x",), ("unknown",)], "file_id string")).collect()
+    whole: dict = {}
+    for r in sorted(parts, key=lambda r: r["seq"]):
+        whole[r["file_id"]] = whole.get(r["file_id"], b"") + bytes(r["content"])
+    assert whole == {ids["a2"]: edited, ids["b"]: b}
+
+
+@pytest.mark.parametrize("segment", [1000, 50_000])
+def test_chunks_of_blobs_beyond_a_row(spark, tmp_path, segment):
+    from chunkyard.operators import chunking, ingest
+
+    rng = np.random.default_rng(4)
+    contents = {"x": rng.bytes(123_457), "y": bytes(30_000), "z": b"", "one": b"a"}
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    blobs = spark.createDataFrame([(k, f"file://{tmp_path}/{k}", len(v)) for k, v in contents.items()], "file_key string, uri string, size bigint")
+    files = spark.createDataFrame([(k, bytearray(v)) for k, v in contents.items()], "file_key string, content binary")
+    want = chunking.hashed(chunking.chunk_files(files, 256, 1024, 4096)).select("file_key", "seq", "offset", "length", "hash")
+    assert sorted(map(tuple, ingest.chunk_blobs(blobs, 256, 1024, 4096, segment).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_ingest_rejects(spark):
+    from chunkyard.operators import ingest
+    from chunkyard.sources import objects, shards
+
+    body = objects.build([b"one", b"two"])
+    own = hashes.to_hex(objects.derive_footer(body).object_hash)
+    rows = [(1, "default", own, body), (2, "default", own, body), (3, "default", own, body + b"?"), (4, "default", "f" * 64, body), (5, "default", "short", body), (6, None, own, body), (7, "default", own.upper(), body + bytes(200)), (8, "default", own, None)]
+    status, new = ingest.ingest_objects(spark.createDataFrame(rows, "upload bigint, prefix string, claimed string, body binary"), spark.createDataFrame([], "object_key string"), most=100)
+    assert {r["upload"]: r["status"] for r in status.collect()} == {1: "inserted", 2: "present", 3: "malformed", 4: "hash_mismatch", 5: "bad_hash", 6: "bad_prefix", 7: "too_large", 8: "malformed"}
+    (got,) = new.collect()
+    assert got["object_key"] == own and len(got["chunk_hashes"]) == 2
+    f = [shards.FileRecord(bytes([i]) * 32, [(b"o" * 32, 0, 10 * i, 0, 1)], sha256=bytes([9]) * 32) for i in (1, 2)]
+    x = [shards.ObjectRecord(b"o" * 32, [(b"c" * 32, 0, 10, 0)])]
+    later = [shards.FileRecord(bytes([1]) * 32, [(b"o" * 32, 0, 77, 0, 1)])]
+    sent = [(1, shards.write_shard(f, x)), (2, b"junk"), (3, shards.write_shard(later, x)), (4, shards.write_shard(f, x)[:-1]), (5, bytes(5000)), (6, shards.write_shard(f, x))]
+    out = ingest.ingest_shards(spark.createDataFrame([(i, bytearray(b)) for i, b in sent[:3] + sent[4:5]], "upload bigint, body binary"), most=4000)
+    assert {r["upload"]: r["status"] for r in out.status.collect()} == {1: "ok", 2: "malformed", 3: "ok", 5: "too_large"}
+    assert {(bytes(r["file"])[0], r["unpacked"]) for r in out.terms.collect()} == {(1, 77), (2, 20)}
+    assert [bytes(r["file_hash"])[0] for r in out.bridge.collect()] in ([1], [2]) and out.bodies.count() == 2
+    (c,) = out.chunk_index.collect()
+    assert bytes(c["shard_hash"]) == hashes.leaf_hashes([sent[0][1]])[0]
+    twice = ingest.ingest_shards(spark.createDataFrame([(i, bytearray(b)) for i, b in (sent[0], sent[5])], "upload bigint, body binary"))
+    assert twice.bodies.count() == 1 and twice.status.filter("status = 'ok'").count() == 2
+
+
+def test_request_bodies(spark):
+    from chunkyard.operators import requests as hub
+
+    bodies = ['{"operation":"upload","objects":[]}', ' {"operation":null} \n', '{"operation":"a"}{}', '{"operation":"a"},{"operation":"b"}', "", None, "null", "[]", "{", '{"operation":"a"} x', '{"operation":"' + "x" * 400 + '"}']
+    got = hub.decode_requests(spark.createDataFrame(list(enumerate(bodies)), "request int, body string"), hub.BATCH, most=300).collect()
+    assert {r["request"]: r["status"] for r in got} == {0: "ok", 1: "ok", **dict.fromkeys(range(2, 10), "malformed"), 10: "too_large"}
+    issued = hub.issued_tokens(spark.createDataFrame([(1,), (2,)], "request int"), F.lit("2024-01-01 00:00:00").cast("timestamp"), "https://x").collect()
+    assert len({r["access_token"] for r in issued}) == 2 and all(len(r["access_token"]) == 32 and r["expires"] == 1704067200 + 3600 and r["cas_url"] == "https://x" for r in issued)
+    assert len(spark.range(1).select(hub.commit_oid(F.col("id"), "s").alias("o")).first()["o"]) == 40
+
+
+def test_tree_by_ancestors(spark):
+    from chunkyard.operators import catalog
+
+    files = spark.createDataFrame([("model", "o/n", "main", p, "s", 1, None) for p in ("a/b/c", "a/b", "a/bc", "/x/y", "d")], "repo_type string, repo_id string, revision string, path string, sha256_hex string, size bigint, content_hash string")
+    asked = [("all", ""), ("none", None), ("folder", "a"), ("file", "a/b"), ("slash", "a/"), ("deep", "a/b/c"), ("root", "/x"), ("gone", "z")]
+    got: dict = {}
+    for r in catalog.tree(files, spark.createDataFrame([(n, "model", "o/n", "", p) for n, p in asked], "request string, repo_type string, repo_id string, revision string, prefix string")).collect():
+        got.setdefault(r["request"], []).append(r["path"])
+    every = ["/x/y", "a/b", "a/b/c", "a/bc", "d"]
+    assert got == {"all": every, "none": every, "folder": ["a/b", "a/b/c", "a/bc"], "file": ["a/b", "a/b/c"], "deep": ["a/b/c"], "root": ["/x/y"]}
+
+
+def test_eviction_of_objects_never_read(spark):
+    objects = spark.range(3000).select("id", F.lit("1970-01-01").cast("timestamp").alias("last_access"), F.lit(10).cast("bigint").alias("size")).withColumnRenamed("id", "key")
+    plan = lifecycle.eviction_plan(objects, 10_000).collect()
+    assert sorted((r["key"], r["freed_before"]) for r in plan) == [(i, 10 * i) for i in range(2000)]
+
+
+def test_index_streams(spark, tmp_path):
+    from chunkyard.streaming import stateful
+
+    schema = "path string, seq bigint, size bigint"
+    spark.createDataFrame([("a", 1, 10), ("b", 2, 20), ("a", 3, 30)], schema).write.parquet(f"{tmp_path}/in")
+    kept = lambda last: {r["path"]: r["size"] for r in stateful.current_rows(spark, f"{tmp_path}/{last}", ["path"], "seq", last).collect()}
+    for last in (True, False):
+        for _ in range(2):
+            stateful.ingest_rows_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/{last}", ["path"], "seq", f"{tmp_path}/c{last}", last).awaitTermination()
+    assert kept(True) == {"a": 30, "b": 20} and kept(False) == {"a": 10, "b": 20}
+    spark.createDataFrame([("b", 9, 90)], schema).write.mode("append").parquet(f"{tmp_path}/in")
+    stateful.ingest_rows_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/True", ["path"], "seq", f"{tmp_path}/cTrue").awaitTermination()
+    assert kept(True) == {"a": 30, "b": 90}
+    stateful.snapshot_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), lambda: {"files": stateful.current_rows(spark, f"{tmp_path}/True", ["path"], "seq")}, f"{tmp_path}/snap", 2, f"{tmp_path}/cs", None).awaitTermination()
+    assert lifecycle.load_snapshot(spark, f"{tmp_path}/snap", 2)["files"].count() == 2
