@@ -88,6 +88,12 @@ def keep_rows(docs: DataFrame, decided: DataFrame, key: Column) -> DataFrame:
     return keyed.join(few(out), same, "left_anti").select(*docs.columns).unionByName(picked.select(f"{of}.*"))
 
 
+def giving_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what Arrow has freed meanwhile goes back to the system at the end, as workers live on."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
     """Slices of rows with equal first `keys` columns, from batches sorted by them; a run over several batches comes in several slices."""
     for batch in batches:

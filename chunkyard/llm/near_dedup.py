@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from chunkyard.llm.common import BROADCAST_ROWS, bounded_batches, byte_values, in_batches, keep_rows, runs, sorted_groups, written
+from chunkyard.llm.common import BROADCAST_ROWS, bounded_batches, byte_values, giving_back, in_batches, keep_rows, runs, sorted_groups, written
 from chunkyard.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -101,7 +101,7 @@ def set_key(s: np.ndarray) -> bytes | None:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in giving_back(batches):
         n, keys, bands, texts = [], [], [], []
         for text in byte_values(batch.column(1)):
             s = shingles(text)
@@ -160,7 +160,7 @@ def forest(clusters: list, sets: list[np.ndarray], bands: np.ndarray | None = No
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes]]:
     """Rows (group, low, high, node, cluster, bands or null, shingles), sorted: the links of each pair of blocks."""
-    for _, parts in sorted_groups(batches, 3):
+    for _, parts in sorted_groups(giving_back(batches), 3):
         nodes, clusters, bands, sets = ([x for p in parts for x in p.column(i).to_pylist()] for i in (3, 4, 5, 6))
         once = list({x: i for i, x in enumerate(nodes)}.values())
         shared = np.asarray([bands[i] for i in once]) if bands[once[0]] is not None else None
@@ -171,7 +171,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes
 def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes]]:
     """Rows (center, salt, is_member, node, shingles), sorted: links of members with their centre."""
     of, center = None, np.zeros(0, np.uint64)
-    for key, part in runs(batches, 3):
+    for key, part in runs(giving_back(batches), 3):
         if not key[2]:
             of, center = key[:2], np.frombuffer(part.column(4)[0].as_py(), np.uint64)
         elif key[:2] == of:
@@ -194,8 +194,14 @@ def _with_nodes(docs: DataFrame, signed: DataFrame, block: int, most_blocks: int
     twice = written(sets.groupBy("low").count().filter("count > 1").select(F.col("low").alias("_cy_low"), F.lit(True).alias("_cy_twice")), "repeated-ids")
     told = sets.join(F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice, F.col("low").eqNullSafe(F.col("_cy_low")), "left")
     reps = told.select("set_key", node_of(F.col("low"), F.when(F.col("_cy_twice"), F.col("set_key")).otherwise(F.lit(b""))).alias("node"), "low", "bands", "n")
-    found = components(_links(docs, reps, block, most_blocks))
-    of_set = reps.select("set_key", "node").join(found, "node", "left").select(F.col("set_key").alias("_cy_key"), F.coalesce("component", "node").alias("component"))
+    clusters, links = _links(docs, reps, block, most_blocks)
+    own = reps.select("set_key", "node").join(clusters.select("node", F.col("component").alias("cluster")), "node", "left").select(F.col("set_key").alias("_cy_key"), F.coalesce("cluster", "node").alias("cluster"))
+    if links is None:
+        of_set = own.withColumnRenamed("cluster", "component")
+    else:
+        ends = links.join(clusters.select(F.col("node").alias("u"), F.col("component").alias("a")), "u", "left").join(clusters.select(F.col("node").alias("v"), F.col("component").alias("b")), "v", "left")
+        found = components(ends.select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v")))
+        of_set = own.join(found, F.col("cluster") == F.col("node"), "left").select("_cy_key", F.coalesce("component", "cluster").alias("component"))
     worded = signed.filter("set_key is not null").join(of_set, F.col("set_key") == F.col("_cy_key")).drop("_cy_key", "bands")
     return worded.unionByName(signed.filter("set_key is null").drop("bands").withColumn("component", F.lit(None).cast("binary")))
 
@@ -213,7 +219,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in giving_back(batches):
             texts = byte_values(batch.column(0))
             for a in range(0, len(texts), 256):
                 some = {set_key(s): s.tobytes() for s in map(shingles, texts[a : a + 256]) if len(s)}
@@ -227,8 +233,8 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return texts.mapInArrow(made, "set_key binary, shingles binary")
 
 
-def _links(docs: DataFrame, reps: DataFrame, block: int, most_blocks: int) -> DataFrame:
-    """Confirmed links that connect all that links of pairs with a common band connect."""
+def _links(docs: DataFrame, reps: DataFrame, block: int, most_blocks: int) -> tuple[DataFrame, DataFrame | None]:
+    """Clusters (node, component) of the stars, and confirmed links between nodes of different clusters: together they connect all that links of pairs with a common band connect."""
     every = reps.select("node", "n", F.explode("bands").alias("bucket"))
     shared = every.groupBy("bucket").agg(F.count("*").alias("members"), F.min("node").alias("center")).filter("members > 1")
     banded = written(every.join(shared, "bucket").select("bucket", "node", "n", "center"), "buckets")
@@ -252,8 +258,8 @@ def _links(docs: DataFrame, reps: DataFrame, block: int, most_blocks: int) -> Da
     once = left.filter("one <> two").groupBy("all").agg(F.min("bucket").alias("bucket"), F.min("first").alias("first"))  # buckets of the same nodes count once
     open_ = written(rest.join(once.select("bucket", "first"), "bucket"), "open-buckets")
     if not open_.limit(1).count():
-        return stars
-    return stars.unionByName(_between(docs, reps, open_, block, most_blocks))
+        return clusters, None
+    return clusters, written(_between(docs, reps, open_, block, most_blocks), "cross-links")
 
 
 def _between(docs: DataFrame, reps: DataFrame, members: DataFrame, block: int, most_blocks: int) -> DataFrame:

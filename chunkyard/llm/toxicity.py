@@ -146,7 +146,7 @@ class ToxicityModel:
 
     def score(self, text: str | None) -> float:
         known, found = self.known, Counter()
-        if len(known) > 150_000:
+        if len(known) > 60_000:
             known.clear()
         for word in words_of(text):
             own = known.get(word)
