@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkyard.functions.paths import split_repo_path
-
 BATCH = "operation string, objects array<struct<oid:string,size:bigint>>"
 REPO = "type string, name string, organization string"
 PREUPLOAD = "files array<struct<path:string,size:bigint>>"
@@ -37,27 +35,23 @@ def _fields(schema: str) -> list[str]:
     return [*out, schema[start:].strip()]
 
 
+#: Type (plural), namespace, name, verb, revision and the rest of a call.
+CALL = r"^/?api/([^/]*?)s?/([^/]+)/([^/]+)/([^/]+)/([^/]*)(?:/(.*))?$"
+
+
 def route(method: Column, path: Column) -> Column:
     """(handler, scope, repo_type, repo_id, revision, path) of a call below /api/; a null handler is not found."""
-    clean = F.regexp_replace(path, "^/?api/", "")
-    parts = split_repo_path(clean)
-    tail = F.split(parts["rest"], "/")
-    verb = F.get(tail, F.lit(0))
-    deep = F.size(tail) >= 2
-    get = F.when(deep & verb.isin("read-token", "write-token", "revision", "tree"), verb)
-    post = F.when(clean == "repos/create", "create").when(deep & verb.isin("preupload", "commit", "branch"), verb)
-    handler = F.when(method == "GET", get).when(method == "POST", post)
-    scope = F.when(handler.isNotNull(), F.when((method == "POST") | (handler == "write-token"), "write").otherwise("read"))
-    repo = (handler != "create") & (parts["namespace"] != "") & (parts["name"] != "")
-    named = lambda c: F.when(repo, c)
-    rest = F.array_join(F.slice(tail, 3, F.greatest(F.size(tail) - 2, F.lit(0))), "/")
+    group = lambda i: F.regexp_extract(path, CALL, i)
+    creates = (method == "POST") & path.rlike("^/?api/repos/create$")
+    known = ((method == "GET") & group(4).isin("read-token", "write-token", "revision", "tree")) | ((method == "POST") & group(4).isin("preupload", "commit", "branch"))
+    named = lambda c: F.when(known, c)
     return F.struct(
-        F.when((handler == "create") | repo, handler).alias("handler"),
-        F.when((handler == "create") | repo, scope).alias("scope"),
-        named(parts["repo_type"]).alias("repo_type"),
-        named(F.concat_ws("/", parts["namespace"], parts["name"])).alias("repo_id"),
-        named(F.get(tail, F.lit(1))).alias("revision"),
-        named(rest).alias("path"),
+        F.when(creates, "create").when(known, group(4)).alias("handler"),
+        F.when(creates, "write").when(known, F.when((method == "POST") | (group(4) == "write-token"), "write").otherwise("read")).alias("scope"),
+        named(group(1)).alias("repo_type"),
+        named(F.concat_ws("/", group(2), group(3))).alias("repo_id"),
+        named(group(5)).alias("revision"),
+        named(group(6)).alias("path"),
     )
 
 
