@@ -135,3 +135,29 @@ def signing_key(secret: str, day: str, region: str, service: str) -> bytes:
     for part in (day, region, service, "aws4_request"):
         key = hmac.new(key, part.encode(), hashlib.sha256).digest()
     return key
+
+
+def canonical_uri(path: Column) -> Column:
+    """The path of a signed request: encoded but for its slashes, / where empty."""
+    return F.when(F.coalesce(path, F.lit("")) == "", "/").otherwise(percent_encoded(path, keep_slash=True))
+
+
+def signature(key: bytes, text: str) -> str:
+    """Of a string to sign."""
+    return hmac.new(key, text.encode(), hashlib.sha256).hexdigest()
+
+
+def first_token(given: Column, *others: Column) -> Column:
+    """The token given, unless it is empty or the word None, else the first of the others that is not empty, else what was given."""
+    some = lambda c: F.nullif(c, F.lit(""))
+    return F.coalesce(F.nullif(some(given), F.lit("None")), *map(some, others), given)
+
+
+def base_url(scheme: Column, host: Column) -> Column:
+    """The address under which a request came; https only where the scheme says so."""
+    return F.concat(F.when(F.lower(scheme) == "https", "https").otherwise("http"), F.lit("://"), host)
+
+
+def repo_path(repo_type: Column, repo_id: Column) -> Column:
+    """The path of a repository below /api/."""
+    return F.concat(repo_type, F.lit("s/"), repo_id)

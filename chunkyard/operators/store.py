@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkyard.functions.hashes import file_id
@@ -12,6 +12,13 @@ ROUND = 256 << 10
 TEMP_MARK = ".tmp-"
 
 
+def read_blobs(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """key (the file's name), size, modified, content of the files below a folder; what a query doesn't ask for isn't read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    files = (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
+    return files.select(F.substring_index("path", "/", -1).alias("key"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
+
+
 def existing(keys: DataFrame, blobs: DataFrame, key: str = "key") -> DataFrame:
     return keys.join(blobs.select(key), key, "left_semi")
 

@@ -172,4 +172,7 @@ FROM clipped WHERE request IN (SELECT request FROM good) WINDOW o AS (PARTITION
     "forget_keys": f"WITH {USERS} SELECT DISTINCT CAST(key % 64 AS BIGINT) AS shard_hash FROM users WHERE key NOT IN (SELECT key FROM plan)",
     "chunk_boundaries": """SELECT CAST(doc_id // 4 AS VARCHAR) AS object_key, row_number() OVER w - 1 AS chunk_index, CAST(sum(octet_length(encode(text))) OVER w AS BIGINT) AS unpacked, true AS ends_where_scanned
 FROM documents WHERE length(text) > 0 WINDOW w AS (PARTITION BY doc_id // 4 ORDER BY doc_id)""",
+    "stored_footers": """SELECT CAST(doc_id // 4 AS VARCHAR) AS object_key, count(*) AS chunks, CAST(sum(octet_length(encode(text))) AS BIGINT) AS unpacked, true AS as_derived FROM documents WHERE length(text) > 0 GROUP BY 1""",
+    "signed_requests": """SELECT page_id, '/a%20b/' || CAST(page_id AS VARCHAR) || '~/%C3%A9%2A' AS uri, 'b%20c=1%2F2&z=' || CAST(page_id AS VARCHAR) AS query, CASE WHEN page_id % 2 = 0 THEN 'env' ELSE 't' END AS token FROM pages""",
+    "merkle_leaf_table": f"SELECT min(doc_id) AS first, count(*) AS copies FROM documents WHERE length(text) > 0 GROUP BY {BODY}",
 }

@@ -535,6 +535,30 @@ def chunk_boundaries(spark, sf_dir):
     return objects.cumulative_offsets(scanned).select("object_key", F.col("chunk_index").cast("bigint").alias("chunk_index"), "unpacked", (F.col("boundary") == F.col("data_offset") + F.col("compressed_length")).alias("ends_where_scanned"))
 
 
+def stored_footers(spark, sf_dir):
+    """Footers that objects end with, against those derived from their chunks."""
+    d = table(spark, sf_dir, "documents").filter("length(text) > 0")
+    chunks = d.select(F.floor(F.col("doc_id") / 4).cast("string").alias("object_key"), (F.col("doc_id") % 4).alias("seq"), chunking.to_bytes(F.col("text")).alias("data"))
+    built = written(objects.build_objects(chunks, codecs.GROUPED_LZ4, with_footer=True), "with-footers")
+    said, own = objects.stored_footers(built), objects.object_footers(built).select("object_key", F.col("object_hash").alias("own_hash"), F.col("boundaries").alias("own_boundaries"))
+    both = said.join(own, "object_key")
+    return both.select("object_key", F.size("chunk_hashes").cast("bigint").alias("chunks"), F.element_at("unpacked", -1).alias("unpacked"), ((F.col("object_hash") == F.col("own_hash")) & (F.col("boundaries") == F.col("own_boundaries"))).alias("as_derived"))
+
+
+def signed_requests(spark, sf_dir):
+    """Canonical paths and queries of the pages' addresses."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("/a b/"), F.col("page_id").cast("string"), F.lit("~/é*")).alias("path"))
+    pairs = F.array(F.struct(F.lit("z").alias("k"), F.col("page_id").cast("string").alias("v")), F.struct(F.lit("b c").alias("k"), F.lit("1/2").alias("v")))
+    return p.select("page_id", paths.canonical_uri(F.col("path")).alias("uri"), paths.canonical_query(pairs).alias("query"), paths.first_token(F.when(F.col("page_id") % 2 == 0, "None").otherwise("t"), F.lit(""), F.lit("env")).alias("token"))
+
+
+def merkle_leaf_table(spark, sf_dir):
+    """Files whose hash equals that of another file, by the tree over their chunks: the groups of equal contents."""
+    h = merkle_file_hash(spark, sf_dir).select(F.col("file_key").cast("bigint").alias("doc_id"), "file_hash", "chunks")
+    groups = h.filter("chunks > 0").groupBy("file_hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    return groups.select("first", "copies")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -544,6 +568,7 @@ QUERIES = {
         parse_resolve_path, parse_byte_range, lfs_preupload, lfs_batch, commit_files, dedup_lookup, hash_hex_transform, truncated_key_order, byte_grouping,
         chunk_stream_decode, object_footers, merkle_file_hash, shard_roundtrip, ingest_objects, ingest_shards, ingested_terms, ingested_chunk_index, decode_requests,
         route_requests, tree_pages, token_records, recon_term_fetches, manifest_json, truncated_lookup, forget_keys, chunk_boundaries,
+        stored_footers, signed_requests, merkle_leaf_table,
     )
 }
 from chunkyard.plans.oracles import ORACLE_SQL  # noqa: E402

@@ -178,12 +178,32 @@ def object_footers(objects: DataFrame) -> DataFrame:
     return objects.select("object_key", "body").mapInPandas(rows, FOOTERS)
 
 
-def build_objects(chunks: DataFrame, scheme: int = 0) -> DataFrame:
+def stored_footers(objects: DataFrame) -> DataFrame:
+    """Footers that objects (object_key, body) end with, as they say; none is an error of its row, as is a malformed one."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for key, body in zip(frame["object_key"], frame["body"]):
+                try:
+                    data, end = bytes(body or b""), 0
+                    for _, compressed, _, _, _, at in scan(data):
+                        end = at + compressed
+                    f = parse_footer(data, end)
+                    out.append((key, f.object_hash, f.chunk_hashes, f.boundaries, f.unpacked, None))
+                except FormatError as e:
+                    out.append((key, None, None, None, None, str(e)))
+            yield pd.DataFrame(out, columns=["object_key", "object_hash", "chunk_hashes", "boundaries", "unpacked", "error"])
+
+    return objects.select("object_key", "body").mapInPandas(rows, FOOTERS)
+
+
+def build_objects(chunks: DataFrame, scheme: int = 0, with_footer: bool = False) -> DataFrame:
     """(object_key, body) of chunks (object_key, seq, data), one object a key; an object is bounded by its format."""
 
     def rows(key, frame: pd.DataFrame) -> pd.DataFrame:
         ordered = frame.sort_values("seq")
-        return pd.DataFrame({"object_key": [key[0]], "body": [build([bytes(x) for x in ordered["data"]], scheme)]})
+        return pd.DataFrame({"object_key": [key[0]], "body": [build([bytes(x) for x in ordered["data"]], scheme, with_footer)]})
 
     return chunks.select("object_key", "seq", "data").groupBy("object_key").applyInPandas(rows, "object_key string, body binary")
 

@@ -78,6 +78,11 @@ def sweep(objects: DataFrame, budget: int, remove: Callable[[DataFrame], None])
     return plan
 
 
+def sweep_stream(log: DataFrame, objects: Callable[[], DataFrame], budget: int, remove: Callable[[DataFrame], None], checkpoint: str, every: str | None = "1 minute") -> StreamingQuery:
+    """A sweep over the objects as they are whenever the access log has grown by a trigger."""
+    return each_batch(log, lambda batch, _: sweep(objects(), budget, remove) and None, checkpoint, every)
+
+
 def snapshot_stream(changes: DataFrame, tables: Callable[[], dict[str, DataFrame]], root: str, version: int, checkpoint: str, every: str | None = "1 minute") -> StreamingQuery:
     """Saves the tables each time that changes arrive within a trigger's interval; without an interval, once for all that is there, as at a shutdown."""
     return each_batch(changes, lambda batch, _: None if batch.isEmpty() else save_snapshot(tables(), root, version), checkpoint, every)

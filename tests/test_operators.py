@@ -293,3 +293,55 @@ def test_index_streams(spark, tmp_path):
     assert kept(True) == {"a": 30, "b": 90}
     stateful.snapshot_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), lambda: {"files": stateful.current_rows(spark, f"{tmp_path}/True", ["path"], "seq")}, f"{tmp_path}/snap", 2, f"{tmp_path}/cs", None).awaitTermination()
     assert lifecycle.load_snapshot(spark, f"{tmp_path}/snap", 2)["files"].count() == 2
+
+
+def test_blobs_of_a_folder(spark, tmp_path):
+    (tmp_path / "aa").mkdir()
+    (tmp_path / "aa" / "one").write_bytes(b"abc")
+    (tmp_path / "two.tmp-1").write_bytes(b"later")
+    got = store.read_blobs(spark, str(tmp_path))
+    assert {(r["key"], r["size"], bytes(r["content"])) for r in got.collect()} == {("one", 3, b"abc"), ("two.tmp-1", 5, b"later")}
+    assert store.read_blobs(spark, str(tmp_path), "one").count() == 1
+    listing = got.select(F.col("key").alias("name"), "size", "modified")
+    assert tuple(store.total_bytes(listing).first()) == (3, 1)
+    assert store.stale_temps(listing, F.current_timestamp() + F.expr("interval 1 hour")).count() == 1
+    assert store.delete_keys(got, spark.createDataFrame([("one",), ("none",)], "key string")).select("key").first()[0] == "two.tmp-1"
+
+
+def test_tokens_and_addresses(spark):
+    one = spark.range(1)
+    pick = lambda c: one.select(c.alias("x")).first()["x"]
+    assert pick(paths.canonical_uri(F.lit(""))) == "/" and pick(paths.canonical_uri(F.lit("/a/b c"))) == "/a/b%20c"
+    assert [pick(paths.first_token(F.lit(g), F.lit(e))) for g, e in (("t", "e"), ("None", "e"), ("", "e"), ("None", ""))] == ["t", "e", "e", "None"]
+    assert pick(paths.base_url(F.lit("HTTPS"), F.lit("h:1"))) == "https://h:1" and pick(paths.base_url(F.lit(None).cast("string"), F.lit("h"))) == "http://h"
+    assert pick(paths.repo_path(F.lit("dataset"), F.lit("o/n"))) == "datasets/o/n" and pick(paths.object_url("http://x/", "default", F.lit("ab"))).endswith("/default/ab")
+    assert [pick(paths.resolve_prefix(F.lit(t))) for t in ("dataset", "space", "model")] == ["datasets/", "spaces/", ""]
+    assert pick(paths.repo_id_before(F.lit("o/n/info/lfs"), "/info/lfs")) == "o/n" and pick(paths.repo_id_before(F.lit("n/info/lfs"), "/info/lfs")) is None
+    assert pick(paths.cache_key(F.lit("a"), F.lit("b"))) == "a\0b"
+    key = paths.signing_key("wJalrXUtnFEMI/K7MDENG+bPxRfiCYEXAMPLEKEY", "20150830", "us-east-1", "iam")
+    said = "AWS4-HMAC-SHA256\n20150830T123600Z\n20150830/us-east-1/iam/aws4_request\nf536975d06c0309214f805bb90ccff089219ecd68b2577efef23edd43b7e1a59"
+    assert paths.signature(key, said) == "5d672d79c15b13162d9279b0855cfba6789a8edb4c82c400e06b5924a6f2b5d7"
+    now = F.lit("2024-01-01").cast("timestamp")
+    assert [pick(lifecycle.usable_stale_token(F.unix_timestamp(now) + n, now)) for n in (60, 61)] == [False, True]
+
+
+def test_repositories_and_branches(spark):
+    revisions = spark.createDataFrame([("model", "o/n", "main", "c0")], "repo_type string, repo_id string, revision string, commit_oid string")
+    asked = spark.createDataFrame([("model", "o/n", "v1"), ("model", "o/n", "v1"), ("model", "o/n", "main")], "repo_type string, repo_id string, revision string")
+    got = sorted((r["revision"], r["commit_oid"]) for r in catalog.create_branches(revisions, asked).collect())
+    assert [g[0] for g in got] == ["main", "v1"] and got[0][1] == "c0"
+    rows = spark.createDataFrame([("file", "a"), ("directory", "b")], "type string, path string")
+    assert [r["path"] for r in catalog.only_files(rows).collect()] == ["a"]
+
+
+def test_sweeps_and_access_on_streams(spark, tmp_path):
+    schema = "key bigint, ts timestamp, delta int"
+    spark.createDataFrame([(i, T0 + dt.timedelta(days=i), 1) for i in range(5)] + [(0, T0 + dt.timedelta(days=9), -1)], schema).write.parquet(f"{tmp_path}/log")
+    log = lambda: spark.readStream.schema(schema).parquet(f"{tmp_path}/log")
+    objects = lambda: spark.read.parquet(f"{tmp_path}/log").groupBy("key").agg(F.max("ts").alias("last_access"), F.lit(10).cast("bigint").alias("size"))
+    swept = []
+    stateful.sweep_stream(log(), objects, 20, lambda plan: swept.extend(r["key"] for r in plan.collect()), f"{tmp_path}/c", None).awaitTermination()
+    assert sorted(swept) == [1, 2, 3]
+    query = stateful.access_stream(log()).writeStream.outputMode("complete").format("memory").queryName("accessed").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {r["key"]: r["in_flight"] for r in spark.table("accessed").collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1}
