@@ -47,7 +47,7 @@ def request_windows(requests: DataFrame, sizes: DataFrame) -> DataFrame:
 def _asked_terms(windows: DataFrame, terms: DataFrame) -> DataFrame:
     """The terms in each request's window; running offsets are summed for asked files only."""
     asked = windows.filter(F.col("status") == OK).select("request", "file", "start", "stop")
-    spans = term_spans(terms.join(asked.select("file").distinct(), "file", "left_semi"))
+    spans = term_spans(terms.join(asked.select("file"), "file", "left_semi"))
     return asked.join(spans, "file").filter(overlaps(F.col("start"), F.col("stop")))
 
 

@@ -50,8 +50,8 @@ def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unique_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One term for each (file, ord)."""
-    return terms(spark, sf_dir).groupBy("file", "ord", "object").agg(F.sum("unpacked").alias("unpacked"), F.min("chunk_start").alias("chunk_start"), F.max("chunk_end").alias("chunk_end"))
+    """One term for each (file, ord), dealt by file once: sizes, running offsets and joins by file all use that."""
+    return terms(spark, sf_dir).repartition("file").groupBy("file", "ord", "object").agg(F.sum("unpacked").alias("unpacked"), F.min("chunk_start").alias("chunk_start"), F.max("chunk_end").alias("chunk_end"))
 
 
 def footers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,11 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconstruction.request_windows(requests(spark, sf_dir), reconstruction.file_sizes(unique_terms(spark, sf_dir)))
 
 
+def held_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows, which a response needs twice, computed once; there are as many as requests."""
+    return written(windows(spark, sf_dir), "windows")
+
+
 def stored_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk streams of four texts each, the texts being chunks."""
     d = table(spark, sf_dir, "documents").filter("length(text) > 0")
@@ -169,27 +174,27 @@ def recon_range_status(spark, sf_dir):
 
 
 def recon_v1_terms(spark, sf_dir):
-    w = windows(spark, sf_dir)
+    w = held_windows(spark, sf_dir)
     v1 = reconstruction.build_v1(w, reconstruction.clipped_terms(w, unique_terms(spark, sf_dir), footers(spark, sf_dir)))
     return v1.filter("status = 'ok'").select("request", "offset_into_first_range", F.inline("terms")).select("request", F.col("offset_into_first_range").cast("bigint").alias("offset_into_first_range"), "ord", "object", "unpacked")
 
 
 def recon_v1_fetch(spark, sf_dir):
-    w = windows(spark, sf_dir)
+    w = held_windows(spark, sf_dir)
     v1 = reconstruction.build_v1(w, reconstruction.clipped_terms(w, unique_terms(spark, sf_dir), footers(spark, sf_dir)))
     rows = v1.filter("status = 'ok'").select("request", F.explode("fetch_info").alias("object", "fetch")).select("request", "object", F.inline("fetch"))
     return rows.select("request", "object", "ord", F.col("url_range.start").alias("byte_start"), F.col("url_range.stop").alias("byte_stop"))
 
 
 def recon_v2_groups(spark, sf_dir):
-    w = windows(spark, sf_dir)
+    w = held_windows(spark, sf_dir)
     v2 = reconstruction.build_v2(w, reconstruction.clipped_terms(w, unique_terms(spark, sf_dir), footers(spark, sf_dir)))
     rows = v2.filter("status = 'ok'").select("request", F.explode("objects").alias("object", "ranges"))
     return rows.select("request", "object", F.size("ranges").cast("bigint").alias("n_ranges"), F.array_min(F.transform("ranges", lambda r: r["url_range"]["start"])).alias("first_byte"))
 
 
 def recon_status(spark, sf_dir):
-    return reconstruction.request_status(windows(spark, sf_dir), unique_terms(spark, sf_dir), footers(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("requests"))
+    return reconstruction.request_status(held_windows(spark, sf_dir), unique_terms(spark, sf_dir), footers(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("requests"))
 
 
 def cacheable_files(spark, sf_dir):
@@ -496,7 +501,7 @@ def token_records(spark, sf_dir):
 
 def recon_term_fetches(spark, sf_dir):
     """Terms with the fetches of their object by first byte, and whether any starts at the beginning of its object."""
-    w = windows(spark, sf_dir)
+    w = held_windows(spark, sf_dir)
     v1 = reconstruction.build_v1(w, reconstruction.clipped_terms(w, unique_terms(spark, sf_dir), footers(spark, sf_dir)))
     rows = reconstruction.term_fetches(v1.filter("status = 'ok'"))
     by_start = reconstruction.ranges_by_start(F.col("fetches"))
