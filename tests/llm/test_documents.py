@@ -427,6 +427,13 @@ def test_licenses(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_of_repeated_rows_and_long_texts(spark):
+    body = licenses.TEMPLATES["GPL-3.0-notice"]
+    rows = [(None, body, None, None, None), (1, body, None, None, None), (1, body, None, None, None), (2, "w " * 100_000 + body + " w" * 100_000, None, None, None), (3, "w " * 200_000, None, None, None)]
+    got = sorted((r["doc_id"] or -1, r["license"], r["first_word"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(-1, "GPL-3.0-notice", 0), (1, "GPL-3.0-notice", 0), (1, "GPL-3.0-notice", 0), (2, "GPL-3.0-notice", 100_000)]
+
+
 def test_license_recall_under_edits(spark):
     """Long notices with words changed, dropped and added at every rate up to a quarter: of those that still hold 75 % of the shingles, at least 0.9 are found."""
     rng = random.Random(12)
