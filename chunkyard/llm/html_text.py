@@ -12,8 +12,9 @@ node with the largest sum is the seed, and the smallest density on the path from
 subtree that reaches it and has the largest sum of its branch is taken, widened to the article element around it.
 Navigation, page headers, footers, asides, controls, scripts, styles and hidden elements are cut from the tree beforehand and so
 have no part in any density. A form, or an element of which a class, the id or the role names boilerplate as a whole (sidebar,
-site-footer, post-comments, but not has-sidebar or content-sidebar-wrap), is cut as well, unless it holds an article or main
-element, or 1 / MINOR or more of the page's text outside links with no article elsewhere; the densities decide on those and on all other names.
+site-footer, post-comments, but not has-sidebar or content-sidebar-wrap), is cut as well, from the inside out, unless it holds an article
+or main element, or what is left of it is 1 / MINOR or more of the page's text outside links and no article lies beside it. Reader comments
+of any size go where the page has 1 / MINOR_BESIDE or more of that text outside all such names. The densities decide on the rest and on all other names.
 
 Texts come out in page order, a block each, joined by two line feeds; white space inside a block becomes one space and
 character references are decoded. Null or empty html, and pages without text, give an empty string; null ids and urls pass
@@ -60,15 +61,21 @@ HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertisements adsense advertising sponsor sponsored sponsors promo promos promotion promoted banner banners "
     "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer foot masthead comment comments commentlist disqus reply replies respond "
     "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup share sharing social related recommended "
-    "recommendations widget widgets login search pager pagination toolbar contentinfo complementary alert disclaimer paywall".split()
+    "recommendations widget widgets login search pager pagination toolbar contentinfo complementary alert disclaimer paywall "
+    "topbar topnav sidenav subnav submenu dropdown skip copyright colophon legal announcement notification notifications discussion leaderboard skyscraper".split()
 )
+READERS = frozenset("comment comments commentlist disqus discussion reply replies respond".split())
 ROLES_ON_TOP = frozenset(("header", "banner"))
 #: In a name, what makes it a state of the page or a frame around more; what may follow the word for boilerplate; names of content.
 STATES = frozenset("has have having with without no not is are and or show hide open closed enabled disabled after before above below".split())
-PLACES = frozenset("left right top bottom primary secondary main inner outer list links link item items area box block bar section container small large mobile desktop".split())
+PLACES = frozenset("left right top bottom primary secondary main inner outer list links link item items area box block bar section container small large mobile desktop slot unit zone placement placeholder".split())
+#: As PLACES, in names without a word of content.
+WRAPS = frozenset("wrap wrapper outer".split())
 CONTENT = frozenset("article articles content post posts entry hentry story main page body text".split())
 #: What is cut by its name holds less than 1 / MINOR of the page's text outside links.
 MINOR = 3
+#: Reader comments may hold any share, if this part of the text is outside all such names.
+MINOR_BESIDE = 10
 ARTICLE = frozenset(("article", "main"))
 
 #: What an end tag of a paragraph doesn't reach beyond; what keeps a paragraph open around a new block.
@@ -82,10 +89,10 @@ RAW_ENDS = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.I) for tag in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "cut", "named", "article", "chars", "tags", "linked", "links", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "cut", "named", "readers", "article", "chars", "tags", "linked", "links", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool, named: bool = False):
-        self.tag, self.parent, self.cut, self.named = tag, parent, cut, named
+    def __init__(self, tag: str, parent: Node | None, cut: bool, named: bool = False, readers: bool = False):
+        self.tag, self.parent, self.cut, self.named, self.readers = tag, parent, cut, named, readers
         self.article: Node | None = self if tag in ARTICLE else parent.article if parent else None
         self.parts: list[Node | str] = []
 
@@ -142,54 +149,60 @@ def names_boilerplate(names: str, hints: frozenset[str]) -> bool:
         words = [x.lower() for x in TOKEN.findall(name)]
         if len(words) == 1 and words[0] in CONTENT:
             return False
-        while len(words) > 1 and (words[-1] in PLACES or words[-1].isdigit() or len(words[-1]) == 1):
+        ends = PLACES if CONTENT.intersection(words) else PLACES | WRAPS
+        while len(words) > 1 and (words[-1] in ends or words[-1].isdigit() or len(words[-1]) == 1):
             words.pop()
         found = found or bool(words and words[-1] in hints and STATES.isdisjoint(words))
     return found
 
 
-def judge(tag: str, attributes: str, parent: Node) -> tuple[bool, bool]:
-    """Whether an element is cut whatever it holds, and whether its name is one for boilerplate."""
+def judge(tag: str, attributes: str, parent: Node) -> tuple[bool, bool, bool]:
+    """Whether an element is cut whatever it holds, whether its name is one for boilerplate, and whether for reader comments."""
     if tag in CUT:
-        return True, True
-    if tag in ("html", "body"):
-        return False, False
+        return True, True, False
     on_top = parent.article is None
     if tag == "header" and on_top:
-        return True, True
+        return True, True, False
     hints = HINTS | ROLES_ON_TOP if on_top else HINTS
-    named = tag == "form"
+    named, readers = tag == "form", False
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if tag not in ARTICLE:
             if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-                return True, True
+                return True, True, False
             if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                return True, True
+                return True, True, False
         if name in ("class", "id", "role"):
             named = named or names_boilerplate(value, hints)
-    return False, named
+            readers = readers or names_boilerplate(value, READERS)
+    return False, named, readers
 
 
 def cut_named(body: Node) -> None:
-    """Cuts what is named as boilerplate, if it holds no article, and lies beside one or holds a minor share of the text outside links."""
-    order, stack = [], [(body, False)]
-    while stack:
-        x, in_link = stack.pop()
-        in_link = in_link or x.tag == "a"
-        order.append((x, in_link))
-        stack.extend((p, in_link) for p in x.parts if not isinstance(p, str) and not p.cut)
+    """Cuts what is named as boilerplate, by the rule above."""
+    order, stack = [], [(body, False, False, 0)]
+    while stack:  # in a link, under a name for boilerplate, article and main elements around; in an article, none counts as beside
+        x, in_link, under, around = stack.pop()
+        in_link, under = in_link or x.tag == "a", under or x.named
+        order.append((x, in_link, under, around))
+        within = around if x.named else math.inf if x.tag == "article" else around + (x.tag == "main")
+        stack.extend((p, in_link, under, within) for p in x.parts if not isinstance(p, str) and not p.cut)
+    own: dict[int, int] = {}
     chars: dict[int, int] = {}
     holds: dict[int, bool] = {}  # an article or main element that is not itself named as boilerplate, as readers' comments are
-    for x, in_link in reversed(order):
+    for x, in_link, _, _ in reversed(order):
         kids = [p for p in x.parts if not isinstance(p, str) and not p.cut]
-        own = 0 if in_link else sum(len(p) - p.count(" ") - p.count("\n") for p in x.parts if isinstance(p, str))
-        chars[id(x)] = own + sum(chars[id(p)] for p in kids)
+        own[id(x)] = 0 if in_link else sum(_weight(p) for p in x.parts if isinstance(p, str))
+        chars[id(x)] = own[id(x)] + sum(chars[id(p)] for p in kids)
         holds[id(x)] = x.tag in ARTICLE and not x.named or any(holds[id(p)] for p in kids)
-    has_article = any(x.tag in ARTICLE and not x.named and chars[id(x)] for x, _ in order)
-    for x, _ in order:
-        if x.named and x.tag not in ARTICLE and x is not body and not holds[id(x)]:
-            x.cut = not chars[id(x)] or chars[id(x)] * MINOR < chars[id(body)] or has_article and x.article is None
+    total = chars[id(body)]
+    beside = sum(own[id(x)] for x, _, under, _ in order if not under)
+    articles = sum(x.tag in ARTICLE and not x.named and chars[id(x)] > 0 for x, _, _, _ in order)
+    left: dict[int, int] = {}
+    for x, _, _, around in reversed(order):
+        left[id(x)] = own[id(x)] + sum(left[id(p)] for p in x.parts if not isinstance(p, str) and not p.cut)
+        if x.named and x is not body and not holds[id(x)]:
+            x.cut = not left[id(x)] or left[id(x)] * MINOR < total or articles > around or x.readers and beside * MINOR_BESIDE >= total
 
 
 def parse(page: str) -> Node:
@@ -228,7 +241,7 @@ def parse(page: str) -> Node:
             continue
         opened.before(tag)
         at = opened.stack[-1]
-        node = Node(tag, at, *(judge(tag, attributes, at) if not at.cut else (True, True)))
+        node = Node(tag, at, *(judge(tag, attributes, at) if not at.cut else (True, True, False)))
         if not at.cut:
             at.parts.append(node)
         if tag in VOID:

@@ -155,6 +155,33 @@ def test_page_containers_with_telling_words(name):
     assert html_text.main_text(f'<body><nav><a href="/">Home</a></nav><div class="{name}">{PARAGRAPHS}</div><div class="sidebar"><p>not me</p></div></body>') == ARTICLE_TEXT
 
 
+READERS = "<div class='comment'><p>" + "not me but a reader " * 30 + "</p></div>"
+
+
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ("<div id='content'>", f"<div id='comments'><h3>not me</h3>{READERS * 6}</div></div>"),  # far more of them than of the article
+        ("<div class='x1'>", f"</div><section class='comments'>{READERS * 6}</section>"),
+        ("<div class='x1'>", f"<div class='discussion'><p>{'not me ' * 900}</p></div></div>"),
+        ("<main><article>", f"</article><section id='comments'>{READERS.replace('div', 'article') * 6}</section></main>"),
+        ("<article>", f"<article class='comment'>{'not me ' * 900}</article></article>"),
+        ("<article>", "<div class='ad-slot'>not me</div><div class='ad-wrapper'>not me</div></article>"),
+        ("<div class='topbar'>not me</div><div class='story'>", "</div><div class='legal'>not me but a long line on rights</div>"),
+        ("<article><div class='widget'>", "</div></article><article></article>"),
+        ("<article class='promoted'>", "</article>"),  # the only one of the page
+        ("<div class='comment'>", "</div>"),  # all of the page
+    ],
+)
+def test_page_boilerplate_beside(before, after):
+    assert html_text.main_text(f"<body>{before}{PARAGRAPHS}{after}</body>") == ARTICLE_TEXT
+
+
+def test_page_wrapped_in_an_article_beside_another():
+    page = f"<body><article><div class='widget'>{PARAGRAPHS}</div></article><article><p>A teaser.</p></article></body>"
+    assert html_text.main_text(page).startswith(ARTICLE_TEXT)
+
+
 class SlowPage(HTMLParser):
     """An independent reading of well-formed pages: a tree of (tag, attributes, children), with paragraphs and list items closed by the next."""
 
@@ -281,7 +308,7 @@ def test_very_long_and_deep_pages(spark):
 
 
 def test_page_names():
-    yes = ["sidebar", "site-footer", "post-comments", "sidebar-left", "col-4 adBanner", "ad-728x90", "navMenu2", "widget clearfix"]
+    yes = ["sidebar", "site-footer", "post-comments", "sidebar-left", "col-4 adBanner", "ad-728x90", "navMenu2", "widget clearfix", "ad-slot", "footer-wrapper"]
     no = ["content-sidebar-wrap", "has-sidebar", "post has-comments", "comments-open", "post ad", "page-with-menu", "adapt", ""]
     assert [x for x in yes + no if html_text.names_boilerplate(x, html_text.HINTS)] == yes
 
