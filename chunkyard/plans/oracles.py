@@ -175,4 +175,17 @@ FROM documents WHERE length(text) > 0 WINDOW w AS (PARTITION BY doc_id // 4 ORDE
     "stored_footers": """SELECT CAST(doc_id // 4 AS VARCHAR) AS object_key, count(*) AS chunks, CAST(sum(octet_length(encode(text))) AS BIGINT) AS unpacked, true AS as_derived FROM documents WHERE length(text) > 0 GROUP BY 1""",
     "signed_requests": """SELECT page_id, '/a%20b/' || CAST(page_id AS VARCHAR) || '~/%C3%A9%2A' AS uri, 'b%20c=1%2F2&z=' || CAST(page_id AS VARCHAR) AS query, CASE WHEN page_id % 2 = 0 THEN 'env' ELSE 't' END AS token FROM pages""",
     "merkle_leaf_table": f"SELECT min(doc_id) AS first, count(*) AS copies FROM documents WHERE length(text) > 0 GROUP BY {BODY}",
+    "request_parts": r"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '' ELSE 'http://x/n' END AS next, CASE WHEN page_id % 2 = 0 THEN CAST(page_id AS VARCHAR) ELSE '' END AS token,
+  '10.0.0.' || CAST(page_id % 250 AS VARCHAR) AS host, 'f' || CAST(page_id AS VARCHAR) AS file, CAST(page_id AS VARCHAR) AS etag, CASE WHEN page_id % 5 <> 0 THEN 'o/n' || CAST(page_id AS VARCHAR) END AS repo_id,
+  CASE page_id % 3 WHEN 0 THEN 'o/n:models/o/n' WHEN 1 THEN 'datasets/o/n:datasets/o/n' ELSE 'spaces/o/n:spaces/o/n' END AS addresses,
+  'https://cas.example/v1/xorbs/default/' || sha256(CAST(page_id AS VARCHAR)) AS object_url, CASE WHEN page_id % 2 = 0 THEN 'https://h:1' ELSE 'http://h:1' END AS base_url,
+  CAST(CASE WHEN page_id % 10 < 4 THEN 5 - page_id % 10 ELSE 0 END AS BIGINT) AS wait, 'dataset' AS split_type, 'o/n' || CAST(page_id AS VARCHAR) || '/tree/main' AS split_path FROM pages""",
+    "repositories": """WITH c AS (SELECT c_custkey AS k, 'n' || CAST(c_nationkey AS VARCHAR) AS n FROM customer),
+repos AS (SELECT 'model' AS repo_type, 'o/' || n AS repo_id FROM c WHERE k % 3 = 0 UNION SELECT CASE WHEN k % 2 = 0 THEN 'model' ELSE 'dataset' END, CASE WHEN k % 4 = 0 THEN n ELSE 'o/' || n END FROM c)
+SELECT repo_type, repo_id, 'main' AS revision, false AS empty FROM repos
+UNION ALL SELECT * FROM (SELECT DISTINCT 'dataset' AS repo_type, 'o/' || n AS repo_id, CASE WHEN k % 3 = 0 THEN 'main' ELSE 'v1' END AS revision, true AS empty FROM c) b
+WHERE revision <> 'main' OR NOT EXISTS (SELECT 1 FROM repos r WHERE r.repo_type = b.repo_type AND r.repo_id = b.repo_id)""",
+    "index_snapshot": """WITH held AS (SELECT CAST(c_custkey AS BIGINT) AS key FROM customer WHERE c_custkey % 2 = 0),
+new AS (SELECT CAST(o_custkey AS BIGINT) AS key, CAST(max(o_orderkey) AS BIGINT) AS high, CAST(min(o_orderkey) AS BIGINT) AS low FROM orders GROUP BY o_custkey)
+SELECT key, coalesce(high, -1) AS last, CASE WHEN held.key IS NULL THEN low ELSE -1 END AS first FROM held FULL JOIN new USING (key)""",
 }

@@ -564,6 +564,51 @@ def merkle_leaf_table(spark, sf_dir):
     return groups.select("first", "copies")
 
 
+def request_parts(spark, sf_dir):
+    """What is read from paths, headers and addresses of requests, and what answers are made of."""
+    k = F.col("page_id")
+    name = k.cast("string")
+    repo_type = F.element_at(F.array(F.lit("model"), F.lit("dataset"), F.lit("space")), (k % 3 + 1).cast("int"))
+    link = F.concat(F.lit('<http://x/p?at='), name, F.when(k % 3 == 0, F.lit('>; rel="prev"')).otherwise(F.lit('>; rel="prev", <http://x/n>; rel="next"')))
+    before = F.when(k % 5 == 0, F.lit("n/info/lfs")).otherwise(F.concat(F.lit("o/n"), name, F.lit("/info/lfs")))
+    split = paths.split_repo_path(F.concat(F.lit("/datasets/o/n"), name, F.lit("/tree/main")))
+    return table(spark, sf_dir, "pages").select(
+        "page_id",
+        paths.next_link(link).alias("next"),
+        paths.bearer_token(F.concat(F.when(k % 2 == 0, F.lit("bearer ")).otherwise(F.lit("Basic ")), name)).alias("token"),
+        paths.source_ip(F.concat(F.lit("10.0.0."), (k % 250).cast("string"), F.when(k % 2 == 0, F.lit(":80")).otherwise(F.lit("")))).alias("host"),
+        paths.file_name(F.concat(F.lit("a/b\\f"), name)).alias("file"),
+        paths.trim_quotes(F.concat(F.lit('"'), name, F.lit('"'))).alias("etag"),
+        paths.repo_id_before(before, "/info/lfs").alias("repo_id"),
+        F.concat(paths.resolve_prefix(repo_type), F.lit("o/n:"), paths.repo_path(repo_type, F.lit("o/n"))).alias("addresses"),
+        paths.object_url("https://cas.example/", "default", F.sha2(name, 256)).alias("object_url"),
+        paths.base_url(F.when(k % 2 == 0, "HTTPS"), F.lit("h:1")).alias("base_url"),
+        paths.retry_after((k % 10) / 4, 0.25).cast("bigint").alias("wait"),
+        split["repo_type"].alias("split_type"),
+        F.concat_ws("/", split["namespace"], split["name"], split["rest"]).alias("split_path"),
+    )
+
+
+def repositories(spark, sf_dir):
+    """Repositories and their branches after requests to create them, many of them repeated."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("name"))
+    existing = c.filter("c_custkey % 3 = 0").select(F.lit("model").alias("repo_type"), F.concat(F.lit("o/"), "name").alias("repo_id"))
+    asked = c.select(F.when(F.col("c_custkey") % 2 == 0, "").otherwise("dataset").alias("repo_type"), F.when(F.col("c_custkey") % 4 == 0, "").otherwise("o").alias("organization"), "name")
+    revisions = catalog.create_repos(existing, asked).select("*", F.lit("main").alias("revision"), F.lit(catalog.NO_COMMIT).alias("commit_oid"))
+    branches = c.select(F.lit("dataset").alias("repo_type"), F.concat(F.lit("o/"), "name").alias("repo_id"), F.when(F.col("c_custkey") % 3 == 0, "main").otherwise("v1").alias("revision"))
+    return catalog.create_branches(revisions, branches).select("repo_type", "repo_id", "revision", F.col("commit_oid").isNull().alias("empty"))
+
+
+def index_snapshot(spark, sf_dir):
+    """Two indices, one where the last writer wins and one where what is there does, saved as a snapshot and loaded again."""
+    held = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").cast("bigint").alias("key"), F.lit(-1).cast("bigint").alias("value"))
+    new = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("bigint").alias("key"), F.col("o_orderkey").cast("bigint").alias("value"), F.col("o_orderkey").alias("seq"))
+    root = shared_path(spark, "index")
+    lifecycle.save_snapshot({"last": catalog.upsert(held, new, ["key"], "seq"), "first": catalog.existing_first(held, new, ["key"], "seq")}, root, 1)
+    back = lifecycle.load_snapshot(spark, root, 1, strict=True)
+    return back["last"].withColumnRenamed("value", "last").join(back["first"].withColumnRenamed("value", "first"), "key")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -573,7 +618,7 @@ QUERIES = {
         parse_resolve_path, parse_byte_range, lfs_preupload, lfs_batch, commit_files, dedup_lookup, hash_hex_transform, truncated_key_order, byte_grouping,
         chunk_stream_decode, object_footers, merkle_file_hash, shard_roundtrip, ingest_objects, ingest_shards, ingested_terms, ingested_chunk_index, decode_requests,
         route_requests, tree_pages, token_records, recon_term_fetches, manifest_json, truncated_lookup, forget_keys, chunk_boundaries,
-        stored_footers, signed_requests, merkle_leaf_table,
+        stored_footers, signed_requests, merkle_leaf_table, request_parts, repositories, index_snapshot,
     )
 }
 from chunkyard.plans.oracles import ORACLE_SQL  # noqa: E402
