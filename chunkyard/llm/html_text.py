@@ -62,10 +62,11 @@ HINTS = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer foot masthead comment comments commentlist disqus reply replies respond "
     "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup share sharing social related recommended "
     "recommendations widget widgets login search pager pagination toolbar contentinfo complementary alert disclaimer paywall "
-    "topbar topnav sidenav subnav submenu dropdown skip copyright colophon legal announcement notification notifications discussion leaderboard skyscraper".split()
+    "topbar topnav sidenav subnav submenu dropdown skip copyright colophon notification notifications leaderboard skyscraper".split()
 )
-READERS = frozenset("comment comments commentlist disqus discussion reply replies respond".split())
-ROLES_ON_TOP = frozenset(("header", "banner"))
+READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Only outside article and main elements, where sections may be called so.
+ROLES_ON_TOP = frozenset(("header", "banner", "legal", "announcement"))
 #: In a name, what makes it a state of the page or a frame around more; what may follow the word for boilerplate; names of content.
 STATES = frozenset("has have having with without no not is are and or show hide open closed enabled disabled after before above below".split())
 PLACES = frozenset("left right top bottom primary secondary main inner outer list links link item items area box block bar section container small large mobile desktop slot unit zone placement placeholder".split())

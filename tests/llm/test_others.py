@@ -163,12 +163,13 @@ READERS = "<div class='comment'><p>" + "not me but a reader " * 30 + "</p></div>
     [
         ("<div id='content'>", f"<div id='comments'><h3>not me</h3>{READERS * 6}</div></div>"),  # far more of them than of the article
         ("<div class='x1'>", f"</div><section class='comments'>{READERS * 6}</section>"),
-        ("<div class='x1'>", f"<div class='discussion'><p>{'not me ' * 900}</p></div></div>"),
+        ("<div class='x1'>", f"<div class='reader-comments'><p>{'not me ' * 900}</p></div></div>"),
         ("<main><article>", f"</article><section id='comments'>{READERS.replace('div', 'article') * 6}</section></main>"),
         ("<article>", f"<article class='comment'>{'not me ' * 900}</article></article>"),
         ("<article>", "<div class='ad-slot'>not me</div><div class='ad-wrapper'>not me</div></article>"),
         ("<div class='topbar'>not me</div><div class='story'>", "</div><div class='legal'>not me but a long line on rights</div>"),
         ("<article><div class='widget'>", "</div></article><article></article>"),
+        ("<article><section id='discussion'>", "</section></article>"),
         ("<article class='promoted'>", "</article>"),  # the only one of the page
         ("<div class='comment'>", "</div>"),  # all of the page
     ],
@@ -177,6 +178,12 @@ def test_page_boilerplate_beside(before, after):
     assert html_text.main_text(f"<body>{before}{PARAGRAPHS}{after}</body>") == ARTICLE_TEXT
 
 
+@pytest.mark.parametrize("name", ["discussion", "legal", "announcement"])
+def test_page_sections_of_an_article(name):
+    page = f"<body><article>{PARAGRAPHS}<section id='{name}'><p>A short section.</p></section></article></body>"
+    assert html_text.main_text(page) == ARTICLE_TEXT + "\n\nA short section."
+
+
 def test_page_wrapped_in_an_article_beside_another():
     page = f"<body><article><div class='widget'>{PARAGRAPHS}</div></article><article><p>A teaser.</p></article></body>"
     assert html_text.main_text(page).startswith(ARTICLE_TEXT)
