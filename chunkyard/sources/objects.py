@@ -5,13 +5,15 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkyard.functions.codecs import CodecError, decode_payload, encode_payload
-from chunkyard.functions.hashes import leaf_hashes, merkle_root
+from chunkyard.functions.hashes import leaf_hashes, merkle_roots
 
 # Fixed values of the format.
 IDENT, HASH_IDENT, BOUNDARY_IDENT = b"XETBLOB", b"XBLBHSH", b"XBLBBND"
@@ -20,6 +22,8 @@ HEADER = 8
 MOST = (1 << 24) - 1
 SCHEMES = (0, 1, 2)
 MOST_OBJECT_BYTES = 128 << 20
+#: Bytes of objects that are hashed or built together.
+TOGETHER = 8 << 20
 
 
 class FormatError(ValueError):
@@ -70,9 +74,9 @@ class Footer:
     unpacked: list[int] = field(default_factory=list)
 
 
-def derive_footer(data: bytes) -> Footer:
-    """Decodes and hashes every chunk; boundaries are physical ends, unpacked are running content lengths."""
-    contents, ends, sizes, total = [], [], [], 0
+def _decoded(data: bytes) -> tuple[list[bytes], list[int]]:
+    """Contents of the chunks and their physical ends."""
+    contents, ends = [], []
     for _, compressed, scheme, size, _, at in scan(data):
         if at + compressed > len(data):
             raise FormatError("a payload is cut off")
@@ -80,13 +84,38 @@ def derive_footer(data: bytes) -> Footer:
             contents.append(decode_payload(data[at : at + compressed], scheme, size))
         except CodecError as e:
             raise FormatError(str(e)) from e
-        total += size
         ends.append(at + compressed)
-        sizes.append(total)
     if not contents:
         raise FormatError("no chunks")
-    hashes = leaf_hashes(contents)
-    return Footer(merkle_root([(h, len(c)) for h, c in zip(hashes, contents)]), hashes, ends, sizes)
+    return contents, ends
+
+
+def _footers(many: list[tuple[list[bytes], list[int]]]) -> list[Footer]:
+    """Footers of objects by their contents and physical ends, hashed all together."""
+    hashes = iter(leaf_hashes([c for contents, _ in many for c in contents]))
+    own = [[next(hashes) for _ in contents] for contents, _ in many]
+    roots = merkle_roots([[(h, len(c)) for h, c in zip(hs, contents)] for hs, (contents, _) in zip(own, many)])
+    return [Footer(root, hs, ends, list(accumulate(map(len, contents)))) for root, hs, (contents, ends) in zip(roots, own, many)]
+
+
+def derive_footers(many: list[bytes]) -> list[Footer | FormatError]:
+    """Decodes and hashes every chunk of every object; boundaries are physical ends, unpacked are running content lengths."""
+    out: list = []
+    for data in many:
+        try:
+            out.append(_decoded(data))
+        except FormatError as e:
+            out.append(e)
+    made = iter(_footers([x for x in out if not isinstance(x, FormatError)]))
+    return [x if isinstance(x, FormatError) else next(made) for x in out]
+
+
+def derive_footer(data: bytes) -> Footer:
+    """The same for one object; a malformed one fails."""
+    (out,) = derive_footers([data])
+    if isinstance(out, FormatError):
+        raise out
+    return out
 
 
 def footer_bytes(f: Footer) -> bytes:
@@ -131,13 +160,26 @@ def parse_footer(data: bytes, at: int = 0) -> Footer:
     return Footer(own, [raw[32 * i : 32 * i + 32] for i in range(n)], list(numbers[:n]), list(numbers[n:]))
 
 
+def build_many(many: list[list[bytes]], scheme: int = 0, with_footer: bool = False) -> list[bytes]:
+    """A chunk stream of each list of contents."""
+    bodies, ends = [], []
+    for contents in many:
+        out, at = bytearray(), []
+        for c in contents:
+            payload = encode_payload(c, scheme)
+            out += chunk_header(len(payload), scheme, len(c)) + payload
+            at.append(len(out))
+        bodies.append(bytes(out))
+        ends.append(at)
+    if not with_footer:
+        return bodies
+    made = iter(_footers([(contents, at) for contents, at in zip(many, ends) if contents]))
+    return [body + footer_bytes(next(made)) if contents else body for body, contents in zip(bodies, many)]
+
+
 def build(contents: list[bytes], scheme: int = 0, with_footer: bool = False) -> bytes:
     """A chunk stream of the contents."""
-    out = bytearray()
-    for c in contents:
-        payload = encode_payload(c, scheme)
-        out += chunk_header(len(payload), scheme, len(c)) + payload
-    return bytes(out) + (footer_bytes(derive_footer(bytes(out))) if with_footer and contents else b"")
+    return build_many([contents], scheme, with_footer)[0]
 
 
 SCANNED = "object_key string, chunk_index int, scheme int, compressed_length int, uncompressed_length int, header_offset bigint, data_offset bigint, error string"
@@ -161,21 +203,32 @@ def scan_objects(objects: DataFrame) -> DataFrame:
     return objects.select("object_key", "body").mapInPandas(rows, SCANNED)
 
 
-def object_footers(objects: DataFrame) -> DataFrame:
-    """Derived footers of (object_key, body), with an error instead where an object is malformed."""
+def _together(keys: list, bodies: pa.Array) -> Iterator[tuple[list, list[bytes]]]:
+    """Slices of a batch of about TOGETHER bytes."""
+    start, held, out = 0, 0, []
+    for k, body in enumerate(bodies):
+        out.append(body.as_py() or b"")
+        held += len(out[-1])
+        if held > TOGETHER or k == len(keys) - 1:
+            yield keys[start : k + 1], out
+            start, held, out = k + 1, 0, []
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for key, body in zip(frame["object_key"], frame["body"]):
-                try:
-                    f = derive_footer(bytes(body or b""))
-                    out.append((key, f.object_hash, f.chunk_hashes, f.boundaries, f.unpacked, None))
-                except FormatError as e:
-                    out.append((key, None, None, None, None, str(e)))
-            yield pd.DataFrame(out, columns=["object_key", "object_hash", "chunk_hashes", "boundaries", "unpacked", "error"])
 
-    return objects.select("object_key", "body").mapInPandas(rows, FOOTERS)
+def object_footers(objects: DataFrame, with_body: bool = False) -> DataFrame:
+    """Derived footers of (object_key, body), with an error instead where an object is malformed; the bodies too if asked for."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, bodies in _together(batch.column(0).to_pylist(), batch.column(1)):
+                found = derive_footers(bodies)
+                each = [(None, None, None, None, str(f)) if isinstance(f, FormatError) else (f.object_hash, f.chunk_hashes, f.boundaries, f.unpacked, None) for f in found]
+                cols = [keys, *map(list, zip(*each)), *([bodies] if with_body else [])]
+                kinds = [pa.string(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names[: len(cols)])
+
+    schema = FOOTERS + (", body binary" if with_body else "")
+    names = [x.split()[0] for x in schema.split(", ")]
+    return objects.select("object_key", "body").mapInArrow(rows, schema)
 
 
 def stored_footers(objects: DataFrame) -> DataFrame:
@@ -201,11 +254,35 @@ def stored_footers(objects: DataFrame) -> DataFrame:
 def build_objects(chunks: DataFrame, scheme: int = 0, with_footer: bool = False) -> DataFrame:
     """(object_key, body) of chunks (object_key, seq, data), one object a key; an object is bounded by its format."""
 
-    def rows(key, frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = frame.sort_values("seq")
-        return pd.DataFrame({"object_key": [key[0]], "body": [build([bytes(x) for x in ordered["data"]], scheme, with_footer)]})
-
-    return chunks.select("object_key", "seq", "data").groupBy("object_key").applyInPandas(rows, "object_key string, body binary")
+    def objects(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, list[bytes]]]:
+        key, contents = None, []
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if contents and k != key:
+                    yield key, contents
+                    contents = []
+                key = k
+                contents.append(data.as_py() or b"")
+        if contents:
+            yield key, contents
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, many, held = [], [], 0
+        for key, contents in objects(batches):
+            keys.append(key)
+            many.append(contents)
+            held += sum(map(len, contents))
+            if held > TOGETHER:
+                yield made(keys, many)
+                keys, many, held = [], [], 0
+        if keys:
+            yield made(keys, many)
+
+    def made(keys: list, many: list[list[bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(build_many(many, scheme, with_footer), pa.binary())], ["object_key", "body"])
+
+    ordered = chunks.select("object_key", "seq", "data").repartition("object_key").sortWithinPartitions("object_key", "seq")
+    return ordered.select("object_key", "data").mapInArrow(rows, "object_key string, body binary")
 
 
 def cumulative_offsets(chunks: DataFrame) -> DataFrame:

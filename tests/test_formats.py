@@ -257,3 +257,27 @@ def test_shard_faults_and_frames(spark):
     assert {(r[0], r[1]): r[2] for r in got} == {("a", "term"): 3, ("a", "verification"): 1, ("a", "sha256"): 1, ("a", "object"): 2, ("a", "chunk"): 3, ("b", "error"): 1, ("c", "error"): 1}
     again = shards.read_shard(bytes(shards.write_shards(rows).collect()[0]["body"]))
     assert again.objects == stored and [f.terms for f in again.files] == [f.terms for f in files]
+
+
+def test_digest_of_parts():
+    from chunkyard.functions import blake
+
+    rng = random.Random(7)
+    for n in (0, 1, 1023, 1024, 1025, 2048, 5000, 70_000):
+        data, state, at = rng.randbytes(n), blake.Keyed(hashes.DATA_KEY), 0
+        while at < n:
+            step = rng.randint(1, 3000)
+            state.update(data[at : at + step])
+            at += step
+        assert state.digest() == blake.keyed_many([data], hashes.DATA_KEY)[0]
+
+
+def test_objects_are_hashed_together(monkeypatch):
+    rng, calls = random.Random(8), []
+    many = [objects.build([rng.randbytes(rng.randint(1, 900)) for _ in range(rng.randint(1, 12))], rng.choice((0, 1, 2))) for _ in range(80)] + [b"", b"junk"]
+    own = [objects.derive_footer(x) for x in many[:-2]]
+    true = hashes.keyed_many
+    monkeypatch.setattr(hashes, "keyed_many", lambda *a: calls.append(1) or true(*a))
+    got = objects.derive_footers(many)
+    assert got[:-2] == own and all(isinstance(x, objects.FormatError) for x in got[-2:])
+    assert len(calls) <= 4  # the leaves and each level of the trees once, not once an object
