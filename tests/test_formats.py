@@ -281,3 +281,11 @@ def test_objects_are_hashed_together(monkeypatch):
     got = objects.derive_footers(many)
     assert got[:-2] == own and all(isinstance(x, objects.FormatError) for x in got[-2:])
     assert len(calls) <= 4  # the leaves and each level of the trees once, not once an object
+
+
+def test_footers_with_bodies(spark):
+    sent = [("a", bytearray(objects.build([b"one", b"two"], 1))), ("bad", bytearray(b"junk")), ("none", None)]
+    df = spark.createDataFrame(sent, "object_key string, body binary")
+    got = {r["object_key"]: r for r in objects.object_footers(df, with_body=True).collect()}
+    assert {k: bytes(r["body"]) for k, r in got.items()} == {k: bytes(b or b"") for k, b in sent}
+    assert bytes(got["a"]["object_hash"]) == objects.derive_footer(bytes(sent[0][1])).object_hash and got["bad"]["error"] and got["none"]["error"]
