@@ -289,3 +289,16 @@ def test_footers_with_bodies(spark):
     got = {r["object_key"]: r for r in objects.object_footers(df, with_body=True).collect()}
     assert {k: bytes(r["body"]) for k, r in got.items()} == {k: bytes(b or b"") for k, b in sent}
     assert bytes(got["a"]["object_hash"]) == objects.derive_footer(bytes(sent[0][1])).object_hash and got["bad"]["error"] and got["none"]["error"]
+
+
+@pytest.mark.parametrize("footer", [False, True])
+def test_objects_are_built_in_a_stream(spark, footer):
+    rng = random.Random(9)
+    rows = [(str(k) if k else None, i, bytearray(rng.randbytes(rng.randint(0, 50)))) for k in range(40) for i in range(k % 5 + 1)]
+    rng.shuffle(rows)
+    built = objects.build_objects(spark.createDataFrame(rows, "object_key string, seq int, data binary"), 1, footer)
+    want: dict = {}
+    for k, _, data in sorted(rows, key=lambda r: r[1]):
+        want.setdefault(k, []).append(bytes(data))
+    assert {r["object_key"]: bytes(r["body"]) for r in built.collect()} == {k: objects.build(v, 1, footer) for k, v in want.items()}
+    assert "Pandas" not in built._jdf.queryExecution().executedPlan().toString()  # no call for each object
