@@ -3,6 +3,7 @@
 import random
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -302,3 +303,48 @@ def test_objects_are_built_in_a_stream(spark, footer):
         want.setdefault(k, []).append(bytes(data))
     assert {r["object_key"]: bytes(r["body"]) for r in built.collect()} == {k: objects.build(v, 1, footer) for k, v in want.items()}
     assert "Pandas" not in built._jdf.queryExecution().executedPlan().toString()  # no call for each object
+
+
+def shard_in_parts(key, body, step):
+    cuts = range(0, len(body), step)
+    return [(key, i, a == cuts[-1], bytearray(body[a : a + step])) for i, a in enumerate(cuts)]
+
+
+def test_shards_written_in_parts():
+    rng, w, out = random.Random(10), shards.PartWriter(), []
+    rows = lambda n: np.frombuffer(rng.randbytes(32 * n), np.uint8).reshape(-1, 32)
+    for n in (3, 1, 40):
+        counts = np.array([rng.randint(0, 4) for _ in range(n)])
+        out.append(w.files(rows(n), counts, rows(counts.sum()), np.arange(4 * counts.sum()).reshape(-1, 4), rows(n) if n > 1 else None))
+    out.append(w.end_files())
+    for n in (2, 9):
+        counts = np.array([rng.randint(0, 3) for _ in range(n)])
+        out.append(w.objects(rows(n), np.arange(3 * n).reshape(-1, 3), counts, rows(counts.sum()), np.arange(3 * counts.sum()).reshape(-1, 3)))
+    data = b"".join([*out, w.end()])
+    s = shards.read_shard(data)
+    again = [shards.FileRecord(f.file_hash, f.terms, sha256=f.sha256) for f in s.files]
+    assert len(s.files) == 44 and len(s.objects) == 11 and shards.write_shard(again, s.objects) == data
+
+
+@pytest.mark.parametrize("step", [1, 47, 48, 1000, 10**6])
+def test_shards_read_in_parts(spark, step):
+    from chunkyard.operators import ingest
+
+    rng = random.Random(11)
+    h = lambda: rng.randbytes(32)
+    files = [shards.FileRecord(h(), [(h(), 0, i, 0, i + 1) for i in range(k)], [h() for _ in range(k)] if k == 3 else [], h() if k % 2 else None) for k in (2, 1, 3, 0)]
+    stored = [shards.ObjectRecord(h(), [(h(), i, 10, 0) for i in range(k)], 0, 5, 6) for k in (1, 3)]
+    later = [shards.FileRecord(files[0].file_hash, [(h(), 0, 77, 0, 1)])]
+    sound = shards.write_shard(files, stored)
+    moved = bytearray(sound)
+    moved[-200 + 16 : -200 + 24] = struct.pack("<Q", 48)  # says that its objects begin where its files do
+    sent = [sound, shards.write_shard(later, stored), sound[:-300], b"junk", sound[:100], shards.write_shard([], []), bytes(moved)]
+    parts = spark.createDataFrame([r for i, b in enumerate(sent) for r in shard_in_parts(str(i), b, step)], shards.PARTS).coalesce(1)
+    got = ingest.ingest_shard_parts(parts)
+    assert {r["upload"]: r["status"] for r in got.status.collect()} == {0: "ok", 1: "ok", 2: "malformed", 3: "malformed", 4: "malformed", 5: "ok", 6: "malformed"}
+    want = ingest.ingest_shards(spark.createDataFrame([(i, bytearray(sent[i])) for i in (0, 1, 5)], "upload bigint, body binary"))
+    both = lambda name: [sorted(map(repr, getattr(x, name).collect())) for x in (got, want)]
+    for name in ("terms", "bridge", "chunk_index", "hashes"):
+        ours, theirs = both(name)
+        assert ours == theirs and ours
+    assert b"".join(bytes(r["body"]) for r in sorted(got.bodies.collect(), key=lambda r: r["part"]) if bytes(r["shard_hash"]) == hashes.leaf_hashes([sound])[0]) == sound
