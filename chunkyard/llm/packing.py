@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkyard.llm.common import bounded_batches, byte_values, written
+from chunkyard.llm.common import bounded_batches, written
 from chunkyard.llm.tokens import encoder
 
 #: Fillings that the whole search may meet before it takes the best plan found; a default, None is no limit.
@@ -229,8 +229,8 @@ def token_pieces(docs: DataFrame, file: str, end_id: int, capacity: int) -> Data
         for batch in batches:
             out: list[tuple] = []
             held = 0
-            for doc, text in zip(batch.column(0).to_pylist(), byte_values(batch.column(1))):
-                ids = enc.ids(text) + end
+            for doc, ids in zip(batch.column(0).to_pylist(), enc.batch(batch.column(1))):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), size)):
                     part = ids[at : at + size]
                     n = len(part) // 4

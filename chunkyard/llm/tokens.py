@@ -1,9 +1,9 @@
 """Whole-text token ids of a `tokenizers` vocabulary, as little-endian unsigned 32-bit bytes.
 
 A vocabulary whose pre-tokenizer never matches white space encodes a text as the concatenation of its
-white-space-separated pieces, so pieces are encoded once and looked up afterwards. `piecewise` checks that the
-tokenizer is of that kind; others are run on whole texts. A piece of plain Latin letters goes straight to the
-tokenizer's model, which gives the same ids without the normalizer's cost. Null and empty texts have no ids.
+white-space-separated pieces, so pieces are encoded once and looked up afterwards, a batch of texts at a time in Arrow.
+`piecewise` checks that the tokenizer is of that kind; others are run on whole texts. New pieces of plain Latin letters go
+to the tokenizer's model all together, without the normalizer, which gives the same ids. Null and empty texts have no ids.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces kept per Python worker (about 120 MB) in two tables, the older of which is dropped in turn; this changes speed only.
+#: Pieces kept per Python worker (about 30 MB); beyond that the half used least is dropped. This changes speed only.
 CACHE_PIECES = 600_000
 
 
@@ -46,12 +48,28 @@ def byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-#: A word of precomposed Latin letters with at most one sign after it: normalizing it is lower-casing, and its tokens are those of the word and of the sign.
-SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
+#: Precomposed Latin letters, and ASCII signs but for the apostrophe. Normalizing a word of these letters is lower-casing; signs after it have tokens of their own.
+LETTERS, SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\[-`{-~"
+#: Marks beside which letters may be composed in one case only.
+MARKS = "[\u0300-\u037f]"
+
+
+def plain_model(spec: dict) -> dict | None:
+    """The tokenizer without its normalizer, for lower-cased words and runs of signs in byte signs with spaces between; None where that could give
+    other ids, or where a word's last token couldn't be told from others."""
+    model, norm, pre = spec["model"], spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    end, level = model.get("end_of_word_suffix"), pre.get("pretokenizers", [])[1:]
+    lowers = any(x["type"] == "Lowercase" for x in norm.get("normalizers", [norm] if norm else []))
+    as_bytes = len(level) == 1 and level[0]["type"] == "ByteLevel" and not level[0]["add_prefix_space"] and not level[0].get("use_regex", True)
+    bpe = model.get("type") == "BPE" and bool(end) and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    signs_free = all(any(c.isalpha() for c in t["content"]) for t in spec.get("added_tokens", []))  # none can be among the signs after a word
+    if not (lowers and as_bytes and bpe and signs_free and all(c + x in model["vocab"] for c in byte_signs().values() for x in ("", end))):
+        return None
+    return {**spec, "added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
 
 
 class Encoder:
-    """ids(text bytes) -> bytes of little-endian uint32 ids."""
+    """ids(text bytes) -> bytes of little-endian uint32 ids; batch(texts) -> those of each text."""
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,44 +77,78 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(file)
         with open(file, encoding="utf-8") as f:
-            self.by_piece = piecewise(json.load(f))
-        self.known: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}  # the table that `known` replaced
-        self.signs = byte_signs()
+            spec = json.load(f)
+        self.by_piece = piecewise(spec)
+        self.keys, self.values, self.used = pa.array([], pa.large_string()), pa.array([], pa.large_binary()), np.zeros(0, np.int64)
+        plain = plain_model(spec) if self.by_piece else None
+        self.model = Tokenizer.from_str(json.dumps(plain)) if plain else None
+        if plain:
+            vocab = spec["model"]["vocab"]
+            self.last = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a word
+            self.last[[i for t, i in vocab.items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
+            self.signs = {k: v for k, v in byte_signs().items() if k != 32}
+            self.as_written = "|".join([MARKS, *(re.escape(t["content"].lower()) for t in spec.get("added_tokens", []))])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        known, tokenize, signs, hard = self.known, self.tokenizer.model.tokenize, self.signs, []
-        for p in pieces:
-            found = self.before.get(p)
-            if found is None:
-                m = SIMPLE.fullmatch(text := p.decode())
-                if m is None:
-                    hard.append((p, text))
-                    continue
-                tokens = tokenize(m[1].lower().encode().decode("latin-1").translate(signs))
-                if m[2]:
-                    tokens += tokenize(m[2])
-                found = np.array([t.id for t in tokens], "<u4").tobytes()
-            known[p] = found
-        if hard:
-            known.update(zip([p for p, _ in hard], self._encode([t for _, t in hard])))
+    def _words(self, pieces: pa.Array) -> pa.Array:
+        """Ids of pieces of LETTERS, maybe with SIGNS after them."""
+        tailed = pc.match_substring_regex(pieces, f"[{SIGNS}]$")
+        apart = pc.replace_substring_regex(pieces, f"([{SIGNS}]+)$", r" \1")
+        spaced = pc.binary_join_element_wise(apart, *(pa.scalar(x, pa.large_string()) for x in ("", " ")))
+        text = spaced.buffers()[2].to_pybytes()[: np.frombuffer(spaced.buffers()[1], np.int64)[len(spaced)]].decode()
+        signs = text.lower().encode().decode("latin-1").translate(self.signs)
+        ids = np.asarray(self.model.encode_batch_fast([signs], add_special_tokens=False)[0].ids, "<u4")
+        ends, upto = np.flatnonzero(self.last[ids]) + 1, np.cumsum(1 + tailed.to_numpy(zero_copy_only=False))
+        if len(ends) != upto[-1]:
+            raise ValueError(f"{upto[-1]} words have {len(ends)} last tokens")
+        cuts = np.concatenate([[0], 4 * ends[upto - 1]]).astype(np.int64)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(cuts), pa.py_buffer(ids)])
+
+    def _learn(self, pieces: pa.Array) -> None:
+        simple = pc.match_substring_regex(pieces, f"^[{LETTERS}]+[{SIGNS}]*$") if self.model else pa.array(np.zeros(len(pieces), bool))
+        words, others = pieces.filter(simple), pieces.filter(pc.invert(simple))
+        keys, values = [self.keys, words, others], [self.values]
+        if len(words):
+            values.append(self._words(words))
+        values.append(pa.array(self._encode(others.to_pylist()), pa.large_binary()))
+        self.keys, self.values = pa.concat_arrays(keys), pa.concat_arrays(values)
+        self.used = np.concatenate([self.used, np.zeros(len(pieces), np.int64)])
+
+    def _drop(self) -> None:
+        """Keeps the half used most lately and often."""
+        kept = np.sort(np.argsort(self.used, kind="stable")[len(self.used) - CACHE_PIECES // 2 :])
+        self.keys, self.values, self.used = self.keys.take(pa.array(kept)), self.values.take(pa.array(kept)), self.used[kept] // 2
+
+    def batch(self, texts: pa.Array) -> list[bytes]:
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not self.by_piece:
+            return self._encode(texts.to_pylist())
+        if self.model:  # ahead of the tokenizer, where that changes no ids
+            low = pc.ascii_lower(texts)
+            texts = pc.if_else(pc.match_substring_regex(low, self.as_written), texts, low)
+        lists = pc.ascii_split_whitespace(texts)
+        pieces, starts = lists.flatten(), lists.offsets.to_numpy()
+        at = pc.index_in(pieces, value_set=self.keys)
+        if at.null_count:
+            lacking = pieces.filter(at.is_null())
+            n, there = len(self.keys), at.is_valid().to_numpy(zero_copy_only=False)
+            self._learn(lacking.unique())
+            rows = at.fill_null(0).to_numpy().copy()
+            rows[~there] = n + pc.index_in(lacking, value_set=self.keys.slice(n)).to_numpy()
+        else:
+            rows = at.to_numpy()
+        self.used += np.bincount(rows, minlength=len(self.keys))
+        found = self.values.take(pa.array(rows))
+        ends = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1)[starts].tolist() if len(found) else [0] * len(starts)
+        data = memoryview(found.buffers()[2] or b"")
+        if len(self.keys) > CACHE_PIECES:
+            self._drop()
+        return [bytes(data[a:b]) for a, b in zip(ends, ends[1:])]
 
     def ids(self, text: bytes) -> bytes:
-        if not self.by_piece:
-            return self._encode([text.decode()])[0]
-        pieces = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            pass
-        if len(self.known) > CACHE_PIECES // 2:
-            self.before, self.known = self.known, {}
-        known = self.known
-        self._learn([p for p in set(pieces) if p not in known])
-        return b"".join(map(known.__getitem__, pieces))
+        return self.batch(pa.array([text.decode()], pa.large_string()))[0]
 
 
 @lru_cache(maxsize=4)

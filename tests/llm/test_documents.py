@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -179,6 +180,28 @@ def test_encoder_survives_full_tables(monkeypatch, rows):
         assert np.frombuffer(enc.ids((r[1] or "").encode()), "<u4").tolist() == t.encode(r[1] or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("most", [20, 600_000])
+def test_encoder_of_batches(monkeypatch, rows, most):
+    """A batch's new words take one call of the model, and the ids are the library's, beside marks, signs and added tokens too."""
+    monkeypatch.setattr(tokens, "CACHE_PIECES", most)
+    enc, t = tokens.Encoder(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+    odd = ["H\u0331 T\u0308a W\u0344 J\u030c \u212a\u0331", "ab.&&& Ab*** ab,\u00bf ab's ab<| \u00c9T\u00c9!!", "x<|EndOfText|>y <|endoftext|>Z", "  \tTwo \x0b\x0c\r\n spaces\u00a0x\u2003Y\x1c ", "\u0130 \u03a3\u03a3 \u1e9e\u00df A\u00d7b", "W" * 3000]
+    texts = [None, "", " ", *odd, *(r[1] for r in rows), *odd]
+    calls, encode = [], enc.model.encode_batch_fast
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            calls.append(texts)
+            return encode(texts, **options)
+
+    enc.model = Counted()
+    for _ in range(2):
+        got = [np.frombuffer(x, "<u4").tolist() for x in enc.batch(pa.array(texts, pa.string()).slice(1))]
+        assert got == [t.encode(x or "", add_special_tokens=False).ids for x in texts[1:]]
+    assert len(calls) == (1 if most > 20 else 2)
+    assert enc.batch(pa.array([None], pa.string())) == [b""] and enc.batch(pa.array([], pa.string())) == []
+
+
 def test_other_tokenizers_run_on_whole_texts():
     file = public_tokenizers.path("byte_bpe_50k.json")
     enc = tokens.Encoder(file)
