@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkyard.llm.common import bounded_batches, byte_values, work_dir, written
+from chunkyard.llm.common import bounded_batches, work_dir, written
 from chunkyard.llm.tokens import encoder
 
 MAGIC = b"CYTOKEN1"
@@ -227,8 +227,8 @@ def _chain(first, rest):
 
 def _encoded(batches, enc, end) -> Iterator[tuple[int | None, bytes]]:
     for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), byte_values(batch.column(1))):
-            yield key, enc.ids(text) + end
+        for key, ids in zip(batch.column(0).to_pylist(), enc.batch(batch.column(1))):
+            yield key, ids + end
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:

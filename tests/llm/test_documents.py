@@ -229,6 +229,15 @@ def test_token_files(docs, rows, spark):
     assert shard.get(10**12) is None
 
 
+def test_token_files_encode_batches():
+    class Batches:
+        def batch(self, texts):
+            return [b"" if x is None else x.encode() * 4 for x in texts.to_pylist()]
+
+    batch = pa.RecordBatch.from_arrays([pa.array([None, 1, 1], pa.int64()), pa.array(["a", None, "bc"])], ["doc_id", "text"])
+    assert list(token_files._encoded(iter([batch]), Batches(), b"end.")) == [(None, b"aaaaend."), (1, b"end."), (1, b"bcbcbcbcend.")]
+
+
 def test_token_files_nulls_and_empty(spark, empty):
     assert token_files.read_token_files(token_files.write_token_files(empty, WORD_BPE)).count() == 0
     d = spark.createDataFrame([(None, "a b", None, None, None), (1, None, None, None, None)], SCHEMA)
