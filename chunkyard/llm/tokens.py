@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces kept per Python worker (about 30 MB); beyond that the half used least is dropped. This changes speed only.
+#: Pieces kept per Python worker; beyond that the half used least is dropped. This changes speed only.
 CACHE_PIECES = 600_000
 
 
@@ -122,7 +122,7 @@ class Encoder:
         self.keys, self.values, self.used = self.keys.take(pa.array(kept)), self.values.take(pa.array(kept)), self.used[kept] // 2
 
     def batch(self, texts: pa.Array) -> list[bytes]:
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = pc.fill_null(pa.concat_arrays([texts.cast(pa.large_string()), pa.array([], pa.large_string())]), "")  # a slice on its own: ascii_lower misreads it
         if not self.by_piece:
             return self._encode(texts.to_pylist())
         if self.model:  # ahead of the tokenizer, where that changes no ids

@@ -186,7 +186,7 @@ def test_encoder_of_batches(monkeypatch, rows, most):
     monkeypatch.setattr(tokens, "CACHE_PIECES", most)
     enc, t = tokens.Encoder(WORD_BPE), Tokenizer.from_file(WORD_BPE)
     odd = ["H\u0331 T\u0308a W\u0344 J\u030c \u212a\u0331", "ab.&&& Ab*** ab,\u00bf ab's ab<| \u00c9T\u00c9!!", "x<|EndOfText|>y <|endoftext|>Z", "  \tTwo \x0b\x0c\r\n spaces\u00a0x\u2003Y\x1c ", "\u0130 \u03a3\u03a3 \u1e9e\u00df A\u00d7b", "W" * 3000]
-    texts = [None, "", " ", *odd, *(r[1] for r in rows), *odd]
+    texts = ["not in the slice", None, "", " ", *odd, *(r[1] for r in rows), *odd]
     calls, encode = [], enc.model.encode_batch_fast
 
     class Counted:
