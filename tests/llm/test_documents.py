@@ -199,6 +199,7 @@ def test_encoder_of_batches(monkeypatch, rows, most):
         got = [np.frombuffer(x, "<u4").tolist() for x in enc.batch(pa.array(texts, pa.string()).slice(1))]
         assert got == [t.encode(x or "", add_special_tokens=False).ids for x in texts[1:]]
     assert len(calls) == (1 if most > 20 else 2)
+    assert enc.batch(pa.array(["not in the slice", "a B", "c"]).slice(1)) == [enc.ids(b"a B"), enc.ids(b"c")]
     assert enc.batch(pa.array([None], pa.string())) == [b""] and enc.batch(pa.array([], pa.string())) == []
 
 
