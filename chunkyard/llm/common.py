@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -88,10 +90,17 @@ def keep_rows(docs: DataFrame, decided: DataFrame, key: Column) -> DataFrame:
     return keyed.join(few(out), same, "left_anti").select(*docs.columns).unionByName(picked.select(f"{of}.*"))
 
 
+def give_back() -> None:
+    """What Arrow and the C library have freed goes back to the system; elsewhere than with glibc, Arrow's only."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def giving_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches; what Arrow has freed meanwhile goes back to the system at the end, as workers live on."""
+    """The batches; what has been freed meanwhile goes back to the system at the end, as workers live on."""
     yield from batches
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:

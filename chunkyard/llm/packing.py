@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkyard.llm.common import bounded_batches, written
+from chunkyard.llm.common import bounded_batches, giving_back, written
 from chunkyard.llm.tokens import encoder
 
 #: Fillings that the whole search may meet before it takes the best plan found; a default, None is no limit.
@@ -226,7 +226,7 @@ def token_pieces(docs: DataFrame, file: str, end_id: int, capacity: int) -> Data
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(file), np.asarray([end_id], "<u4").tobytes()
         task, ranks, size = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), 4 * capacity
-        for batch in batches:
+        for batch in giving_back(batches):
             out: list[tuple] = []
             held = 0
             for doc, ids in zip(batch.column(0).to_pylist(), enc.batch(batch.column(1))):

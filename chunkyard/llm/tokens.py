@@ -17,8 +17,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from chunkyard.llm.common import give_back
+
 #: Pieces kept per Python worker; beyond that the half used least is dropped. This changes speed only.
 CACHE_PIECES = 600_000
+#: New pieces that go to the tokenizer at once, bytes of text looked up at once (a longer text alone), and bytes after which freed memory
+#: goes back to the system: an executor's workers share its memory, and the tokenizer takes many times what it is given. No ids depend on these.
+LEARN_PIECES, PART_BYTES, GIVE_BACK_BYTES = 4096, 3 << 20, 4 << 20
 
 
 def piecewise(spec: dict) -> bool:
@@ -54,6 +59,11 @@ LETTERS, SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\[-
 MARKS = "[\u0300-\u037f]"
 
 
+def unsliced(texts: pa.Array) -> pa.Array:
+    """A slice of large strings on its own: ascii_lower misreads slices."""
+    return pa.concat_arrays([texts, pa.array([], pa.large_string())])
+
+
 def plain_model(spec: dict) -> dict | None:
     """The tokenizer without its normalizer, for lower-cased words and runs of signs in byte signs with spaces between; None where that could give
     other ids, or where a word's last token couldn't be told from others."""
@@ -88,6 +98,9 @@ class Encoder:
             self.last[[i for t, i in vocab.items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
             self.signs = {k: v for k, v in byte_signs().items() if k != 32}
             self.as_written = "|".join([MARKS, *(re.escape(t["content"].lower()) for t in spec.get("added_tokens", []))])
+        self.encoded = 0  # bytes of text since memory was given back
+        del spec, plain
+        give_back()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -106,15 +119,20 @@ class Encoder:
         cuts = np.concatenate([[0], 4 * ends[upto - 1]]).astype(np.int64)
         return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(cuts), pa.py_buffer(ids)])
 
-    def _learn(self, pieces: pa.Array) -> None:
+    def _learn(self, pieces: pa.Array) -> np.ndarray:
+        """Adds new pieces, each of them once; returns their rows."""
         simple = pc.match_substring_regex(pieces, f"^[{LETTERS}]+[{SIGNS}]*$") if self.model else pa.array(np.zeros(len(pieces), bool))
         words, others = pieces.filter(simple), pieces.filter(pc.invert(simple))
         keys, values = [self.keys, words, others], [self.values]
-        if len(words):
-            values.append(self._words(words))
-        values.append(pa.array(self._encode(others.to_pylist()), pa.large_binary()))
+        for at in range(0, len(words), LEARN_PIECES):
+            values.append(self._words(unsliced(words.slice(at, LEARN_PIECES))))
+        for at in range(0, len(others), LEARN_PIECES):
+            values.append(pa.array(self._encode(others.slice(at, LEARN_PIECES).to_pylist()), pa.large_binary()))
+        first = simple.to_numpy(zero_copy_only=False)
+        rows = len(self.keys) + np.where(first, np.cumsum(first) - 1, len(words) + np.cumsum(~first) - 1)
         self.keys, self.values = pa.concat_arrays(keys), pa.concat_arrays(values)
         self.used = np.concatenate([self.used, np.zeros(len(pieces), np.int64)])
+        return rows
 
     def _drop(self) -> None:
         """Keeps the half used most lately and often."""
@@ -122,23 +140,33 @@ class Encoder:
         self.keys, self.values, self.used = self.keys.take(pa.array(kept)), self.values.take(pa.array(kept)), self.used[kept] // 2
 
     def batch(self, texts: pa.Array) -> list[bytes]:
-        texts = pc.fill_null(pa.concat_arrays([texts.cast(pa.large_string()), pa.array([], pa.large_string())]), "")  # a slice on its own: ascii_lower misreads it
-        if not self.by_piece:
-            return self._encode(texts.to_pylist())
+        texts = pc.fill_null(unsliced(texts.cast(pa.large_string())), "")
+        sizes = pc.binary_length(texts).to_numpy()
+        cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // PART_BYTES)) + 1
+        out: list[bytes] = []
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)]):
+            part = unsliced(texts.slice(a, b - a)) if len(cuts) else texts
+            out += self._part(part) if self.by_piece else self._encode(part.to_pylist())
+            self.encoded += int(sizes[a:b].sum())
+            if self.encoded >= GIVE_BACK_BYTES:
+                self.encoded = 0
+                give_back()
+        return out
+
+    def _part(self, texts: pa.Array) -> list[bytes]:
         if self.model:  # ahead of the tokenizer, where that changes no ids
             low = pc.ascii_lower(texts)
             texts = pc.if_else(pc.match_substring_regex(low, self.as_written), texts, low)
         lists = pc.ascii_split_whitespace(texts)
         pieces, starts = lists.flatten(), lists.offsets.to_numpy()
-        at = pc.index_in(pieces, value_set=self.keys)
-        if at.null_count:
-            lacking = pieces.filter(at.is_null())
-            n, there = len(self.keys), at.is_valid().to_numpy(zero_copy_only=False)
-            self._learn(lacking.unique())
-            rows = at.fill_null(0).to_numpy().copy()
-            rows[~there] = n + pc.index_in(lacking, value_set=self.keys.slice(n)).to_numpy()
-        else:
-            rows = at.to_numpy()
+        coded = pieces.dictionary_encode()  # the pieces kept are looked up among the batch's, which are fewer
+        at = pc.index_in(self.keys, value_set=coded.dictionary)
+        known, row_of = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False)), np.full(len(coded.dictionary), -1)
+        row_of[at.drop_null().to_numpy()] = known
+        lacking = row_of < 0
+        if lacking.any():
+            row_of[lacking] = self._learn(coded.dictionary.filter(pa.array(lacking)))
+        rows = row_of[coded.indices.to_numpy()]
         self.used += np.bincount(rows, minlength=len(self.keys))
         found = self.values.take(pa.array(rows))
         ends = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1)[starts].tolist() if len(found) else [0] * len(starts)

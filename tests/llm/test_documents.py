@@ -1,7 +1,11 @@
 """Operators over documents: nulls, empty and long texts, ties, repeated rows, empty tables, clashing extra columns; brute force."""
 
 import hashlib
+import os
+import platform
 import random
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
 
@@ -203,6 +207,56 @@ def test_encoder_of_batches(monkeypatch, rows, most):
     assert enc.batch(pa.array([None], pa.string())) == [b""] and enc.batch(pa.array([], pa.string())) == []
 
 
+def test_encoder_in_parts(monkeypatch, rows):
+    """However few words and bytes go at once, and whenever memory is given back, the ids are the library's; no call of a model takes more words."""
+    monkeypatch.setattr(tokens, "LEARN_PIECES", 7)
+    monkeypatch.setattr(tokens, "PART_BYTES", 100)
+    monkeypatch.setattr(tokens, "GIVE_BACK_BYTES", 500)
+    enc, t = tokens.Encoder(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+    most, part = [], enc._part
+
+    class Counted:
+        def __init__(self, of):
+            self.of = of
+
+        def encode_batch_fast(self, texts, **options):
+            most.append(max(len(texts), len(texts[0].split())))
+            return self.of.encode_batch_fast(texts, **options)
+
+    enc.model, enc.tokenizer = Counted(enc.model), Counted(enc.tokenizer)
+    sizes = []
+    enc._part = lambda texts: sizes.append(len("".join(texts.to_pylist()[:-1]).encode())) or part(texts)
+    rng = random.Random(2)
+    texts = [None, *(r[1] for r in rows), "", *(" ".join("".join(rng.choices("abcdé", k=6)) for _ in range(40)) + "." for _ in range(30)), ""]
+    got = [np.frombuffer(x, "<u4").tolist() for x in enc.batch(pa.array(texts, pa.string()))]
+    assert got == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert max(most) <= 2 * 7 and max(sizes) < 100  # a word may have signs after it
+
+
+HELD = """
+import random, re, sys
+import pyarrow as pa
+from chunkyard.llm import common, tokens
+
+held = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) // 1024
+enc = tokens.encoder(sys.argv[1])
+enc.batch(pa.array(["some words"]))
+rng, before = random.Random(1), held()
+texts = (" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(20)) for _ in range(6000))
+for batch in common.giving_back(iter([pa.array(texts, pa.string())])):
+    enc.batch(batch)
+del batch
+print(held() - before)
+"""
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux") or platform.libc_ver()[0] != "glibc", reason="freed memory goes back with glibc only")
+def test_encoder_holds_little_between_tasks():
+    """Of what 120,000 new words took, a Python worker keeps only their ids when the task is over."""
+    out = subprocess.run([sys.executable, "-c", HELD, WORD_BPE], capture_output=True, text=True, check=True, timeout=300, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)})
+    assert int(out.stdout) < 40
+
+
 def test_other_tokenizers_run_on_whole_texts():
     file = public_tokenizers.path("byte_bpe_50k.json")
     enc = tokens.Encoder(file)
